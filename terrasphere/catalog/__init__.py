@@ -6,7 +6,7 @@ import importlib
 
 from terrasphere.catalog.base import ORACLE, QUERIES
 
-MODULES = ["geo", "grid"]
+MODULES = ["geo", "grid", "raster", "pyramid"]
 
 
 def _load() -> None:

@@ -26,7 +26,7 @@ def ray_sphere(o: V3, d: V3, c: V3, r) -> Column:
 
 
 def section_normal(start: V3, end: V3) -> V3:
-    return start.unit().cross((end - start).unit()).unit()
+    return start.cross(end).unit()
 
 
 class Section:
