@@ -6,7 +6,7 @@ import importlib
 
 from terrasphere.catalog.base import ORACLE, QUERIES
 
-MODULES = ["geo", "grid", "raster", "pyramid"]
+MODULES = ["geo", "grid", "raster", "pyramid", "coverage"]
 
 
 def _load() -> None:

@@ -57,22 +57,10 @@ FROM (SELECT DISTINCT patch, (gx-d.d)//2 AS px, (gy-e.e)//2 AS qy FROM lattice,
 GROUP BY ALL HAVING abs(sum(w1*w2))>0.05""", f"kern(d,w) AS (VALUES {_W})"))
 def _(fx):
     """Positions with next to no weight are left out: their quotient is numerically undefined."""
-    out = _lanczos(fx.lattice)
+    out = Y.downsample(fx.lattice, N, "lanczos5", with_weight=True).where(F.abs("weight") > 0.05)
     return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e3).alias("value"))
 
 
-def _lanczos(lattice):
-    ones = Y.downsample(lattice, N, "lanczos5")
-    weight = (
-        lattice.where(C("value").isNotNull())
-        .select("patch", "gx", "gy", Y._scatter("gx", Y.LANCZOS5, F.lit((N - 1) * 2 ** (L - 1))).alias("_x"),
-                Y._scatter("gy", Y.LANCZOS5, F.lit((N - 1) * 2 ** (L - 1))).alias("_y"))
-        .select("patch", F.explode("_x").alias("x"), "_y").select("patch", "x", F.explode("_y").alias("y"))
-        .groupBy("patch", C("x.p").alias("gx"), C("y.p").alias("gy")).agg(F.sum(C("x.w") * C("y.w")).alias("w")))
-    strong = weight.where(F.abs("w") > 0.05)
-    return ones.join(strong, ["patch", "gx", "gy"], "left_semi")
-
-
 @query("pyr_downsample_point", ora("lattice", f"""
 SELECT patch, {L - 1} AS level, gx//2 AS gx, gy//2 AS gy, value FROM lattice WHERE value IS NOT NULL AND gx%2=0 AND gy%2=0"""))
 def _(fx):

@@ -107,8 +107,84 @@ def _patches(p: np.ndarray) -> np.ndarray:
     return np.concatenate([patch_index(p[i : i + 8192]) for i in range(0, len(p), 8192)])
 
 
+def boundary(c: np.ndarray, subdivisions: int) -> np.ndarray:
+    """(N, 4 * 2^k, 2) lon/lat vertices along bottom, right, top and left of scopes."""
+    k = 1 << subdivisions
+    sides = []
+    for i, j in ((0, 1), (1, 3), (3, 2), (2, 0)):
+        line = np.empty((len(c), k + 1, 3))
+        line[:, 0], line[:, -1] = c[:, i], c[:, j]
+        size = k
+        while size > 1:
+            line[:, size // 2 :: size] = unit(line[:, 0:-1:size] + line[:, size::size])
+            size //= 2
+        sides.append(line[:, :-1])
+    v = np.concatenate(sides, 1)
+    return np.stack([np.arctan2(v[..., 1], v[..., 0]), np.arcsin(np.clip(v[..., 2], -1, 1))], -1)
+
+
+def crosses(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Segments a..b against the four bounded side sections of scopes: entry and exit overlap [0, 1]."""
+    d = b - a
+    lo, hi = np.full(len(c), np.inf), np.full(len(c), -np.inf)
+    for i, j in ((3, 2), (2, 0), (0, 1), (1, 3)):
+        s, e = c[:, i], c[:, j]
+        n = unit(np.cross(s, e))
+        along = e - s
+        ta = along - s * ((along * s).sum(1) / (s * s).sum(1))[:, None]
+        tb = -along + e * ((along * e).sum(1) / (e * e).sum(1))[:, None]
+        nd, no = (n * d).sum(1), (n * a).sum(1)
+        flat = np.abs(nd) < 1e-12
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(flat, np.where(np.abs(no) < 1e-12, 0.0, np.nan), -no / nd)
+        p = a + d * t[:, None]
+        ok = ((ta * p).sum(1) >= 0) & ((tb * p).sum(1) >= 0)
+        lo, hi = np.where(ok, np.minimum(lo, t), lo), np.where(ok, np.maximum(hi, t), hi)
+    return (hi >= 0) & (lo <= 1)
+
+
+def rings_meet(p: np.ndarray, q: np.ndarray) -> bool:
+    """Do two closed rings (m, 2), (k, 2) cross, or does one hold the other?"""
+    a, b = p[:, None], np.roll(p, -1, 0)[:, None]
+    c, d = q[None], np.roll(q, -1, 0)[None]
+
+    def area(u, v, w):
+        return (v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0])
+
+    if ((area(a, b, c) * area(a, b, d) <= 0) & (area(c, d, a) * area(c, d, b) <= 0)).any():
+        lo = np.maximum(np.minimum(a, b), np.minimum(c, d))
+        hi = np.minimum(np.maximum(a, b), np.maximum(c, d))
+        hit = (area(a, b, c) * area(a, b, d) <= 0) & (area(c, d, a) * area(c, d, b) <= 0) & (lo <= hi).all(-1)
+        if hit.any():
+            return True
+    return holds(p, q[0]) or holds(q, p[0])
+
+
+def holds(ring: np.ndarray, v: np.ndarray) -> bool:
+    x, y = ring[:, 0], ring[:, 1]
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    up = (y <= v[1]) & (y2 > v[1]) & ((v[0] - x) * (y2 - y) < (v[1] - y) * (x2 - x))
+    down = (y > v[1]) & (y2 <= v[1]) & ((v[0] - x2) * (y - y2) < (v[1] - y2) * (x - x2))
+    return bool((up.sum() + down.sum()) % 2)
+
+
+def _ring_array(ring) -> np.ndarray:
+    return np.array([(v["lon"], v["lat"]) for v in ring], dtype=np.float64)
+
+
 @cache
 def _udfs():
+    def ring(patch: pd.Series, level: pd.Series, path: pd.Series, k: pd.Series) -> pd.Series:
+        c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
+        v = boundary(c, int(k.iloc[0])) if len(c) else np.zeros((0, 0, 2))
+        return pd.Series([[{"lon": x, "lat": y} for x, y in row] for row in v.tolist()])
+
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(map(_ring_array, a), map(_ring_array, b)):
+            out.append(any(rings_meet(p, q + (d, 0.0)) for d in (0.0, 2 * np.pi, -2 * np.pi)))
+        return pd.Series(out, dtype=bool)
+
     def patch(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series(_patches(_points(x, y, z)))
 
@@ -125,6 +201,8 @@ def _udfs():
         "patch": F.pandas_udf(patch, "int"),
         "cell": F.pandas_udf(cell, "patch int, path bigint"),
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
+        "ring": F.pandas_udf(ring, "array<struct<lon:double,lat:double>>"),
+        "overlap": F.pandas_udf(overlap, "boolean"),
     }
 
 
@@ -137,6 +215,55 @@ def cell_of(p: V3, level: Column) -> Column:
     return _udfs()["cell"](p.x, p.y, p.z, level)
 
 
+def cell_ring(patch: Column, level: Column, path: Column, subdivisions: int) -> Column:
+    return _udfs()["ring"](patch, level, path, F.lit(subdivisions))
+
+
+def rings_overlap(a: Column, b: Column) -> Column:
+    """Exact test of two unwrapped rings (radians), longitude being periodic."""
+    return _udfs()["overlap"](a, b)
+
+
+def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+    """Cells of levels first..last that segments cross, below their frontier cells.
+
+    With first = 0 the frontier has no cells yet and all 30 roots are tried; otherwise
+    its rows carry patch, level = first - 1 and path. Narrow: no shuffle.
+    """
+    vec = [f"{p}{a}" for p in "ab" for a in "xyz"]
+    key_type = ", ".join(f.simpleString().replace(":", " ", 1) for f in frontier.select(*keys).schema)
+    cell = [] if first == 0 else ["patch", "path"]
+    schema = f"{key_type}, {', '.join(v + ' double' for v in vec)}, patch int, level int, path bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                m = part.num_rows
+                a = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[:3]], 1)
+                b = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[3:]], 1)
+                if first == 0:
+                    row, patch = np.repeat(np.arange(m), 30), np.tile(np.arange(30), m)
+                    path = np.zeros(m * 30, np.int64)
+                else:
+                    row = np.repeat(np.arange(m), 4)
+                    patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                    path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
+                for level in range(first, last + 1):
+                    c = scopes(patch, np.full(len(row), level), path)
+                    ok = crosses(c, a[row], b[row])
+                    row, patch, path = row[ok], patch[ok], path[ok]
+                    take = part.take(pa.array(row))
+                    cols = [take.column(k) for k in [*keys, *vec]]
+                    cols += [pa.array(patch.astype(np.int32)), pa.array(np.full(len(row), level, np.int32)), pa.array(path)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*keys, *vec, "patch", "level", "path"])
+                    if level < last:
+                        path = np.repeat(path, 4) | (np.tile(np.arange(4), len(row)) << (2 * level))
+                        row, patch = np.repeat(row, 4), np.repeat(patch, 4)
+
+    return frontier.select(*keys, *vec, *cell).mapInArrow(run, schema)
+
+
 def with_scope(cells: DataFrame) -> DataFrame:
     """Add the unit-sphere corners c0x..c3z of (patch, level, path) rows."""
     scope = _udfs()["scope"]("patch", "level", "path")

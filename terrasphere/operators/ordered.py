@@ -74,3 +74,29 @@ def running_sum(df: DataFrame, key: str, value: str, into: str, ord_col: str = "
     inside = chunked.withColumn("_in", F.sum(value).over(w))
     out = inside.join(before, [key, "_chunk"])
     return out.withColumn(into, F.col("_in") + F.col("_before")).drop("_chunk", "_in", "_before")
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", salts: int = 64) -> DataFrame:
+    """The k first rows of every key, ranked from 1.
+
+    A key is cut into salted parts that keep k rows each before the final ranking, so
+    the last window sees at most salts * k rows per key.
+    """
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)))
+    inner = W.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = part.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k).drop("_salt", "_r")
+    outer = W.partitionBy(*keys).orderBy(*order)
+    return kept.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= k)
+
+
+def forward_fill(df: DataFrame, cols: list[str], ord_col: str = "ord", keys: list[str] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Replace NULLs by the last value before them in the order (integers from 1)."""
+    keys = keys or []
+    chunked = df.withColumn("_chunk", chunk_of(ord_col, rows))
+    tail = chunked.groupBy(*keys, "_chunk").agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(ord_col).alias("o"), F.col(c).alias("v")))).alias("_t_" + c) for c in cols])
+    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = tail.select(*keys, "_chunk", *[F.last("_t_" + c, ignorenulls=True).over(before).getField("v").alias("_c_" + c) for c in cols])
+    inside = W.partitionBy(*keys, "_chunk").orderBy(ord_col).rowsBetween(W.unboundedPreceding, 0)
+    filled = chunked.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in cols}).join(carry, [*keys, "_chunk"])
+    return filled.withColumns({c: F.coalesce(c, "_c_" + c) for c in cols}).drop("_chunk", *["_c_" + c for c in cols])

@@ -30,43 +30,50 @@ def side(level: Column, n: int) -> Column:
     return keys.shl(F.lit(n - 1), level)
 
 
-def _scatter(c: str, kernel: tuple[float, ...], top: Column) -> Column:
-    """array<struct<p, w>> of the coarse coordinates that fine coordinate c feeds."""
+def _scatter(c: str, kernel: tuple[float, ...]) -> Column:
+    """array<struct<p, w>> of the coarse coordinates that fine coordinate c feeds.
+
+    Only taps of the parity of c land on a coarse vertex; bounds are checked after the explode.
+    """
     r = len(kernel) // 2
-    g = F.col(c)
-    entries = []
-    for d in range(-r, r + 1):
-        p = keys.shr(g - d, 1)
-        ok = ((g - d) >= 0) & ((g - d) % 2 == 0) & (p <= top)
-        entries.append(F.when(ok, F.struct(p.alias("p"), F.lit(kernel[d + r]).alias("w"))))
-    return F.array_compact(F.array(*entries))
+    g = F.col(c).cast("bigint")
+    def taps(parity: int) -> Column:
+        return F.array(*[
+            F.struct(F.call_function("shiftright", g - d, F.lit(1)).alias("p"), F.lit(kernel[d + r]).alias("w"))
+            for d in range(-r, r + 1) if d % 2 == parity])
+    return F.when(g % 2 == 0, taps(0)).otherwise(taps(1))
+
 
+def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False) -> DataFrame:
+    """Next coarser level. kernel: 'tent', 'lanczos5', 'point' or 2r+1 separable weights.
 
-def downsample(fine: DataFrame, n: int, kernel="tent") -> DataFrame:
-    """Next coarser level. kernel: 'tent', 'lanczos5', 'point' or 2r+1 separable weights."""
+    with_weight adds the total weight of the valid taps.
+    """
     valid = fine.where(F.col("value").isNotNull() & (F.col("level") > 0))
     up = (F.col("level") - 1).cast("int")
     if kernel == "point":
         even = valid.where((F.col("gx") % 2 == 0) & (F.col("gy") % 2 == 0))
         return even.select("patch", up.alias("level"), keys.shr(F.col("gx"), 1).alias("gx"), keys.shr(F.col("gy"), 1).alias("gy"), "value")
     weights = {"tent": TENT, "lanczos5": LANCZOS5}.get(kernel, kernel) if isinstance(kernel, str) else tuple(kernel)
-    top = side(up, n)
-    src = valid.withColumns({"_xs": _scatter("gx", weights, top), "_ys": _scatter("gy", weights, top)})
+    top = side(F.col("level"), n)
+    src = valid.withColumns({"level": up, "_xs": _scatter("gx", weights), "_ys": _scatter("gy", weights)})
     if len(weights) <= 3:
-        flat = src.select("patch", up.alias("level"), F.explode("_xs").alias("x"), "_ys", "value").select(
-            "patch", "level", "x", F.explode("_ys").alias("y"), "value")
+        flat = src.select("patch", "level", F.explode("_xs").alias("x"), "_ys", "value").where(F.col("x.p").between(0, top)).select(
+            "patch", "level", "x", F.explode("_ys").alias("y"), "value").where(F.col("y.p").between(0, top))
         w = F.col("x.w") * F.col("y.w")
         sums = flat.groupBy("patch", "level", F.col("x.p").alias("gx"), F.col("y.p").alias("gy")).agg(
-            F.sum(w * F.col("value")).alias("_s"), F.sum(w).alias("_w"))
+            F.sum(w * F.col("value")).alias("_s"), F.sum(w).alias("weight"))
     else:
         # a wide kernel goes one axis at a time: numerator and weight are both separable
-        rows = src.select("patch", up.alias("level"), "gy", "_ys", F.explode("_xs").alias("x"), "value")
+        rows = src.select("patch", "level", "gy", F.explode("_xs").alias("x"), "value").where(F.col("x.p").between(0, top))
         first = rows.groupBy("patch", "level", F.col("x.p").alias("gx"), "gy").agg(
-            F.sum(F.col("x.w") * F.col("value")).alias("_s"), F.sum("x.w").alias("_w"), F.first("_ys").alias("_ys"))
-        flat = first.select("patch", "level", "gx", F.explode("_ys").alias("y"), "_s", "_w")
+            F.sum(F.col("x.w") * F.col("value")).alias("_s"), F.sum("x.w").alias("_w"))
+        flat = first.select("patch", "level", "gx", F.explode(_scatter("gy", weights)).alias("y"), "_s", "_w").where(
+            F.col("y.p").between(0, top))
         sums = flat.groupBy("patch", "level", "gx", F.col("y.p").alias("gy")).agg(
-            F.sum(F.col("y.w") * F.col("_s")).alias("_s"), F.sum(F.col("y.w") * F.col("_w")).alias("_w"))
-    return sums.where(F.col("_w") != 0).select("patch", "level", "gx", "gy", (F.col("_s") / F.col("_w")).alias("value"))
+            F.sum(F.col("y.w") * F.col("_s")).alias("_s"), F.sum(F.col("y.w") * F.col("_w")).alias("weight"))
+    out = ["patch", "level", "gx", "gy", (F.col("_s") / F.col("weight")).alias("value")]
+    return sums.where(F.col("weight") != 0).select(*out, *(["weight"] if with_weight else []))
 
 
 def upsample(coarse: DataFrame, n: int, cells: DataFrame | None = None) -> DataFrame:
