@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrasphere.catalog import sqlkit as S
 from terrasphere.catalog.base import ora, query
-from terrasphere.catalog.grid import CROSSED, SIDE_HITS, P, points, walk
+from terrasphere.catalog.grid import CROSSED, P, points, side_hits, walk
 from terrasphere.functions import georef
 from terrasphere.functions.descent import with_scope
 from terrasphere.functions.vec import V3, put, quantize
@@ -167,12 +167,14 @@ HAVE = "have AS (SELECT DISTINCT patch, level, path FROM walk)"
 def coverage_ctes(levels: int):
     """lcov: cells of levels 0..levels that exist and that each segment crosses."""
     keep = f"seg, line_id, {S.cols('p', 'q')}"
-    hits = f"{S.lin('e', ('1', 'q'), ('-1', 'p'))}, {SIDE_HITS}"
+    corners = S.cols(*S.CORNERS)
+    split = S.split_from(f"(SELECT * FROM lcov WHERE level<{levels})")
+    kids = f"""(SELECT * FROM (SELECT {keep}, s.patch, s.level+1 AS level, s.path+child*CAST(pow(4,s.level) AS BIGINT) AS path, {S.pick('child')} FROM {split} s
+   JOIN (VALUES (0),(1),(2),(3)) AS k(child) ON true) t WHERE EXISTS (SELECT 1 FROM have h WHERE h.patch=t.patch AND h.level=t.level AND h.path=t.path))"""
+    roots = f"(SELECT {keep}, patch, {corners} FROM lseg, base)"
     return (
-        f"""lcov AS (SELECT {keep}, patch, 0 AS level, CAST(0 AS BIGINT) AS path, {S.cols(*S.CORNERS)} FROM (SELECT *, {hits} FROM lseg, base) WHERE {CROSSED}
- UNION ALL SELECT {keep}, patch, level, path, {S.cols(*S.CORNERS)} FROM (SELECT *, {hits} FROM (
-  SELECT {keep}, s.patch, s.level+1 AS level, s.path+child*CAST(pow(4,s.level) AS BIGINT) AS path, {S.pick('child')} FROM (SELECT *, {S.SPLIT} FROM lcov WHERE level<{levels}) s
-   JOIN (VALUES (0),(1),(2),(3)) AS k(child) ON true) t WHERE EXISTS (SELECT 1 FROM have h WHERE h.patch=t.patch AND h.level=t.level AND h.path=t.path)) WHERE {CROSSED})""",)
+        f"""lcov AS (SELECT {keep}, patch, 0 AS level, CAST(0 AS BIGINT) AS path, {corners} FROM {side_hits(roots)} WHERE {CROSSED}
+ UNION ALL SELECT {keep}, patch, level, path, {corners} FROM {side_hits(kids)} WHERE {CROSSED})""",)
 
 
 COV = (*walk(3), HAVE, LINE_XYZ, *coverage_ctes(3))

@@ -239,24 +239,34 @@ def seg_points(fx):
 SEGS = f"segs AS (SELECT point_id, {S.sph('lon_deg', 'lat_deg', 'p')}, {S.sph('lon_deg+5', 'lat_deg*0.9+3', 'q')} FROM point_pairs)"
 
 
-def _side_hit(u: str, v: str) -> str:
-    """Bounded hit of ray p -> q on side u..v through normalised tangents, as one scalar expression column."""
-    n = f"n{u}{v}"
-    return (
-        f"{S.lin('w' + n, ('1', v), ('-1', u))}, {S.cross(u, 'w' + n, n + '0')}, {S.unit(n + '0', n)}, {S.plane_hit('p', 'e', u, n)} AS t{n}, "
-        f"{S.lin('h' + n, ('1', 'p'), ('t' + n, 'e'))}, {S.lin('g' + n, ('1', 'h' + n), ('-1', u))}, {S.lin('k' + n, ('1', 'h' + n), ('-1', v))}, "
-        f"CASE WHEN {S.dot('w' + n, 'g' + n)}-{S.dot('w' + n, u)}*{S.dot(u, 'g' + n)}/{S.dot(u, u)}>=0 "
-        f"AND -{S.dot('w' + n, 'k' + n)}+{S.dot('w' + n, v)}*{S.dot(v, 'k' + n)}/{S.dot(v, v)}>=0 THEN t{n} END AS s{n}"
-    )
+_SIDES = ("dc", "ca", "af", "fd")
+
+
+def side_hits(source: str) -> str:
+    """Relation with bounded hits sn<uv> of the ray p -> q on the four sides of corners a f c d.
+
+    Tangents come from normalised up vectors, in nested selects.
+    """
+    def each(fn):
+        return ", ".join(fn(u, v, "n" + u + v) for u, v in _SIDES)
+    stages = [
+        lambda u, v, n: f"{S.lin('w' + n, ('1', v), ('-1', u))}, {S.cross(u, v, n + '0')}, {S.unit(u, 'u' + n)}, {S.unit(v, 'v' + n)}",
+        lambda u, v, n: f"{S.unit(n + '0', n)}, {S.dot('w' + n, 'u' + n)} AS ku{n}, {S.dot('w' + n, 'v' + n)} AS kv{n}",
+        lambda u, v, n: f"{S.plane_hit('p', 'e', u, n)} AS t{n}, {S.lin('a' + n, ('1', 'w' + n), (f'-ku{n}', 'u' + n))}, {S.lin('b' + n, ('-1', 'w' + n), (f'kv{n}', 'v' + n))}",
+        lambda u, v, n: f"{S.lin('g' + n, ('1', 'p'), (f't{n}', 'e'), ('-1', u))}, {S.lin('h' + n, ('1', 'p'), (f't{n}', 'e'), ('-1', v))}",
+        lambda u, v, n: f"CASE WHEN {S.dot('a' + n, 'g' + n)}>=0 AND {S.dot('b' + n, 'h' + n)}>=0 THEN t{n} END AS s{n}",
+    ]
+    out = f"(SELECT *, {S.lin('e', ('1', 'q'), ('-1', 'p'))} FROM {source})"
+    for st in stages:
+        out = f"(SELECT *, {each(st)} FROM {out})"
+    return out
 
 
-SIDE_HITS = ", ".join(_side_hit(u, v) for u, v in ("dc", "ca", "af", "fd"))
 CROSSED = "coalesce(greatest(sndc,snca,snaf,snfd)>=0 AND least(sndc,snca,snaf,snfd)<=1, false)"
 
 
 @query("grid_segment_intersects", ora("point_pairs", f"""
-SELECT point_id, patch, {CROSSED} AS crossed FROM (
- SELECT *, {S.lin('e', ('1', 'q'), ('-1', 'p'))}, {SIDE_HITS} FROM (SELECT s.*, b.* EXCLUDE (px,py,pz) FROM segs s JOIN patched b USING (point_id)))""",
+SELECT point_id, patch, {CROSSED} AS crossed FROM {side_hits('(SELECT s.*, b.* EXCLUDE (point_id,px,py,pz) FROM segs s JOIN patched b USING (point_id))')}""",
     S.BASE, SEGS, S.patch_cte("segs", "point_id", "p")))
 def _(fx):
     df = G.with_patch(seg_points(fx), P)

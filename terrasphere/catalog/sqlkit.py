@@ -66,14 +66,18 @@ BASE = (
 )
 CORNERS = "afcd"
 
-# the five points of a split, as lateral aliases over corners a f c d
-SPLIT = ", ".join(
-    [
-        lin("t0", ("1", "d"), ("1", "c")), unit("t0", "t"), lin("l0", ("1", "c"), ("1", "a")), unit("l0", "l"),
-        lin("m0", ("1", "a"), ("1", "f")), unit("m0", "m"), lin("r0", ("1", "f"), ("1", "d")), unit("r0", "r"),
-        lin("o0", ("1", "t"), ("1", "m")), unit("o0", "o"),
-    ]
-)
+def split_from(source: str) -> str:
+    """Relation with the five points of a split (t, l, m, r, o) beside corners a f c d.
+
+    Nested selects instead of lateral aliases: DuckDB would expand those repeatedly.
+    """
+    mids = ", ".join(lin(n + "0", ("1", u), ("1", v)) for n, u, v in (("t", "d", "c"), ("l", "c", "a"), ("m", "a", "f"), ("r", "f", "d")))
+    units = ", ".join(unit(n + "0", n) for n in "tlmr")
+    return (
+        f"(SELECT *, {unit('o0', 'o')} FROM (SELECT *, {lin('o0', ('1', 't'), ('1', 'm'))} FROM (SELECT *, {units} FROM (SELECT *, {mids} FROM {source}))))"
+    )
+
+
 _KIDS = {0: "amlo", 1: "mfor", 2: "loct", 3: "ortd"}
 
 
@@ -112,10 +116,9 @@ def descent_cte(source: str, key: str, p: str, levels: int, name: str = "walk")
     return (
         f"{name} AS (SELECT {key}, {cols(p)}, patch, 0 AS level, CAST(0 AS BIGINT) AS path, {cols(*CORNERS)} FROM {source}\n"
         f" UNION ALL SELECT {key}, {cols(p)}, patch, level+1, path + child*CAST(pow(4,level) AS BIGINT), {pick('child')} FROM (\n"
-        f"  SELECT *, {lin('v1', ('1', 'a'), ('1', 'f'))}, {lin('v2', ('1', 'c'), ('1', 'd'))}, {cross('v1', 'v2', 'vn')},\n"
-        f"   {lin('h1', ('1', 'f'), ('1', 'd'))}, {lin('h2', ('1', 'a'), ('1', 'c'))}, {cross('h1', 'h2', 'hn')},\n"
-        f"   (CASE WHEN {dot(p, 'vn')}<0 THEN 1 ELSE 0 END)+(CASE WHEN {dot(p, 'hn')}<0 THEN 2 ELSE 0 END) AS child, {SPLIT}\n"
-        f"  FROM {name} WHERE level<{levels}))"
+        f"  SELECT *, (CASE WHEN {dot(p, 'vn')}<0 THEN 1 ELSE 0 END)+(CASE WHEN {dot(p, 'hn')}<0 THEN 2 ELSE 0 END) AS child FROM (SELECT *, {cross('v1', 'v2', 'vn')}, {cross('h1', 'h2', 'hn')} FROM (\n"
+        f"  SELECT *, {lin('v1', ('1', 'a'), ('1', 'f'))}, {lin('v2', ('1', 'c'), ('1', 'd'))}, {lin('h1', ('1', 'f'), ('1', 'd'))}, {lin('h2', ('1', 'a'), ('1', 'c'))}\n"
+        f"  FROM {split_from(f'(SELECT * FROM {name} WHERE level<{levels})')}))))"
     )
 
 
@@ -124,7 +127,7 @@ def cells_cte(levels: int, name: str = "cells") -> str:
     return (
         f"{name} AS (SELECT patch, 0 AS level, CAST(0 AS BIGINT) AS path, {cols(*CORNERS)} FROM base\n"
         f" UNION ALL SELECT patch, level+1, path + child*CAST(pow(4,level) AS BIGINT), {pick('child')} FROM (\n"
-        f"  SELECT *, {SPLIT} FROM {name} WHERE level<{levels}) JOIN (VALUES (0),(1),(2),(3)) AS k(child) ON true)"
+        f"  SELECT * FROM {split_from(f'(SELECT * FROM {name} WHERE level<{levels})')}) JOIN (VALUES (0),(1),(2),(3)) AS k(child) ON true)"
     )
 
 

@@ -123,6 +123,39 @@ def boundary(c: np.ndarray, subdivisions: int) -> np.ndarray:
     return np.stack([np.arctan2(v[..., 1], v[..., 0]), np.arcsin(np.clip(v[..., 2], -1, 1))], -1)
 
 
+def unwrapped(v: np.ndarray) -> list[np.ndarray]:
+    """Rings (N, m, 2) with near consecutive longitudes, at most pi at the eastern end.
+
+    A vertex at a pole takes the longitude before it; leaving a pole adds a pole vertex at
+    the new longitude.
+    """
+    v = v.copy()
+    pole = np.abs(np.pi / 2 - np.abs(v[..., 1])) < 1e-5
+    for k in range(1, v.shape[1]):
+        lon, before = np.where(pole[:, k], v[:, k - 1, 0], v[:, k, 0]), v[:, k - 1, 0]
+        v[:, k, 0] = lon - 2 * np.pi * np.round((lon - before) / (2 * np.pi))
+    v[..., 0] -= np.where(v[..., 0].max(1) > np.pi, 2 * np.pi, 0.0)[:, None]
+    out = list(v)
+    for i in np.flatnonzero(pole.any(1)):
+        ks = np.flatnonzero(pole[i, :-1])
+        out[i] = np.insert(v[i], ks + 1, np.stack([v[i, ks + 1, 0], v[i, ks, 1]], 1), axis=0)
+    return out
+
+
+def touches(c: np.ndarray, row: np.ndarray, rings: list, box: np.ndarray, subdivisions: int) -> np.ndarray:
+    """Which cells (with the image row they belong to) meet their image's ring on any turn."""
+    cells = unwrapped(boundary(c, subdivisions))
+    cb = np.array([[*r.min(0), *r.max(0)] for r in cells])
+    ib = box[row]
+    ok = np.zeros(len(c), bool)
+    lat = (cb[:, 1] <= ib[:, 3]) & (cb[:, 3] >= ib[:, 1])
+    for turn in (0.0, 2 * np.pi, -2 * np.pi):
+        near = ~ok & lat & (cb[:, 0] + turn <= ib[:, 2]) & (cb[:, 2] + turn >= ib[:, 0])
+        for i in np.flatnonzero(near):
+            ok[i] = rings_meet(rings[row[i]], cells[i] + (turn, 0.0))
+    return ok
+
+
 def crosses(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Segments a..b against the four bounded side sections of scopes: entry and exit overlap [0, 1]."""
     d = b - a
@@ -168,22 +201,12 @@ def holds(ring: np.ndarray, v: np.ndarray) -> bool:
     return bool((up.sum() + down.sum()) % 2)
 
 
-def _ring_array(ring) -> np.ndarray:
-    return np.array([(v["lon"], v["lat"]) for v in ring], dtype=np.float64)
-
-
 @cache
 def _udfs():
     def ring(patch: pd.Series, level: pd.Series, path: pd.Series, k: pd.Series) -> pd.Series:
         c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
-        v = boundary(c, int(k.iloc[0])) if len(c) else np.zeros((0, 0, 2))
-        return pd.Series([[{"lon": x, "lat": y} for x, y in row] for row in v.tolist()])
-
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(map(_ring_array, a), map(_ring_array, b)):
-            out.append(any(rings_meet(p, q + (d, 0.0)) for d in (0.0, 2 * np.pi, -2 * np.pi)))
-        return pd.Series(out, dtype=bool)
+        rings = unwrapped(boundary(c, int(k.iloc[0]))) if len(c) else []
+        return pd.Series([[{"lon": x, "lat": y} for x, y in r.tolist()] for r in rings], dtype=object)
 
     def patch(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series(_patches(_points(x, y, z)))
@@ -202,7 +225,6 @@ def _udfs():
         "cell": F.pandas_udf(cell, "patch int, path bigint"),
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
         "ring": F.pandas_udf(ring, "array<struct<lon:double,lat:double>>"),
-        "overlap": F.pandas_udf(overlap, "boolean"),
     }
 
 
@@ -219,9 +241,46 @@ def cell_ring(patch: Column, level: Column, path: Column, subdivisions: int) ->
     return _udfs()["ring"](patch, level, path, F.lit(subdivisions))
 
 
-def rings_overlap(a: Column, b: Column) -> Column:
-    """Exact test of two unwrapped rings (radians), longitude being periodic."""
-    return _udfs()["overlap"](a, b)
+def image_descend(frontier: DataFrame, keys: list[str], first: int, last: int, subdivisions: int) -> DataFrame:
+    """Tiles that image rings touch, from level `first` down to `last` or the row's level `want`.
+
+    frontier: keys, ring (flat lon, lat radians), want and, unless first = 0, patch, path of
+    level first - 1. Returned rows have reached `want` or `last`. Roots are always entered.
+    Boxes are tested for a whole batch at once, exact rings only for what is left. Narrow.
+    """
+    key_type = ", ".join(f.simpleString().replace(":", " ", 1) for f in frontier.select(*keys).schema)
+    cell = [] if first == 0 else ["patch", "path"]
+    names = [*keys, "ring", "want"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                m = part.num_rows
+                rings = [np.asarray(r, dtype=np.float64).reshape(-1, 2) for r in part.column("ring").to_pylist()]
+                box = np.array([[*r.min(0), *r.max(0)] for r in rings])
+                want = part.column("want").to_numpy(zero_copy_only=False)
+                if first == 0:
+                    row, patch, path = np.repeat(np.arange(m), 30), np.tile(np.arange(30), m), np.zeros(m * 30, np.int64)
+                else:
+                    row = np.repeat(np.arange(m), 4)
+                    patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                    path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
+                for level in range(first, last + 1):
+                    if level > 0 and len(row):
+                        ok = touches(scopes(patch, np.full(len(row), level), path), row, rings, box, subdivisions)
+                        row, patch, path = row[ok], patch[ok], path[ok]
+                    out = (want[row] == level) | (level == last)
+                    take = part.take(pa.array(row[out]))
+                    cols = [take.column(k) for k in names]
+                    cols += [pa.array(patch[out].astype(np.int32)), pa.array(np.full(int(out.sum()), level, np.int32)), pa.array(path[out])]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*names, "patch", "level", "path"])
+                    row, patch, path = row[~out], patch[~out], path[~out]
+                    path = np.repeat(path, 4) | (np.tile(np.arange(4), len(row)) << (2 * level))
+                    row, patch = np.repeat(row, 4), np.repeat(patch, 4)
+
+    return frontier.select(*names, *cell).mapInArrow(
+        run, f"{key_type}, ring array<double>, want int, patch int, level int, path bigint")
 
 
 def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:

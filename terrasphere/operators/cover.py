@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasphere.functions import keys
-from terrasphere.functions.descent import SCOPE_NAMES, cell_ring, rings_overlap, segment_descend, with_scope
-from terrasphere.functions.sphere import TWO_PI, unwrap_lonlat
+from terrasphere.functions.descent import SCOPE_NAMES, cell_ring, image_descend, segment_descend, with_scope
 from terrasphere.functions.vec import V3
-from terrasphere.operators.coverage import image_ring, ring_box, ring_shift
+from terrasphere.operators.coverage import image_ring
 from terrasphere.operators.grid import ancestors, segment_intersects, with_side_sections
 from terrasphere.session import cut_lineage
 
@@ -17,55 +16,36 @@ KEY = ["patch", "level", "path"]
 
 
 def scope_footprint(cells: DataFrame, subdivisions: int = 3) -> DataFrame:
-    """Add ring: the boundary of each cell as an unwrapped lon/lat ring of 4 * 2^k vertices."""
-    raw = cells.withColumn("_ring", cell_ring(F.col("patch"), F.col("level"), F.col("path"), subdivisions))
-    return raw.withColumn("ring", ring_shift(unwrap_lonlat(F.col("_ring")))).drop("_ring")
+    """Add ring: the boundary of each cell as an unwrapped lon/lat ring of 4 * 2^k vertices
+    (more where it holds a pole)."""
+    return cells.withColumn("ring", cell_ring(F.col("patch"), F.col("level"), F.col("path"), subdivisions))
 
 
-def image_tile_join(images: DataFrame, level, subdivisions: int = 3, exact: bool = True, rebalance: int = 3) -> DataFrame:
+def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int = 3) -> DataFrame:
     """(image_id, patch, level, path) of the tiles an image touches at its level.
 
-    The frontier carries the image's own ring, so a step is narrow: no join and no
-    shuffle. Roots are always entered. Every few levels the frontier is spread by
-    (image, path), because one large image may hold most of it.
+    The frontier carries the image's own ring, so a descent is narrow: no join, never
+    images times tiles. After every stride levels it is spread by (image, path), because
+    one large image may hold most of it, and checkpointed.
     """
     lv = level if isinstance(level, Column) else F.lit(level)
-    start = images.withColumns({"_img": image_ring(subdivisions), "_want": lv.cast("int")})
-    start = start.select("image_id", "_img", "_want").withColumns(ring_box(F.col("_img")))
-    top = start.agg(F.max("_want")).first()[0]
+    start = images.withColumns({"_r": image_ring(subdivisions), "want": lv.cast("int")})
     frontier = start.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("patch")).withColumns(
-        {"level": F.lit(0), "path": F.lit(0).cast("bigint")})
-    done = None
-    for step in range((top or 0) + 1):
-        here = frontier.where(F.col("_want") == step)
-        arrived = (_overlapping(here, subdivisions, exact) if step > 0 else here).select("image_id", *KEY)
+        "image_id", F.flatten(F.transform("_r", lambda v: F.array(v["lon"], v["lat"]))).alias("ring"), "want")
+    top = images.agg(F.max(lv)).first()[0]
+    done, first = None, 0
+    while first <= (top or 0):
+        last = min(first + stride, top or 0)
+        reached = image_descend(frontier, ["image_id"], first, last, subdivisions)
+        if last < (top or 0):
+            reached = cut_lineage(reached.repartition("image_id", "path"))
+        arrived = reached.where(F.col("level") == F.col("want")).select("image_id", *KEY)
         done = arrived if done is None else done.unionByName(arrived)
-        if step == top:
-            break
-        go = frontier.where(F.col("_want") > step)
-        if step > 0:
-            go = _overlapping(go, subdivisions, exact)
-        kids = F.array(*[F.lit(k) for k in range(4)])
-        frontier = go.withColumn("_k", F.explode(kids)).withColumns(
-            {"path": keys.child(F.col("level"), F.col("path"), F.col("_k"))[1], "level": F.lit(step + 1)}).drop("_k")
-        if (step + 1) % rebalance == 0:
-            frontier = cut_lineage(frontier.repartition("image_id", "path"))
+        frontier = reached.where(F.col("level") < F.col("want"))
+        first = last + 1
     return done
 
 
-def _overlapping(frontier: DataFrame, subdivisions: int, exact: bool) -> DataFrame:
-    """Box test on all periodic copies first, then the exact ring test."""
-    f = scope_footprint(frontier, subdivisions)
-    f = f.withColumns({"_" + k: v for k, v in ring_box(F.col("ring")).items()})
-    def box(d):
-        return (F.col("_min_lon") + d <= F.col("max_lon")) & (F.col("_max_lon") + d >= F.col("min_lon"))
-    f = f.where((F.col("_min_lat") <= F.col("max_lat")) & (F.col("_max_lat") >= F.col("min_lat")) & (box(0.0) | box(TWO_PI) | box(-TWO_PI)))
-    if exact:
-        f = f.where(rings_overlap(F.col("_img"), F.col("ring")))
-    return f.select(*frontier.columns)
-
-
 def segment_cell_join(segs: DataFrame, max_level: int, existing: DataFrame | None = None, seg_keys: list[str] | None = None) -> DataFrame:
     """(segment keys, patch, level, path, is_leaf) of all cells a segment (a*, b* vectors) crosses.
 
