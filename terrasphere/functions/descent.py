@@ -216,6 +216,15 @@ def _udfs():
         where = _patches(p)
         return pd.DataFrame({"patch": where, "path": locate(where, p, level.to_numpy(np.int64))})
 
+    def below(patch: pd.Series, level: pd.Series, path: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series, deeper: pd.Series) -> pd.Series:
+        c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
+        p, sub = _points(x, y, z), np.zeros(len(c), np.int64)
+        for k in range(int(deeper.iloc[0]) if len(c) else 0):
+            which = choose(c, p)
+            sub |= which << (2 * k)
+            c = enter(c, which)
+        return pd.Series(sub)
+
     def scope(patch: pd.Series, level: pd.Series, path: pd.Series) -> pd.DataFrame:
         c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
         return pd.DataFrame(c.reshape(len(c), 12), columns=SCOPE_NAMES)
@@ -224,6 +233,7 @@ def _udfs():
         "patch": F.pandas_udf(patch, "int"),
         "cell": F.pandas_udf(cell, "patch int, path bigint"),
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
+        "below": F.pandas_udf(below, "bigint"),
         "ring": F.pandas_udf(ring, "array<struct<lon:double,lat:double>>"),
     }
 
@@ -237,6 +247,64 @@ def cell_of(p: V3, level: Column) -> Column:
     return _udfs()["cell"](p.x, p.y, p.z, level)
 
 
+def choose_path(patch: Column, level: Column, path: Column, p: V3, deeper: int) -> Column:
+    """Path of the cell holding p, relative to a cell, a number of levels further down."""
+    return _udfs()["below"](patch, level, path, p.x, p.y, p.z, F.lit(deeper))
+
+
+def span(c: np.ndarray, o: np.ndarray, d: np.ndarray):
+    """Ray parameters (enter, leave) inside the wedge of directions of scopes; empty if enter > leave."""
+    lo, hi = np.full(len(c), -np.inf), np.full(len(c), np.inf)
+    for i, j in ((3, 2), (2, 0), (0, 1), (1, 3)):
+        n = unit(np.cross(c[:, i], c[:, j]))
+        no, nd = (n * o).sum(1), (n * d).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = -no / nd
+        flat = np.abs(nd) < 1e-15
+        lo = np.where(~flat & (nd > 0), np.maximum(lo, t), lo)
+        hi = np.where(~flat & (nd < 0), np.minimum(hi, t), hi)
+        hi = np.where(flat & (no < -1e-6), -np.inf, hi)
+    return lo, hi
+
+
+def ray_descend(frontier: DataFrame, keys: list[str], level: int, tile_level: int | None = None) -> DataFrame:
+    """Cells of one level whose wedge rays (o*, d*) pass at t >= 0, below their frontier cells.
+
+    Adds t_in, t_out. Below tile_level the split is that of the tile's lattice, which
+    differs from the cell hierarchy only in its middle points. Narrow.
+    """
+    vec = [f"{v}{a}" for v in "od" for a in "xyz"]
+    key_type = ", ".join(f.simpleString().replace(":", " ", 1) for f in frontier.select(*keys).schema)
+    cell = [] if level == 0 else ["patch", "path"]
+    names = [*keys, *vec]
+    slack = 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                m = part.num_rows
+                o = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[:3]], 1)
+                d = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[3:]], 1)
+                if level == 0:
+                    row, patch, path = np.repeat(np.arange(m), 30), np.tile(np.arange(30), m), np.zeros(m * 30, np.int64)
+                else:
+                    row = np.repeat(np.arange(m), 4)
+                    patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                    path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (level - 1)))
+                lo, hi = span(scopes(patch, np.full(len(row), level), path), o[row], d[row])
+                lo = np.maximum(lo, 0.0)
+                ok = lo <= hi + slack * (1 + np.abs(hi))
+                take = part.take(pa.array(row[ok]))
+                cols = [take.column(k) for k in names]
+                cols += [pa.array(patch[ok].astype(np.int32)), pa.array(np.full(int(ok.sum()), level, np.int32)), pa.array(path[ok]),
+                         pa.array(lo[ok]), pa.array(hi[ok])]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "patch", "level", "path", "t_in", "t_out"])
+
+    return frontier.select(*names, *cell).mapInArrow(
+        run, f"{key_type}, {', '.join(v + ' double' for v in vec)}, patch int, level int, path bigint, t_in double, t_out double")
+
+
 def cell_ring(patch: Column, level: Column, path: Column, subdivisions: int) -> Column:
     return _udfs()["ring"](patch, level, path, F.lit(subdivisions))
 
