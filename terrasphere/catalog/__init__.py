@@ -6,7 +6,7 @@ import importlib
 
 from terrasphere.catalog.base import ORACLE, QUERIES
 
-MODULES = ["geo", "grid", "raster", "pyramid", "coverage", "lines", "palettes"]
+MODULES = ["geo", "grid", "raster", "pyramid", "coverage", "lines", "palettes", "terrain", "fault"]
 
 
 def _load() -> None:
