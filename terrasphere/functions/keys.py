@@ -96,12 +96,18 @@ def med_string(reserved: Column, patch: Column, level: Column, path: Column) ->
 
 
 def tile_xy(level: Column, path: Column) -> tuple[Column, Column]:
-    """Lattice tile coordinates of a cell."""
-    steps = path_steps(level, path)
-    zero = F.lit(0).cast("bigint")
-    two = F.lit(2).cast("bigint")
-    tx = F.aggregate(steps, zero, lambda a, s: a * two + s.bitwiseAND(F.lit(1).cast("bigint")))
-    ty = F.aggregate(steps, zero, lambda a, s: a * two + shr(s, 1))
+    """Lattice tile coordinates of a cell, unrolled over the 23 possible levels.
+
+    No lambda on purpose: inside one, a column would resolve to an alias of the same
+    name in the same select.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    tx, ty = zero, zero
+    for k in range(MAX_LEVEL):
+        up = (level - 1 - k).cast("int")
+        live = level > k
+        tx = tx + F.when(live, shl(shr(path, 2 * k).bitwiseAND(one), up)).otherwise(zero)
+        ty = ty + F.when(live, shl(shr(path, 2 * k + 1).bitwiseAND(one), up)).otherwise(zero)
     return tx, ty
 
 

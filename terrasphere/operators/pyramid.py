@@ -92,8 +92,9 @@ def upsample(coarse: DataFrame, n: int, cells: DataFrame | None = None) -> DataF
         F.avg("value").alias("value"))
     if cells is None:
         return fine
-    kids = cells.select("patch", (F.col("level") + 1).cast("int").alias("level"), F.explode(
-        F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: keys.child(F.col("level"), F.col("path"), k)[1])).alias("path"))
+    four = cells.select("patch", "level", "path", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("_k"))
+    level, path = keys.child(F.col("level"), F.col("path"), F.col("_k"))
+    kids = four.select("patch", level.cast("int").alias("level"), path.alias("path"))
     return restrict(fine, kids, n)
 
 
