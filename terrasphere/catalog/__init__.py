@@ -6,7 +6,7 @@ import importlib
 
 from terrasphere.catalog.base import ORACLE, QUERIES
 
-MODULES = ["geo", "grid", "raster", "pyramid", "coverage", "lines", "palettes", "terrain", "fault", "views"]
+MODULES = ["geo", "grid", "raster", "pyramid", "coverage", "lines", "palettes", "sources", "terrain", "fault", "views", "streams"]
 
 
 def _load() -> None:

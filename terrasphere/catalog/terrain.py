@@ -68,10 +68,10 @@ def _(fx):
     return tri.select("patch", "path", C("cx").alias("cell_x"), C("cy").alias("cell_y"), "triangle", mid("x").alias("mid_x"), mid("z").alias("mid_z"))
 
 
-_NB = " ".join(f"JOIN vtx {n} ON {n}.patch=v.patch AND {n}.path=v.path AND {n}.i={i} AND {n}.j={j}" for n, i, j in (
-    ("r", "least(v.i+1,16)", "v.j"), ("l", "greatest(v.i-1,0)", "v.j"), ("u", "v.i", "least(v.j+1,16)"), ("d", "v.i", "greatest(v.j-1,0)")))
+_X = "(PARTITION BY patch, path, j ORDER BY i)"
+_Y = "(PARTITION BY patch, path, i ORDER BY j)"
 NORMALS = f"""nrm AS (SELECT patch, path, i, j, {S.unit('m', 'n')} FROM (SELECT patch, path, i, j, {S.cross('e', 'g', 'm')} FROM (
- SELECT v.patch, v.path, v.i, v.j, {', '.join(f'r.{a}-l.{a} AS e{a}, u.{a}-d.{a} AS g{a}' for a in 'xyz')} FROM vtx v {_NB})))"""
+ SELECT patch, path, i, j, {', '.join(f'coalesce(lead({a}) OVER {_X},{a})-coalesce(lag({a}) OVER {_X},{a}) AS e{a}, coalesce(lead({a}) OVER {_Y},{a})-coalesce(lag({a}) OVER {_Y},{a}) AS g{a}' for a in 'xyz')} FROM vtx)))"""
 
 
 @query("ter_normals", ora("terrain", f"SELECT patch, path, i, j, {sq('n', 'n', 1e5)} FROM nrm", *SURF, NORMALS, recursive=True))

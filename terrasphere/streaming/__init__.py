@@ -1,0 +1 @@
+"""Incremental upkeep of statistics, pyramids, lines and requests as streams."""
