@@ -176,6 +176,16 @@ def crosses(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (hi >= 0) & (lo <= 1)
 
 
+def near_cap(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cheap necessary test: the caps around the segment's and the cell's directions meet."""
+    a, b, mid = unit(a), unit(b), unit(c.sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = unit(a + b)
+    half = np.arccos(np.clip((a * b).sum(1), -1, 1)) / 2
+    reach = np.arccos(np.clip((c * mid[:, None]).sum(2).min(1), -1, 1))
+    return ~((m * mid).sum(1) < np.cos(np.minimum(half + reach + 1e-6, np.pi)))
+
+
 def rings_meet(p: np.ndarray, q: np.ndarray) -> bool:
     """Do two closed rings (m, 2), (k, 2) cross, or does one hold the other?"""
     a, b = p[:, None], np.roll(p, -1, 0)[:, None]
@@ -378,7 +388,8 @@ def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int)
                     path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
                 for level in range(first, last + 1):
                     c = scopes(patch, np.full(len(row), level), path)
-                    ok = crosses(c, a[row], b[row])
+                    ok = near_cap(c, a[row], b[row])
+                    ok[ok] = crosses(c[ok], a[row[ok]], b[row[ok]])
                     row, patch, path = row[ok], patch[ok], path[ok]
                     take = part.take(pa.array(row))
                     cols = [take.column(k) for k in [*keys, *vec]]

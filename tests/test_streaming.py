@@ -39,6 +39,8 @@ def test_pyramid_update_equals_a_full_build(spark):
     merged = base.withColumn("value", F.when(F.expr("patch = 1 and gx between 3 and 6"), F.col("value") + 50).otherwise(F.col("value")))
     build(spark, merged, f"{root}/b", n)
     a, b = read_pyramid(spark, f"{root}/a"), read_pyramid(spark, f"{root}/b")
+    # the order of summation may differ in the last bits
+    a, b = (x.withColumn("value", F.round("value", 9)) for x in (a, b))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
 
 
