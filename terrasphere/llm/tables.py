@@ -65,3 +65,53 @@ def ranges(starts, lengths):
 
 def large_list(offsets, values, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches of rows sorted by key, cut so that no group is split between two of them."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(key)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def in_blocks(df: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """Deal each group to tasks of at most about 2 * rows rows, so that any two rows of a group meet in one.
+
+    A group of more than `rows` rows is cut into blocks by hash of `id`; each pair of blocks is a task group of its
+    own. Adds `g`, by which the rows of a task group stand together inside a partition.
+    """
+    from pyspark.sql import functions as F
+
+    blocks = F.ceil(F.col(size) / rows).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    others = F.when(blocks == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != own))
+    dealt = df.withColumn("_own", own).withColumn("_other", F.explode(others))
+    dealt = dealt.withColumn("g", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))).drop("_own", "_other")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "g").sortWithinPartitions("g")
+
+
+def bit_field(df: DataFrame, column: str, bits: int = 24):
+    """Packed bit field of fixed size (2**bits / 8 bytes) over the leading bits of a hashed column: what it does not
+    hold is surely absent, what it holds may be present."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    cells = df.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("c")).distinct().toPandas()["c"].to_numpy(np.int64)
+    field = np.zeros(1 << bits, bool)
+    field[cells] = True
+    return np.packbits(field)
