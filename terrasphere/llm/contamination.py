@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasphere.llm.tables import offsets_of, pieces, ranges, stored, table
-from terrasphere.llm.words import ALNUM, flat, gram_hash, mix, prefix_hash, span_hash, word_hashes
+from terrasphere.llm.words import ALNUM, gram_hash, word_hashes
 
 WINDOW = 10
 TOKEN_WORDS = 3
@@ -88,11 +88,12 @@ def _places(h: np.ndarray, doc: np.ndarray, field: np.ndarray, lengths: list[int
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document: its words inside occurring windows, and whose windows."""
+    """(doc_id, text_key, n_words, n_hit, items) of every document: its words inside occurring windows, and whose
+    windows they are; text_key is xxhash64(text)."""
     spark = docs.sparkSession
     tokens = stored(window_tokens(item_windows(items, window)), "window-tokens")
     lengths = _lengths(tokens)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     all_field = spark.sparkContext.broadcast(_field(tokens))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +115,6 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         field = np.unpackbits(prefix_field.value).view(bool)
         for batch in pieces(batches, "text"):
             doc, h, _, _ = word_hashes(batch.column("text"), ALNUM)
-            data, off = flat(batch.column("text"))
-            key = span_hash(prefix_hash(data), off[:-1], off[1:])
             n = np.bincount(doc, minlength=batch.num_rows)
             first = np.cumsum(n) - n
             found = [*_places(h, doc, field, lengths)]
@@ -129,7 +128,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
             place = pa.StructArray.from_arrays([pa.array(t), pa.array(at - first[doc[at]]), pa.array(at - low), around], ["token", "pos", "back", "around"])
             per = offsets_of(np.bincount(doc[at], minlength=batch.num_rows))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(mix(key).view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(per, pa.int32()), place)], ["doc_id", "text_key", "n_words", "places"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.ListArray.from_arrays(pa.array(per, pa.int32()), place)], ["doc_id", "text_key", "n_words", "places"])
 
     read = stored(texts.mapInArrow(find, "doc_id long, text_key long, n_words long, places array<struct<token: long, pos: long, back: long, around: array<long>>>"), "benchmark-places")
     place = read.where("size(places) > 0").select("doc_id", "text_key", F.inline("places")).distinct()
@@ -141,7 +140,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     hit = hit.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), covered.cast("long").alias("n_hit"), "items")
     whole = read.select("doc_id", "text_key", "n_words").join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     none = F.array().cast("array<string>")
-    return whole.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"))
+    return whole.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items"))
 
 
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

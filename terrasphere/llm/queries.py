@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasphere.llm import contamination, kd_shards, main_text, near_copies, packing, personal_data, quality, token_files, vector_links
+from terrasphere.llm import (
+    contamination, kd_shards, main_text, near_copies, packing, personal_data, quality, repeated_spans, token_files, vector_links,
+)
 
-MODULES = (vector_links, near_copies, contamination, token_files, quality, kd_shards, personal_data, main_text, packing)
+MODULES = (vector_links, near_copies, contamination, token_files, quality, kd_shards, personal_data, repeated_spans, main_text, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
