@@ -1,8 +1,10 @@
 """Token ids of whole Arrow batches with a public tokenizer file.
 
-The normaliser and the splitter of the word-end vocabulary never look across an ASCII blank, so the ids of a
-text are those of its blank-separated chunks one after the other. Each distinct chunk of a part is encoded once
-by the tokenizers library and kept in a bounded table; tests compare with encoding whole texts.
+The word-end vocabulary lower-cases, drops white space and merges only inside runs of letters, single digits or runs
+of other signs. So the ids of a text are those of its chunks one after the other, where a text may be cut at ASCII
+blanks and between an ASCII letter or digit and the signs below (not at apostrophes, which start contractions, nor at
+the signs that special tokens consist of). Each distinct chunk of a part is encoded once by the tokenizers library and
+kept in a bounded table; tests compare with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 
 from terrasphere.llm.tables import offsets_of, ranges
-from terrasphere.llm.words import SPACED, flat, prefix_hash, span_hash, split
+from terrasphere.llm.words import LOWER, SPACED, flat, prefix_hash, span_hash, split
 
 END_ID = 1
 KEPT_CHUNKS = 400_000
+JOINED = 2000
+SIGNS = np.isin(np.arange(256), np.frombuffer(b".,;:!?*$%&#()\"=+/@-", np.uint8))
+PLAIN = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -49,19 +54,46 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        n = np.array([len(x) for x in got], np.int64)
-        ids = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+        # many chunks go in one call, told apart by a special token; a chunk that may hold one goes alone
+        mark, number = "<|endoftext|>", self.tokenizer.token_to_id("<|endoftext|>")
+        alone = np.array(["<|" in c for c in chunks], bool) if number is not None else np.ones(len(chunks), bool)
+        order = np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]
+        runs = int((~alone).sum())
+        texts = [mark.join(chunks[i] for i in order[k : min(runs, k + JOINED)]) for k in range(0, runs, JOINED)]
+        parts, counts = [], []
+        for k in range(0, len(texts), 16):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 16], add_special_tokens=False):
+                ids = np.array(e.ids, np.uint32)
+                cut = np.flatnonzero(ids == number)
+                counts.append(np.diff(np.r_[-1, cut, len(ids)]) - 1)
+                parts.append(ids[ids != number])
+        for e in self.tokenizer.encode_batch_fast([chunks[i] for i in order[runs:]], add_special_tokens=False):
+            parts.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+        n = np.concatenate(counts)
         at = len(self.ids) + offsets_of(n)[:-1]
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
-        self.ids = np.concatenate([self.ids, ids])
+        known = np.concatenate([self.known, hashes[order]])
+        rank = np.argsort(known)
+        self.known, self.at, self.n = known[rank], np.concatenate([self.at, at])[rank], np.concatenate([self.n, n])[rank]
+        self.ids = np.concatenate([self.ids, *parts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the start of each text."""
         data, offsets = flat(texts)
+        data = LOWER[data]
         doc, starts, ends = split(data, offsets, SPACED)
+        plain, sign = PLAIN[data], SIGNS[data]
+        cut = np.flatnonzero((plain[:-1] & sign[1:]) | (sign[:-1] & plain[1:])) + 1
+        owner = np.searchsorted(starts, cut, side="right") - 1
+        inside = cut > starts[owner] if len(starts) else np.zeros(0, bool)
+        cut, owner = cut[inside], owner[inside]
+        doc, ends = np.concatenate([doc, doc[owner]]), np.concatenate([ends, ends[owner]])
+        starts = np.concatenate([starts, cut])
+        order = np.argsort(starts, kind="stable")
+        starts, doc = starts[order], doc[order]
+        ends = np.sort(ends)
+        follow = np.flatnonzero(np.isin(starts[1:], cut, assume_unique=True))
+        ends[follow] = starts[follow + 1]
         h, first, back = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > KEPT_CHUNKS:
             self.forget()
