@@ -33,7 +33,8 @@ SEGMENTS = ("part long, seq long, doc_ids array<long>, offsets array<long>, n_to
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> bytes:
     """Dictionary from the serialised ids of the documents of smallest hash, at most `sample` of them."""
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `sample` numbers
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
