@@ -17,7 +17,7 @@ from terrasphere.llm.tables import stored, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; the model is learned from the labels outside the held-out fold."""
     model = quality.model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.CUT).select(*docs.columns)
+    return quality.score(docs, model, "_quality").where(F.col("_quality") >= quality.CUT).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = contamination.hits(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("text_key").distinct()
-    return docs.withColumn("text_key", F.xxhash64("text")).join(found, "text_key", "left_anti").select(*docs.columns)
+    found = contamination.hits(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("text_key").alias("_text_key")).distinct()
+    return docs.withColumn("_text_key", F.xxhash64("text")).join(found, "_text_key", "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted again."""
-    found = personal_data.personal_data(docs, docs.columns, redacted=True)
+    found = personal_data.personal_data(docs, docs.columns, redacted=True, into="_spans")
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

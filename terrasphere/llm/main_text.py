@@ -28,11 +28,11 @@ from terrasphere.llm.tables import pieces, table
 # Element names by their role, and attribute tokens that tell of it.
 BLOCKS = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
-    "header footer nav aside form fieldset address details summary hgroup center hr menu dialog search title script style noscript template svg textarea select "
+    "header footer nav aside form fieldset address details summary hgroup center hr menu dialog search title noscript template svg textarea select "
     "option button iframe object canvas label".split())
-NEVER = frozenset("title script style noscript template svg textarea select option button iframe object canvas".split())
+NEVER = frozenset("title noscript template svg textarea select option button iframe object canvas".split())
 VOID = frozenset("hr br img input meta link wbr source track area base col embed param".split())
-CLOSES_P = BLOCKS - frozenset("label button select option textarea svg object iframe script style template noscript canvas".split())
+CLOSES_P = BLOCKS - frozenset("label button select option textarea svg object iframe template noscript canvas".split())
 CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "body": ("html",)}
 ROLES = ("article main", "nav menu", "header", "footer", "aside dialog", "form fieldset label search", "ul ol dl", "li dt dd", "h1 h2 h3 h4 h5 h6", "p blockquote pre", "table tbody thead tr td th", "#text")
@@ -50,9 +50,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.tokens, self.text, self.label = ["#page"], [-1], [()], [""], [1]
         self.chars, self.linked, self.tags = [0], [0], [0]
-        self.stack, self.run, self.run_linked, self.anchors = [0], [], 0, 0
+        self.stack, self.run, self.run_linked, self.anchors, self.code = [0], [], 0, 0, False
         try:
-            self.feed(html)
+            self.feed(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html))  # a tag that the page's end cuts off is no text
             self.close()
         except (AssertionError, ValueError):  # markup that the parser gives up on: what was read counts
             pass
@@ -78,6 +78,7 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags[self.stack[-1]] += 1
         if tag not in BLOCKS:
+            self.code = self.code or tag in ("script", "style")
             if tag in VOID:
                 self.run.append(" ")
             self.anchors += tag == "a"
@@ -109,6 +110,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a":
             self.anchors = max(0, self.anchors - 1)
+        elif tag in ("script", "style"):
+            self.code = False
         elif tag == "br":
             self.run.append(" ")
         elif tag in BLOCKS:
@@ -120,7 +123,7 @@ class Page(HTMLParser):
                 self.flush()
 
     def handle_data(self, data):
-        if self.tag[self.stack[-1]] in NEVER:
+        if self.code or self.tag[self.stack[-1]] in NEVER:
             return
         self.run.append(data)
         if self.anchors:

@@ -24,7 +24,7 @@ from terrasphere.llm.tables import pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-SPANS = "spans array<struct<kind: string, start: long, end: long, base: boolean>>"
+SPANS = "array<struct<kind: string, start: long, end: long, base: boolean>>"
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Starting a number at the head of its run of digits finds the same matches and keeps long runs linear.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -58,6 +58,13 @@ phone [phone:+49 30 1234567] bitte
 ring [phone:(511) 555-6887] after six
 call [phone:511-555-6887] or write
 my number is [phone:(020) 555-0143] thanks
+or call [phone:(511) 555-6887] and ask
+call me [phone:(664) 555-5990] or so
+dial [phone:(851) 555-9673]
+tion er [phone:(084) 555-3661] heti on
+anrufen [phone:(336) 555-3810] danke
+reach us at [phone:511-555-6887] today
+on [phone:604-555-0123] in the
 tel [phone:858-555-2896] oder
 tel. [phone:030 / 555 0199] bis
 fax [phone:(046) 555-3286] is off
@@ -303,10 +310,9 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def personal_data(docs: DataFrame, keep: list[str] | None = None, redacted: bool = False) -> DataFrame:
-    """The columns named in keep (all by default) and `spans`; with redacted, texts come without what was found."""
-    cols = [c for c in docs.columns if c != "spans"]
-    keep = cols if keep is None else keep
+def personal_data(docs: DataFrame, keep: list[str] | None = None, redacted: bool = False, into: str = "spans") -> DataFrame:
+    """The columns named in keep (all by default) and the spans in a new one; with redacted, texts come without them."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +324,11 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None, redacted: bool
             spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in s] for s in found], kind)
             if redacted:
                 texts = [redact(t, s) if s else t for t, s in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep), spans], [*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep), spans], [*keep, into])
 
     kinds = dict(docs.dtypes)
     read = docs.select(*dict.fromkeys([*keep, "text"]))
-    return read.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), SPANS]))
+    return read.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{into}` {SPANS}"]))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE_DO
     """(label, text) of at most `size` labelled documents outside the held-out fold."""
     known = labels.where(~held_out() & F.col(label).isin(0, 1)).select(F.col("doc_id").alias("d"), F.col(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("d"), "d", "label").limit(size)
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("d")).select("label", "text")  # at most `size` rows of two numbers
+    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("d")).select("label", "text")  # at most `size` rows of two numbers
 
 
 def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -134,8 +134,8 @@ def train(rows: DataFrame, seed: int = 7) -> tuple[np.ndarray, float]:
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """(doc_id, text, score): the probability of label 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "score") -> DataFrame:
+    """The documents with the probability of label 1 in a new column (which replaces one of that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +145,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for doc, f, share in features(batch.column("text")):
                 total += np.bincount(doc, weights=weights[f] * share, minlength=batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(bias + total, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, into])
 
-    clean = docs.drop("score")
+    clean = docs.drop(into)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in clean.dtypes)
-    return clean.mapInArrow(run, f"{schema}, score double")
+    return clean.mapInArrow(run, f"{schema}, `{into}` double")
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:

@@ -128,8 +128,8 @@ def linked(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE_VECTORS
     keyed = every.where("ok").select("id", "label", F.size("vec").alias("dim"), F.transform("vec", lambda v: v + F.lit(0.0)).alias("vec"))
     keyed = keyed.withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(17), F.reverse("vec"))})
     key = ["label", "dim", "k1", "k2"]
-    classes = keyed.groupBy(*key).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
-    classes = stored(classes, "vector-classes")
+    classes = keyed.groupBy(*key).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+    classes = stored(classes.withColumn("id", F.xxhash64(*key)), "vector-classes")  # id: of the class
     models = _learn(classes, sample)
     shared = spark.sparkContext.broadcast(models)
 
@@ -234,8 +234,9 @@ def linked(rows: DataFrame, cosine: float = COSINE, sample: int = SAMPLE_VECTORS
     met = stored(dealt.select("g", "id", "copies", "dim", "cell", "vec", "codes", "error", "listed", "own").mapInArrow(compare, "a long, b long, n long"), "vector-links")
     number = met.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     found = components(met.where("a <> b").select("a", "b"))
-    named = classes.select(*key, "id", "copies").join(number, "id", "left").join(found, "id", "left").select(
-        *key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    named = classes.drop("vec").join(number, "id", "left").join(found, "id", "left").withColumn("component", F.coalesce("component_id", "id"))
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("smallest"))
+    named = named.join(smallest, "component").select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("smallest").alias("component_id"))
     good = keyed.select("id", *key).join(named, key).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     rest = every.where("NOT ok").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
