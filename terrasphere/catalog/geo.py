@@ -193,7 +193,8 @@ def _(fx):
 SELECT image_id, abs((gt0-g0)/gt1-floor((gt0-g0)/gt1+0.5))<0.001 AND abs((gt3-g3)/gt5-floor((gt3-g3)/gt5+0.5))<0.001 AS ok
 FROM images, (SELECT gt0+0.25 AS g0, gt3 AS g3 FROM images QUALIFY row_number() OVER (ORDER BY image_id)=1)"""))
 def _(fx):
-    head = fx.images.orderBy("image_id").limit(1).select((C("gt0") + 0.25).alias("g0"), C("gt3").alias("g3"))
+    first = F.min_by(F.struct((C("gt0") + 0.25).alias("g0"), C("gt3").alias("g3")), "image_id")
+    head = fx.images.agg(first.alias("h")).select("h.*")
     ok = georef.system_compatible(C("gt1"), C("gt5"), C("g0"), C("g3"), C("gt1"), C("gt5"), C("gt0"), C("gt3"))
     return fx.images.join(F.broadcast(head)).select("image_id", ok.alias("ok"))  # head is one row
 

@@ -72,13 +72,13 @@ def _(fx):
     return L.adjacent_controls(fx.line_points)
 
 
-def attributes(fx, cap=None):
+def attributes(fx):
     p = L.cumulative_length(pts(fx))
     segs = L.segments(p, ["symbol_id", "coord"])
     b = bridge(fx).where(C("level") == 3).drop("is_leaf")
     cells = with_scope(b.select("patch", "level", "path").distinct())
     cells = put(cells, m=G.centroid(6371000.0))
-    return L.segment_attributes(b, segs, cells, fx.symbols, cap)
+    return L.segment_attributes(b, segs, cells, fx.symbols)
 
 
 _ATTR = f"""acells AS (SELECT *, {S.lin('m0', ('1', 'a'), ('1', 'f'), ('1', 'c'), ('1', 'd'))} FROM lcov WHERE level=3),
@@ -92,13 +92,6 @@ def _(fx):
     return attributes(fx).select("patch", "path", "line_id", "seg", "symbol_name", *vq("r", V3.of("ra"), 10), *vq("n", V3.of("n"), 1e4))
 
 
-@query("vec_segment_attributes_capped", ora("geo_points line_points symbols", """
-SELECT patch, path, line_id, seg, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY patch, path ORDER BY line_id, seg) AS rank FROM lcov WHERE level=3) WHERE rank<=5""", *COV, recursive=True))
-def _(fx):
-    """The five first segments of every cell: the per-cell limit of the line table."""
-    return attributes(fx, cap=5).select("patch", "path", "line_id", "seg", "rank")
-
-
 @query("vec_stale_cells", ora("geo_points line_points", """
 SELECT patch, CAST(level AS INTEGER) AS level, path FROM (
  SELECT c.patch, c.level, c.path, max(s.stamp) AS newest FROM lcov c JOIN lseg s ON s.line_id=c.line_id AND s.seg=c.seg GROUP BY ALL)

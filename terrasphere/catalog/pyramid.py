@@ -50,15 +50,15 @@ _W = ",".join(f"({d - 10},CAST({w!r} AS DOUBLE))" for d, w in enumerate(Y.LANCZO
 
 
 @query("pyr_downsample_lanczos", ora("lattice", f"""
-SELECT p.patch, {L - 1} AS level, p.px AS gx, p.qy AS gy, {S.q('sum(w1*w2*c.value)/sum(w1*w2)', 1e3)} AS value
+SELECT p.patch, {L - 1} AS level, p.px AS gx, p.qy AS gy, {S.q('sum(w1*w2*c.value)')} AS numerator, {S.q('sum(w1*w2)')} AS weight
 FROM (SELECT DISTINCT patch, (gx-d.d)//2 AS px, (gy-e.e)//2 AS qy FROM lattice, kern d(d,w1), kern e(e,w2)
   WHERE value IS NOT NULL AND gx-d.d>=0 AND gy-e.e>=0 AND (gx-d.d)%2=0 AND (gy-e.e)%2=0 AND (gx-d.d)//2<={(N - 1) * 2 ** (L - 1)} AND (gy-e.e)//2<={(N - 1) * 2 ** (L - 1)}) p,
  kern d(d,w1), kern e(e,w2), lattice c WHERE c.patch=p.patch AND c.gx=2*p.px+d AND c.gy=2*p.qy+e AND c.value IS NOT NULL
-GROUP BY ALL HAVING abs(sum(w1*w2))>0.05""", f"kern(d,w) AS (VALUES {_W})"))
+GROUP BY ALL HAVING sum(w1*w2)<>0""", f"kern(d,w) AS (VALUES {_W})"))
 def _(fx):
-    """Positions with next to no weight are left out: their quotient is numerically undefined."""
-    out = Y.downsample(fx.lattice, N, "lanczos5", with_weight=True).where(F.abs("weight") > 0.05)
-    return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e3).alias("value"))
+    """Numerator and weight of every fed vertex; where next to no weight arrives, their quotient is undefined."""
+    out = Y.downsample(fx.lattice, N, "lanczos5", with_weight=True)
+    return out.select("patch", "level", "gx", "gy", quantize(C("numerator")).alias("numerator"), quantize(C("weight")).alias("weight"))
 
 
 @query("pyr_downsample_point", ora("lattice", f"""
@@ -130,7 +130,7 @@ def _(fx):
 
 
 _CHAIN = [f"lv{L} AS (SELECT patch, gx, gy, value FROM lattice WHERE value IS NOT NULL)"] + [
-    f"lv{k} AS (SELECT * FROM {gather_down(f'lv{k + 1}', k)})" for k in range(L - 1, -1, -1)]
+    f"lv{k} AS (SELECT patch, gx, gy, floor(value*1048576+0.5)/1048576 AS value FROM {gather_down(f'lv{k + 1}', k)})" for k in range(L - 1, -1, -1)]
 _ALL = " UNION ALL ".join(f"SELECT patch, {k} AS level, gx, gy, {S.q('value', 1e4)} AS value FROM lv{k}" for k in range(L, -1, -1))
 
 

@@ -74,11 +74,11 @@ def _(fx):
 
 
 @query("qa_dataset_summary", ora("pixels images", """
-SELECT image_id, CAST(max(px)+1 AS INTEGER) AS width, CAST(max(py)+1 AS INTEGER) AS height, CAST(count(*) AS BIGINT) AS stored,
+SELECT image_id, CAST(max(px)+1 AS INTEGER) AS width, CAST(max(py)+1 AS INTEGER) AS height, CAST(nullif(count(px),0) AS BIGINT) AS stored,
  min(value) AS min_value, max(value) AS max_value, any_value(gt0) AS gt0, any_value(gt3) AS gt3, any_value(nodata) AS nodata
-FROM pixels JOIN images USING (image_id) GROUP BY image_id"""))
+FROM images LEFT JOIN pixels USING (image_id) GROUP BY image_id"""))
 def _(fx):
-    return P.dataset_summary(fx.pixels, fx.images).where(C("stored").isNotNull()).select(
+    return P.dataset_summary(fx.pixels, fx.images).select(
         "image_id", "width", "height", "stored", "min_value", "max_value", "gt0", "gt3", "nodata")
 
 
@@ -137,20 +137,20 @@ def _(fx):
         quantize(R.blend(total, w, F.lit(7.5))).alias("value_over"))
 
 
-_RGB = BILINEAR.replace("ing ", "rgb ").replace("a.value AS v00, b.value AS v10, c.value AS v01, d.value AS v11", "a.b1 AS v00, b.b1 AS v10, c.b1 AS v01, d.b1 AS v11, a.b3 AS g00, b.b3 AS g10, c.b3 AS g01, d.b3 AS g11").replace(
-    "AS tot\n", "AS tot, coalesce(g00,0)*(1-dx)*(1-dy)+coalesce(g10,0)*dx*(1-dy)+coalesce(g01,0)*(1-dx)*dy+coalesce(g11,0)*dx*dy AS tot3\n")
+_RGB = BILINEAR.replace("ing ", "rgb ").replace("a.value AS v00, b.value AS v10, c.value AS v01, d.value AS v11", "a.b1 AS v00, b.b1 AS v10, c.b1 AS v01, d.b1 AS v11, a.b3 AS g00, b.b3 AS g10, c.b3 AS g01, d.b3 AS g11, a.b2 AS h00, b.b2 AS h10, c.b2 AS h01, d.b2 AS h11").replace(
+    "AS tot\n", "AS tot, coalesce(g00,0)*(1-dx)*(1-dy)+coalesce(g10,0)*dx*(1-dy)+coalesce(g01,0)*(1-dx)*dy+coalesce(g11,0)*dx*dy AS tot3, coalesce(h00,0)*(1-dx)*(1-dy)+coalesce(h10,0)*dx*(1-dy)+coalesce(h01,0)*(1-dx)*dy+coalesce(h11,0)*dx*dy AS tot2\n")
 
 
 @query("ras_bilinear_rgb", ora("geo_points images rgb_pixels", """
-SELECT point_id, image_id, CAST(floor(least(greatest(tot/wv+1e-9,0),255)+0.5) AS INTEGER) AS r, CAST(floor(least(greatest(tot3/wv+1e-9,0),255)+0.5) AS INTEGER) AS b
-FROM bil WHERE wv>0""", SAMPLES, "rgb AS (SELECT image_id, px, py, b1, coalesce(b3,b2,b1) AS b3 FROM rgb_pixels)", _RGB))
+SELECT point_id, image_id, CAST(floor(least(greatest(tot/wv+1e-9,0),255)+0.5) AS INTEGER) AS r, CAST(floor(least(greatest(tot2/wv+1e-9,0),255)+0.5) AS INTEGER) AS g, CAST(floor(least(greatest(tot3/wv+1e-9,0),255)+0.5) AS INTEGER) AS b
+FROM bil WHERE wv>0""", SAMPLES, "rgb AS (SELECT image_id, px, py, b1, coalesce(b2,b1) AS b2, coalesce(b3,b2,b1) AS b3 FROM rgb_pixels)", _RGB))
 def _(fx):
     # 1e-9 on both sides keeps exact halves from depending on the order of summation
     px = P.band_replicate(fx.rgb_pixels)
-    parts = R.bilinear_parts(samples(fx), px, ["point_id", "image_id"], ["b1", "b3"]).where(C("w_valid") > 0)
+    parts = R.bilinear_parts(samples(fx), px, ["point_id", "image_id"], ["b1", "b2", "b3"]).where(C("w_valid") > 0)
     none = F.lit(None).cast("double")
     return parts.select(
-        "point_id", "image_id", *[R.to_byte(R.blend(C(b + "_sum"), C("w_valid"), none) + 1e-9).alias(o) for b, o in (("b1", "r"), ("b3", "b"))])
+        "point_id", "image_id", *[R.to_byte(R.blend(C(b + "_sum"), C("w_valid"), none) + 1e-9).alias(o) for b, o in (("b1", "r"), ("b2", "g"), ("b3", "b"))])
 
 
 @query("ras_mosaic_nearest", ora("geo_points images pixels", """

@@ -124,12 +124,12 @@ _POS = f"pos AS (SELECT point_id, patch, (({_bits('path', 0, 16, 0)})+0.5)*64/65
 
 @query("ter_sample_layer", ora("geo_points terrain", f"""
 SELECT point_id, {S.q('sum(w*value)/sum(w)', 1e3)} AS value FROM (SELECT p.point_id, t.value, (1-abs(fx-t.gx))*(1-abs(fy-t.gy)) AS w
- FROM pos p, (VALUES (0),(1)) AS a(ox), (VALUES (0),(1)) AS b(oy), terrain t WHERE t.patch=p.patch AND t.gx=floor(fx)+ox AND t.gy=floor(fy)+oy AND t.value IS NOT NULL) GROUP BY point_id""",
+ FROM (SELECT * FROM pos, (VALUES (0),(1)) AS a(ox), (VALUES (0),(1)) AS b(oy)) p LEFT JOIN terrain t ON t.patch=p.patch AND t.gx=floor(fx)+ox AND t.gy=floor(fy)+oy AND t.value IS NOT NULL) GROUP BY point_id""",
     *walk(16), _POS, recursive=True))
 def _(fx):
     pos = T.lattice_position(points(fx).select("point_id", "px", "py", "pz"), N, L, extra_levels=10)
     out = Y.sample_lattice(pos.select("point_id", "patch", "level", "fx", "fy"), fx.terrain, N, ["point_id"])
-    return out.where(C("value").isNotNull()).select("point_id", quantize(C("value"), 1e3).alias("value"))
+    return out.select("point_id", quantize(C("value"), 1e3).alias("value"))
 
 
 @query("ter_cell_exit", ora("point_pairs", f"""

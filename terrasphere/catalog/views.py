@@ -45,28 +45,30 @@ TREE = (*walk(3), f"""rng AS (SELECT patch, level, path, min(elev) AS lo, max(el
   FROM (SELECT *, {S.lin('z', ('1', 'm'), ('-1', 'e'))} FROM bnd, fru)))""")
 
 
-@query("lod_visible", ora("geo_points views", "SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, visible FROM ev", *TREE, recursive=True))
-def _(fx):
-    df = lod.evaluate(tree(fx), all_views(fx), lod.value(SCREEN))
-    return df.select("view_id", "patch", "level", "path", "visible")
-
-
-@query("lod_value", ora("geo_points views", f"SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, {S.q('2*lod+0.5', 1e4)} AS lod FROM ev", *TREE, recursive=True))
-def _(fx):
-    df = lod.evaluate(tree(fx), all_views(fx), lod.value(SCREEN, 2.0, 0.5))
-    return df.select("view_id", "patch", "level", "path", quantize(C("lod"), 1e4).alias("lod"))
-
-
 _CUT = """kid AS (SELECT patch, level-1 AS level, path%CAST(pow(4,level-1) AS BIGINT) AS path, count(*) AS kids FROM rng WHERE level>0 GROUP BY ALL),
 evk AS (SELECT e.*, coalesce(k.kids,0) AS kids FROM ev e LEFT JOIN kid k ON k.patch=e.patch AND k.level=e.level AND k.path=e.path),
 spl AS (SELECT view_id, patch, level, path, visible AND lod>THR AND kids=4 AS sp FROM evk),
-cutt AS (SELECT e.* FROM evk e WHERE NOT (visible AND lod>THR AND kids=4) AND (SELECT coalesce(bool_and(s.sp),true) FROM spl s WHERE s.view_id=e.view_id AND s.patch=e.patch AND s.level<e.level AND s.path=e.path%CAST(pow(4,s.level) AS BIGINT)))"""
+met AS (SELECT e.* FROM evk e WHERE (SELECT coalesce(bool_and(s.sp),true) FROM spl s WHERE s.view_id=e.view_id AND s.patch=e.patch AND s.level<e.level AND s.path=e.path%CAST(pow(4,s.level) AS BIGINT))),
+cutt AS (SELECT * FROM met WHERE NOT (visible AND lod>THR AND kids=4))"""
 
 
 def cut_sql(thr: str) -> str:
     return _CUT.replace("THR", thr)
 
 
+@query("lod_visible", ora("geo_points views", "SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, visible FROM met", *TREE, cut_sql("1.0"), recursive=True))
+def _(fx):
+    """Every cell that a view meets on its way down to its cut."""
+    df = lod.reached(tree(fx), all_views(fx), lambda: lod.value(SCREEN), 1.0)
+    return df.select("view_id", "patch", "level", "path", "visible")
+
+
+@query("lod_value", ora("geo_points views", f"SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, {S.q('2*lod+0.5', 1e4)} AS lod FROM met", *TREE, cut_sql("0.25"), recursive=True))
+def _(fx):
+    df = lod.reached(tree(fx), all_views(fx), lambda: lod.value(SCREEN, 2.0, 0.5), 1.0)
+    return df.select("view_id", "patch", "level", "path", quantize(C("lod"), 1e4).alias("lod"))
+
+
 @query("lod_cut", ora("geo_points views", f"SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, visible, {S.q('lod', 1e4)} AS lod FROM cutt", *TREE, cut_sql("1.0"), recursive=True))
 def _(fx):
     out = lod.cut(tree(fx), all_views(fx), lambda: lod.value(SCREEN), 1.0)
@@ -74,32 +76,31 @@ def _(fx):
 
 
 @query("lod_order_by_distance", ora("geo_points views", f"""
-SELECT view_id, patch, path, CAST(rank AS INTEGER) AS rank, {S.q('de', 1)} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY de DESC, patch, level, path) AS rank FROM ev WHERE visible AND level=3) WHERE rank<=10""", *TREE, recursive=True))
+SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, CAST(row_number() OVER (PARTITION BY view_id ORDER BY de DESC, patch, level, path) AS BIGINT) AS rank, {S.q('de', 1)} AS dist FROM cutt WHERE visible""", *TREE, cut_sql("1.0"), recursive=True))
 def _(fx):
-    """The ten farthest visible level-3 cells of every view."""
-    df = lod.evaluate(tree(fx), all_views(fx), lod.value(SCREEN)).where(C("visible") & (C("level") == 3))
-    front = df.select("view_id", "patch", "level", "path", "bx", "by", "bz", "ex", "ey", "ez")
-    return lod.order_by_distance(front, 10).select("view_id", "patch", "path", "rank", quantize(C("dist"), 1).alias("dist"))
+    """The visible cells of every view's cut, farthest first."""
+    front = lod.cut(tree(fx), all_views(fx), lambda: lod.value(SCREEN), 1.0).where("visible")
+    return lod.order_by_distance(front).select("view_id", "patch", "level", "path", "rank", quantize(C("dist"), 1).alias("dist"))
 
 
-_MISS = """miss AS (SELECT e.view_id, e.patch, e.level+1 AS level, e.path+k.c*CAST(pow(4,e.level) AS BIGINT) AS path, k.c AS child, e.lod FROM ev e, (VALUES (0),(1),(2),(3)) AS k(c)
+_MISS = """miss AS (SELECT e.view_id, e.patch, e.level+1 AS level, e.path+k.c*CAST(pow(4,e.level) AS BIGINT) AS path, k.c AS child, e.lod FROM cutt e, (VALUES (0),(1),(2),(3)) AS k(c)
  WHERE e.visible AND e.lod>0.5 AND NOT EXISTS (SELECT 1 FROM rng r WHERE r.patch=e.patch AND r.level=e.level+1 AND r.path=e.path+k.c*CAST(pow(4,e.level) AS BIGINT)))"""
 
 
 def missing(fx):
     t = tree(fx)
-    df = lod.evaluate(t, all_views(fx), lod.value(SCREEN)).where(C("visible") & (C("lod") > 0.5))
+    df = lod.cut(t, all_views(fx), lambda: lod.value(SCREEN), 0.5).where(C("visible") & (C("lod") > 0.5))
     return lod.missing_tiles(df.select("view_id", "patch", "level", "path", "lod"), t)
 
 
-@query("lod_missing_tiles", ora("geo_points views", "SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, child FROM miss", *TREE, _MISS, recursive=True))
+@query("lod_missing_tiles", ora("geo_points views", "SELECT view_id, patch, CAST(level AS INTEGER) AS level, path, child FROM miss", *TREE, cut_sql("0.5"), _MISS, recursive=True))
 def _(fx):
     return missing(fx).select("view_id", "patch", "level", "path", "child")
 
 
 @query("lod_coalesce_requests", ora("geo_points views", f"""
 SELECT patch, CAST(level AS INTEGER) AS level, path, CAST(row_number() OVER (ORDER BY abs(lod), patch, level, path) AS INTEGER) AS rank, {S.q('lod', 1e4)} AS lod FROM (
- SELECT patch, level, path, min(lod) AS lod FROM miss GROUP BY ALL) QUALIFY rank<=8""", *TREE, _MISS, recursive=True))
+ SELECT patch, level, path, min(lod) AS lod FROM miss GROUP BY ALL) QUALIFY rank<=8""", *TREE, cut_sql("0.5"), _MISS, recursive=True))
 def _(fx):
     """The default bound of eight pending requests."""
     return lod.coalesce_requests(missing(fx), 8).select("patch", "level", "path", "rank", quantize(C("lod"), 1e4).alias("lod"))

@@ -11,7 +11,7 @@ from terrasphere.functions.sphere import rotate_axis
 from terrasphere.functions.vec import V3, num, put, ratio
 from terrasphere.operators.ordered import with_neighbors
 
-MAX_CONTROL_POINTS = 64
+SALTS = 64
 
 
 def _projected(points: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def segment_compression(plane_rows: DataFrame, strike_amount: float) -> DataFram
 
 
 def plane_array(plane_rows: DataFrame, separating: DataFrame, cut: str = "slope") -> DataFrame:
-    """One row per fault: the ordered planes as an array (at most 63 by the control point limit).
+    """One row per fault: the ordered planes as an array, however many control points it has.
 
     Each entry holds the cutting plane n, its distance, the strike, the dip vector and the
     separating planes on both sides.
@@ -101,7 +101,7 @@ def plane_array(plane_rows: DataFrame, separating: DataFrame, cut: str = "slope"
     n, dist, dip = ("g", "g_dist", "gd") if cut == "slope" else ("f", "f_dist", "fd")
     left = separating.select("fault_id", "ord", *[F.col("m" + a).alias("l" + a) for a in "xyz"])
     right = separating.select("fault_id", (F.col("ord") - 1).alias("ord"), *[F.col("m" + a).alias("r" + a) for a in "xyz"])
-    j = plane_rows.where(F.col("n_points") <= MAX_CONTROL_POINTS).join(left, ["fault_id", "ord"]).join(right, ["fault_id", "ord"])
+    j = plane_rows.join(left, ["fault_id", "ord"]).join(right, ["fault_id", "ord"])
     vec = lambda v, name: V3.of(v).struct().alias(name)
     entry = F.struct("ord", vec(n, "n"), F.col(dist).alias("w"), vec("s", "strike"), vec(dip, "dip"), vec("l", "left"), vec("r", "right"))
     return j.groupBy("fault_id").agg(F.array_sort(F.collect_list(entry)).alias("planes"))
@@ -113,10 +113,13 @@ def _signed(e: Column, p: V3, which: str) -> Column:
 
 
 def with_planes(points: DataFrame, arrays: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Attach the plane array. Without a key there is one fault: its single row is broadcast."""
+    """Attach the plane array. Without a key there is one fault: points are dealt over copies of its row, so neither
+    a broadcast nor one task has to hold them all."""
     if key:
         return points.join(arrays, key)
-    return points.crossJoin(F.broadcast(arrays.select("planes")))  # one row, at most 63 entries
+    copies = arrays.select("planes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, "_salt").drop("_salt")
 
 
 def nearest_plane(p: V3) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrasphere import EARTH_RADIUS
 from terrasphere.functions.sphere import cart_to_geodetic, geodetic_to_cart, to_scaled
 from terrasphere.functions.vec import V3, put, quantize, ratio
-from terrasphere.operators.ordered import CHUNK_ROWS, dense_order, running_sum, top_k, with_neighbors
+from terrasphere.operators.ordered import CHUNK_ROWS, dense_order, forward_fill, running_sum, with_neighbors
 
 KEY = ["patch", "level", "path"]
 SEG = ["line_id", "seg"]
@@ -90,16 +90,13 @@ def adjacent_controls(points: DataFrame) -> DataFrame:
         F.when(~last, F.col("_next")).alias("segment_end"))
 
 
-def segment_attributes(bridge: DataFrame, segs: DataFrame, cells: DataFrame, symbols: DataFrame, cap: int | None = None) -> DataFrame:
+def segment_attributes(bridge: DataFrame, segs: DataFrame, cells: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per cell and segment: ends relative to the cell's centroid (mx, my, mz), cumulative
-    coordinates, plane normal and symbol; cap keeps the first segments per cell."""
+    coordinates, plane normal and symbol."""
     n = V3.of("a").cross(V3.of("b"))
     s = put(segs, n=n.unit())
     df = bridge.join(s, SEG).join(cells.select(*KEY, "mx", "my", "mz"), KEY).join(symbols, "symbol_id", "left")
-    df = put(df, ra=V3.of("a") - V3.of("m"), rb=V3.of("b") - V3.of("m"))
-    if cap is not None:
-        df = top_k(df, KEY, [F.col("line_id"), F.col("seg")], cap)
-    return df
+    return put(df, ra=V3.of("a") - V3.of("m"), rb=V3.of("b") - V3.of("m"))
 
 
 def stale_cells(bridge: DataFrame, data: DataFrame) -> DataFrame:
@@ -143,16 +140,27 @@ def line_corridor(uv: DataFrame, sample_key: str) -> DataFrame:
 
 
 def allocate_ids(new: DataFrame, order_by: str, used: DataFrame, id_col: str = "id") -> DataFrame:
-    """Unique dense ids for new rows: released ids first, then above the highest."""
-    ids = used.select(F.col(id_col).cast("bigint").alias("_id")).distinct()
-    top = ids.agg(F.coalesce(F.max("_id"), F.lit(0)).alias("m")).first()["m"]
-    spark = new.sparkSession
-    free = spark.range(1, top + 1).select(F.col("id").alias("_id")).join(ids, "_id", "left_anti")
-    n_free = free.count()
-    ranked_free = dense_order(free.withColumn("_k", F.lit(0)), "_k", ["_id"], F.floor(F.col("_id") / CHUNK_ROWS), into="_rank").select("_rank", "_id")
-    rows = dense_order(new.withColumn("_k", F.lit(0)), "_k", [order_by], F.floor(F.col(order_by) / CHUNK_ROWS), into="_rank").drop("_k")
-    out = rows.join(ranked_free, "_rank", "left")
-    return out.withColumn(id_col, F.coalesce("_id", F.lit(top) + F.col("_rank") - F.lit(n_free))).drop("_rank", "_id")
+    """Unique dense ids for new rows: released ids first, then above the highest.
+
+    The released ids are the gaps between neighbouring used ones. Each gap (and the open
+    end) starts at a rank, so a new row finds its id from the gap that holds its rank;
+    nothing is generated for ids that no row takes.
+    """
+    ids = used.select(F.col(id_col).cast("bigint").alias("_id")).where("_id > 0").distinct()
+    ids = ids.unionByName(ids.sparkSession.range(1).select(F.col("id").alias("_id")))
+    ids = dense_order(ids.withColumn("_k", F.lit(0)), "_k", ["_id"], F.floor(F.col("_id") / CHUNK_ROWS))
+    gaps = with_neighbors(ids, "_k", lead={"_id": "_next"}).where("_next IS NULL OR _next > _id + 1")
+    gaps = gaps.withColumn("_n", F.coalesce(F.col("_next") - F.col("_id") - 1, F.lit(0))).select("_k", "_id", "_n", "ord")
+    gaps = dense_order(gaps.drop("ord"), "_k", ["_id"], F.floor(F.col("_id") / CHUNK_ROWS))
+    gaps = running_sum(gaps, "_k", "_n", "_upto").withColumn("_first", F.col("_upto") - F.col("_n"))
+    rows = dense_order(new.withColumn("_k", F.lit(0)), "_k", [order_by], F.floor(F.col(order_by) / CHUNK_ROWS), into="_rank")
+    # gap starts and rows in one order of ranks: a row takes the last gap that starts below its rank
+    marks = gaps.select(F.lit(0).alias("_k"), F.col("_first").alias("_at"), F.lit(0).alias("_row"), F.struct("_id", "_first").alias("_gap"))
+    asks = rows.select(F.lit(0).alias("_k"), (F.col("_rank") - 1).alias("_at"), F.lit(1).alias("_row"), F.lit(None).cast("struct<_id:bigint,_first:bigint>").alias("_gap"))
+    line = dense_order(marks.unionByName(asks), "_k", ["_at", "_row", F.col("_gap._id")], F.floor(F.col("_at") / CHUNK_ROWS))
+    found = forward_fill(line, ["_gap"], keys=["_k"]).where("_row = 1").select(
+        (F.col("_at") + 1).alias("_rank"), (F.col("_gap._id") + 1 + F.col("_at") - F.col("_gap._first")).alias("_id"))
+    return rows.join(found, "_rank").withColumn(id_col, F.col("_id")).drop("_rank", "_id", "_k")
 
 
 def read_geodetic(points: DataFrame, radius: float = EARTH_RADIUS) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from terrasphere import TILE_RESOLUTION
 from terrasphere.functions import keys
 from terrasphere.functions.vec import V3, put, ratio
-from terrasphere.operators.ordered import top_k
+from terrasphere.operators.ordered import dense_order, top_k
 from terrasphere.session import cut_lineage
 
 KEY = ["patch", "level", "path"]
+SHELL = 100_000.0  # metres of distance ordered in one task
 
 
 def frustum(views: DataFrame, half_angle_deg: float, near: float, far: float) -> DataFrame:
@@ -77,19 +78,19 @@ def value(screen_scale: float, scale: float = 1.0, bias: float = 0.0, n: int = T
     return F.log(lod / (n * 0.55)) * float(scale) + float(bias)
 
 
-def evaluate(cells: DataFrame, views: DataFrame, lod: Column, visible: Column | None = None) -> DataFrame:
-    """Every cell under every view: visible and lod."""
-    pairs = cells.crossJoin(views)
-    return pairs.withColumns({"visible": is_visible() if visible is None else visible, "lod": lod})
-
-
 def cut(cells: DataFrame, views: DataFrame, lod: Callable[[], Column], threshold: float = 1.0,
         visible: Callable[[], Column] | None = None, max_level: int | None = None) -> DataFrame:
-    """Tree cut per view: (view_id, KEY, visible, lod, wants).
+    """Tree cut per view: (view_id, KEY, visible, lod, wants, b*, e*)."""
+    return reached(cells, views, lod, threshold, visible, max_level).where("NOT split").drop("split")
+
+
+def reached(cells: DataFrame, views: DataFrame, lod: Callable[[], Column], threshold: float = 1.0,
+            visible: Callable[[], Column] | None = None, max_level: int | None = None) -> DataFrame:
+    """Every cell a view meets on its way down to the cut, evaluated: visible, lod, split, wants.
 
-    A visible cell with lod above the threshold is replaced by its children if all four
-    exist, otherwise it stays and its missing children are wanted. Invisible cells are
-    emitted as culled. The frontier meets cells on their key; a step adds one level.
+    A visible cell with lod above the threshold is replaced by its children (split) if all
+    four exist, otherwise it stays and its missing children are wanted. Invisible cells are
+    culled with all below them. The frontier meets cells on their key; a step adds one level.
     """
     visible = visible or is_visible
     body = ["bx", "by", "bz", "br"]
@@ -105,7 +106,8 @@ def cut(cells: DataFrame, views: DataFrame, lod: Callable[[], Column], threshold
         here = frontier.withColumns({"visible": visible(), "lod": lod()})
         deep = F.col("visible") & (F.col("lod") > threshold)
         split = deep & (F.col("_kids") == 4)
-        emitted = here.where(~split).select("view_id", *KEY, "visible", "lod", (deep & (F.col("_kids") < 4) & (F.col("_kids") > 0)).alias("wants"))
+        emitted = here.select("view_id", *KEY, "visible", "lod", split.alias("split"), (deep & (F.col("_kids") < 4) & (F.col("_kids") > 0)).alias("wants"),
+                              *["b" + a for a in "xyz"], *["e" + a for a in "xyz"])
         out = emitted if out is None else out.unionByName(emitted)
         if level == depth:
             break
@@ -119,12 +121,12 @@ def cut(cells: DataFrame, views: DataFrame, lod: Callable[[], Column], threshold
 
 
 def order_by_distance(front: DataFrame, k: int | None = None) -> DataFrame:
-    """Visible cells (view_id, KEY, b*, e*) with their distance, farthest first; k keeps the first ones."""
+    """Cells (view_id, KEY, b*, e*) with their distance and rank, farthest first; k keeps the first ones."""
     df = front.withColumn("dist", V3.of("b").dist(V3.of("e")))
     order = [F.col("dist").desc(), *[F.col(c) for c in KEY]]
     if k is not None:
         return top_k(df, ["view_id"], order, k)
-    return df.orderBy("view_id", *order)
+    return dense_order(df, "view_id", order, F.floor(-F.col("dist") / SHELL), into="rank")
 
 
 def missing_tiles(front: DataFrame, cells: DataFrame) -> DataFrame:

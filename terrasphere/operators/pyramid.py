@@ -44,17 +44,32 @@ def _scatter(c: str, kernel: tuple[float, ...]) -> Column:
     return F.when(g % 2 == 0, taps(0)).otherwise(taps(1))
 
 
+def kernel_weights(kernel) -> tuple[float, ...]:
+    """Separable weights of a kernel given by name or as 2r+1 numbers; 'point' has one tap."""
+    named = {"tent": TENT, "lanczos5": LANCZOS5, "point": (1.0,)}
+    return named[kernel] if isinstance(kernel, str) else tuple(kernel)
+
+
+def fed_vertices(changed: DataFrame, n: int, kernel="tent") -> DataFrame:
+    """Vertices (patch, level, gx, gy) of the next coarser level that changed ones feed, each once."""
+    weights = kernel_weights(kernel)
+    up = changed.where(F.col("level") > 0).select("patch", (F.col("level") - 1).cast("int").alias("level"), _scatter("gx", weights).alias("_x"), _scatter("gy", weights).alias("_y"))
+    flat = up.select("patch", "level", F.explode("_x.p").alias("gx"), "_y").distinct().select("patch", "level", "gx", F.explode("_y.p").alias("gy"))
+    top = side(F.col("level"), n)
+    return flat.where(F.col("gx").between(0, top) & F.col("gy").between(0, top)).distinct()
+
+
 def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False) -> DataFrame:
     """Next coarser level. kernel: 'tent', 'lanczos5', 'point' or 2r+1 separable weights.
 
-    with_weight adds the total weight of the valid taps.
+    with_weight adds the weighted sum (numerator) and the total weight of the valid taps.
     """
     valid = fine.where(F.col("value").isNotNull() & (F.col("level") > 0))
     up = (F.col("level") - 1).cast("int")
     if kernel == "point":
         even = valid.where((F.col("gx") % 2 == 0) & (F.col("gy") % 2 == 0))
         return even.select("patch", up.alias("level"), keys.shr(F.col("gx"), 1).alias("gx"), keys.shr(F.col("gy"), 1).alias("gy"), "value")
-    weights = {"tent": TENT, "lanczos5": LANCZOS5}.get(kernel, kernel) if isinstance(kernel, str) else tuple(kernel)
+    weights = kernel_weights(kernel)
     top = side(F.col("level"), n)
     src = valid.withColumns({"level": up, "_xs": _scatter("gx", weights), "_ys": _scatter("gy", weights)})
     if len(weights) <= 3:
@@ -73,7 +88,7 @@ def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False
         sums = flat.groupBy("patch", "level", "gx", F.col("y.p").alias("gy")).agg(
             F.sum(F.col("y.w") * F.col("_s")).alias("_s"), F.sum(F.col("y.w") * F.col("_w")).alias("weight"))
     out = ["patch", "level", "gx", "gy", (F.col("_s") / F.col("weight")).alias("value")]
-    return sums.where(F.col("weight") != 0).select(*out, *(["weight"] if with_weight else []))
+    return sums.where(F.col("weight") != 0).select(*out, *([F.col("_s").alias("numerator"), "weight"] if with_weight else []))
 
 
 def upsample(coarse: DataFrame, n: int, cells: DataFrame | None = None) -> DataFrame:

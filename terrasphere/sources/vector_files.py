@@ -74,11 +74,10 @@ def write_lines(points: DataFrame, radius: float = EARTH_RADIUS, part_rows: int
         F.lit("Feature").alias("type"), geometry.alias("geometry"), props.alias("properties"))).alias("feature"))
 
 
-def read_features(features: DataFrame, symbols: DataFrame, default_symbol: int = 0, radius: float = EARTH_RADIUS,
-                  limit: int | None = None) -> DataFrame:
+def read_features(features: DataFrame, symbols: DataFrame, default_symbol: int = 0, radius: float = EARTH_RADIUS) -> DataFrame:
     """Control points of 3-D line string features (column feature, JSON); other geometry is skipped.
 
-    An unknown symbol becomes the default one. limit keeps that many features, none by default.
+    An unknown symbol becomes the default one.
     """
     schema = (
         f"type string, geometry struct<type:string,coordinates:{COORDS}>, "
@@ -86,8 +85,6 @@ def read_features(features: DataFrame, symbols: DataFrame, default_symbol: int =
     f = features.select(F.from_json("feature", schema).alias("f"))
     ok = (F.col("f.geometry.type") == "LineString") & F.forall("f.geometry.coordinates", lambda c: F.size(c) == 3)
     f = f.where(ok)
-    if limit is not None:
-        f = f.limit(limit)
     known = symbols.select("symbol_id").distinct()
     pts = f.select(
         F.col("f.properties.line_id").alias("line_id"), F.col("f.properties.part").alias("part"),
