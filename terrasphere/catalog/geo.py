@@ -9,6 +9,7 @@ from terrasphere.catalog import sqlkit as S
 from terrasphere.catalog.base import ora, query
 from terrasphere.functions import georef, hits, sphere
 from terrasphere.functions.vec import V3, put, quantize
+from terrasphere.operators.lines import unwrap_rings
 
 C = F.col
 
@@ -209,11 +210,9 @@ def _(fx):
     """Rings stretched across the antimeridian, wrapped to (-pi, pi] and unwrapped again."""
     lon = F.radians(C("x") * 1.05)
     wrapped = F.when(lon > sphere.HALF_PI * 2, lon - sphere.TWO_PI).otherwise(lon)
-    ring = fx.polygons.groupBy("poly_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", wrapped.alias("lon"), F.radians("y").alias("lat")))).alias("ring"))
-    flat = F.transform("ring", lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
-    return ring.select("poly_id", F.posexplode(sphere.unwrap_lonlat(flat)).alias("ord", "v")).select(
-        "poly_id", "ord", quantize(C("v.lon")).alias("lon"), quantize(C("v.lat")).alias("lat"))
+    ring = fx.polygons.select("poly_id", (C("ord") + 1).cast("bigint").alias("ord"), wrapped.alias("lon"), F.radians("y").alias("lat"))
+    return unwrap_rings(ring, "poly_id").select(
+        "poly_id", (C("ord") - 1).cast("int").alias("ord"), quantize(C("lon")).alias("lon"), quantize(C("lat")).alias("lat"))
 
 
 @query("geo_slerp", ora("point_pairs", f"""

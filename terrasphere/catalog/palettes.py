@@ -67,6 +67,23 @@ def _(fx):
     return PL.map_layer(values(fx), fx.palette).select("image_id", "px", "py", *rgba_q())
 
 
+# one palette per residue of the image, cut from the fixed one and scaled
+PALS = """pals AS (SELECT CAST(k AS BIGINT) AS pid, value*(1+k) AS value, r, g, b, a FROM palette, (VALUES (0),(1),(2)) AS t(k) WHERE NOT (k=1 AND value=25))"""
+IVK = """iv AS (SELECT * FROM (SELECT pid, value AS lo, lead(value) OVER w AS hi, r, g, b, a, lead(r) OVER w AS r2, lead(g) OVER w AS g2, lead(b) OVER w AS b2, lead(a) OVER w AS a2,
+ row_number() OVER w AS i, count(*) OVER (PARTITION BY pid) AS n FROM pals WINDOW w AS (PARTITION BY pid ORDER BY value)) WHERE hi IS NOT NULL)"""
+TABK = f"""tab AS (SELECT pid, idx, {', '.join(lerp('x', c) + ' AS ' + c for c in RGBA)} FROM (SELECT pid, idx, lo_+(hi_-lo_)/255.0*idx AS x FROM (SELECT unnest(range(256)) AS idx), (SELECT pid, min(value) AS lo_, max(value) AS hi_ FROM pals GROUP BY pid)) JOIN iv USING (pid) WHERE {on('x')})"""
+
+
+@query("pal_map_layers", ora("pixels palette", "SELECT v.image_id, v.px, v.py, " + ", ".join(f"{S.q(f'coalesce({c},0.0)')} AS {c}" for c in RGBA)
+                             + " FROM vals v LEFT JOIN tab ON pid=image_id%4 AND v.value IS NOT NULL AND idx=CAST(floor(least(greatest(value/(50*(1+pid)),0),1)*255+0.5) AS INTEGER)", VALUES, PALS, IVK, TABK))
+def _(fx):
+    """Pixels of a table whose images have palettes of their own; every fourth image has none."""
+    k = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("pid")
+    pals = fx.palette.select(k, "*").where(~((C("pid") == 1) & (C("value") == 25))).withColumn("value", C("value") * (1 + C("pid")))
+    df = values(fx).withColumn("pid", C("image_id") % 4)
+    return PL.map_layer(df, pals, k=256, key="pid").select("image_id", "px", "py", *rgba_q())
+
+
 @query("pal_value_range", ora("pixels palette", """
 SELECT image_id, {0} AS lo, {1} AS hi FROM (SELECT image_id, min(value) AS mn, max(value) AS mx FROM pixels GROUP BY image_id)""".format(
     S.q("mn+(mx-mn)*0.2"), S.q("mn+(mx-mn)*1.0"))))

@@ -6,6 +6,8 @@ vector columns x, y, z or lon_deg, lat_deg, elev. Segment ord joins points ord a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +141,26 @@ def line_corridor(uv: DataFrame, sample_key: str) -> DataFrame:
     ).select(sample_key, "covers", F.when(F.col("covers") > 1, "multiple").otherwise("single").alias("coverage"), "best.*")
 
 
+def unwrap_rings(vertices: DataFrame, key: str) -> DataFrame:
+    """Vertices (key, ord dense from 1, lon, lat in radians) with consecutive longitudes near each other.
+
+    Turns over the antimeridian are counted by a running sum in chunks, so a ring of any
+    length is spread over tasks. A vertex at a pole takes the longitude before it; leaving
+    a pole adds a pole vertex (part 0, before part 1) at the new longitude.
+    """
+    pole = F.abs(F.lit(math.pi / 2) - F.abs(F.col("lat"))) < 1e-5
+    v = vertices.withColumn("_lon", F.when(~pole | (F.col("ord") == 1), F.col("lon")))
+    v = forward_fill(v, ["_lon"], keys=[key])
+    v = with_neighbors(v, key, lag={"_lon": "_back", "lat": "_lat"})
+    step = F.col("_lon") - F.col("_back")
+    v = running_sum(v.withColumn("_turn", F.when(step > math.pi, -1).when(step < -math.pi, 1).otherwise(0)), key, "_turn", "_turns")
+    lon = F.col("_lon") + 2 * math.pi * F.col("_turns")
+    leaving = F.coalesce(F.abs(F.lit(math.pi / 2) - F.abs(F.col("_lat"))) < 1e-5, F.lit(False))
+    own = F.struct(F.lit(1).alias("part"), lon.alias("lon"), F.col("lat").alias("lat"))
+    extra = F.struct(F.lit(0).alias("part"), lon.alias("lon"), F.col("_lat").alias("lat"))
+    return v.select(key, "ord", F.inline(F.when(leaving, F.array(extra, own)).otherwise(F.array(own))))
+
+
 def allocate_ids(new: DataFrame, order_by: str, used: DataFrame, id_col: str = "id") -> DataFrame:
     """Unique dense ids for new rows: released ids first, then above the highest.
 

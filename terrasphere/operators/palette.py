@@ -12,44 +12,52 @@ RGBA = ("r", "g", "b", "a")
 TABLE_SIZE = 1024
 
 
-def intervals(palette: DataFrame) -> DataFrame:
-    """Consecutive point pairs: lo, hi and colours lo_*, hi_*; first and last are flagged.
+def _keyed(df: DataFrame, key: str | None) -> DataFrame:
+    """One palette is a table of palettes with one id."""
+    return df.withColumn("_p", F.lit(0) if key is None else F.col(key))
+
+
+def intervals(palette: DataFrame, key: str | None = None) -> DataFrame:
+    """Consecutive point pairs of each palette (_p): lo, hi and colours lo_*, hi_*; first and last are flagged.
 
     A palette is a hand-made dimension of a few points, ordered in one small window.
     """
-    w = W.orderBy("value")
+    w = W.partitionBy("_p").orderBy("value")
     nxt = {f"hi_{c}": F.lead(c).over(w) for c in RGBA}
-    df = palette.withColumns({"hi": F.lead("value").over(w), "_i": F.row_number().over(w), **nxt}).where(F.col("hi").isNotNull())
-    n = F.max("_i").over(W.partitionBy())
+    df = _keyed(palette, key).withColumns({"hi": F.lead("value").over(w), "_i": F.row_number().over(w), **nxt}).where(F.col("hi").isNotNull())
+    n = F.max("_i").over(W.partitionBy("_p"))
     return df.select(
-        F.col("value").alias("lo"), "hi", *[F.col(c).alias(f"lo_{c}") for c in RGBA], *nxt,
+        "_p", F.col("value").alias("lo"), "hi", *[F.col(c).alias(f"lo_{c}") for c in RGBA], *nxt,
         (F.col("_i") == 1).alias("is_first"), (F.col("_i") == n).alias("is_last"))
 
 
-def interpolate(df: DataFrame, palette: DataFrame, value: str = "value", buckets: int = 256) -> DataFrame:
+def interpolate(df: DataFrame, palette: DataFrame, value: str = "value", buckets: int = 256, key: str | None = None) -> DataFrame:
     """Add the linear colour of value. Outside the range the nearest pair extrapolates.
 
-    Intervals and values meet on a bucket of the palette's range: an equi-join that
-    Catalyst broadcasts because of the palette's measured size.
+    With a key, rows take the palette of their own id. Intervals and values meet on a
+    bucket of the palette's range: an equi-join that Catalyst broadcasts because of the
+    palettes' measured size. A palette of fewer than two points gives no colour.
     """
-    rng = palette.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
-    width = ((rng["hi"] - rng["lo"]) / buckets) or 1.0
+    rng = _keyed(palette, key).groupBy("_p").agg(F.min("value").alias("_lo"), (F.max("value") - F.min("value")).alias("_w"))
+    rng = rng.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w") / buckets).otherwise(F.lit(1.0)))
+
     def bucket(c):
-        return F.least(F.greatest(F.floor((c - rng["lo"]) / width), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    iv = intervals(palette).withColumn("_b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
+        return F.least(F.greatest(F.floor((c - F.col("_lo")) / F.col("_w")), F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+    iv = intervals(palette, key).join(rng, "_p").withColumn("_b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))).drop("_lo", "_w")
     v = F.col(value)
     inside = (F.col("is_first") | (v > F.col("lo"))) & (F.col("is_last") | (v <= F.col("hi")))
     # degenerate spans between equal points never match, as their interval is empty
-    left = df.withColumn("_b", F.when(v.isNotNull(), bucket(v)))
-    hit = left.join(iv, "_b", "left").where(v.isNull() | inside)
+    left = _keyed(df, key).join(rng, "_p", "left").withColumn("_b", F.when(v.isNotNull(), bucket(v)))
+    hit = left.join(iv, ["_p", "_b"], "left").where(v.isNull() | F.col("lo").isNull() | inside)
     t = ratio(v - F.col("lo"), F.col("hi") - F.col("lo"))
     return hit.select(*df.columns, *[(F.col(f"lo_{c}") * (1 - t) + F.col(f"hi_{c}") * t).alias(c) for c in RGBA])
 
 
-def value_range(palette: DataFrame) -> DataFrame:
-    """min_value, max_value; NULL for fewer than two points."""
+def value_range(palette: DataFrame, key: str | None = None) -> DataFrame:
+    """min_value, max_value (of each palette); NULL for fewer than two points."""
     ok = F.count(F.lit(1)) >= 2
-    return palette.agg(F.when(ok, F.min("value")).alias("min_value"), F.when(ok, F.max("value")).alias("max_value"))
+    return palette.groupBy(*([key] if key else [])).agg(F.when(ok, F.min("value")).alias("min_value"), F.when(ok, F.max("value")).alias("max_value"))
 
 
 def set_range(palette: DataFrame, new_min: float, new_max: float) -> DataFrame:
@@ -58,13 +66,13 @@ def set_range(palette: DataFrame, new_min: float, new_max: float) -> DataFrame:
     return palette.withColumn("value", F.lit(float(new_min)) + (F.col("value") - lo) * ratio(float(new_max) - float(new_min), hi - lo))
 
 
-def discretize(palette: DataFrame, k: int = TABLE_SIZE) -> DataFrame:
-    """k evenly spaced colours: idx, value, r, g, b, a."""
-    rng = value_range(palette)
+def discretize(palette: DataFrame, k: int = TABLE_SIZE, key: str | None = None) -> DataFrame:
+    """k evenly spaced colours (of each palette): idx, value, r, g, b, a."""
+    rng = value_range(palette, key)
     idx = rng.where(F.col("min_value").isNotNull()).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("idx"))
-    at = idx.select("idx", (F.col("min_value") + (F.col("max_value") - F.col("min_value")) / (k - 1) * F.col("idx")).alias("value"))
-    return interpolate(at, palette)
+    at = idx.select(*([key] if key else []), "idx", (F.col("min_value") + (F.col("max_value") - F.col("min_value")) / (k - 1) * F.col("idx")).alias("value"))
+    return interpolate(at, palette, key=key)
 
 
 def shift_range(lo: Column, hi: Column, new_min: Column) -> tuple[Column, Column]:
@@ -116,12 +124,12 @@ def table_index(value: Column, lo: Column, hi: Column, k: int, clamp: bool = Tru
     return F.when(value.isNotNull(), i) if clamp else F.when(inside, i)
 
 
-def map_layer(df: DataFrame, palette: DataFrame, value: str = "value", k: int = TABLE_SIZE, clamp: bool = True) -> DataFrame:
-    """Colour by table look-up; nodata becomes transparent black."""
-    rng = value_range(palette).first()
-    table = discretize(palette, k).select("idx", *RGBA)
-    idx = table_index(F.col(value), F.lit(rng["min_value"]), F.lit(rng["max_value"]), k, clamp)
-    hit = df.withColumn("idx", idx).join(F.broadcast(table), "idx", "left")  # k rows
+def map_layer(df: DataFrame, palette: DataFrame, value: str = "value", k: int = TABLE_SIZE, clamp: bool = True, key: str | None = None) -> DataFrame:
+    """Colour by table look-up, with a key by the table of each row's own palette; nodata becomes transparent black."""
+    rng = _keyed(value_range(palette, key), key).select("_p", "min_value", "max_value")
+    table = _keyed(discretize(palette, k, key), key).select("_p", "idx", *RGBA)
+    placed = _keyed(df, key).join(rng, "_p", "left").withColumn("idx", table_index(F.col(value), F.col("min_value"), F.col("max_value"), k, clamp))
+    hit = placed.join(table, ["_p", "idx"], "left")
     return hit.select(*df.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in RGBA])
 
 
