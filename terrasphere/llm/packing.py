@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasphere.llm.tables import pieces, table
-from terrasphere.llm.tokens import Encoder, vocabulary
+from terrasphere.llm.tokens import encoder, vocabulary
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -79,7 +79,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, part, made = Encoder(path), Packer(capacity), 0, 0
+        known, packer, part, made = encoder(path), Packer(capacity), 0, 0
 
         def rows(windows):
             nonlocal made
@@ -94,8 +94,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in pieces(batches, "text"):
-            ids, bounds = encoder.encode(batch.column("text"))
+        for batch in pieces(batches, "text", 2 << 20):
+            ids, bounds = known.encode(batch.column("text"))
             part, done = batch.column("part")[0].as_py(), []
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 n, whole = b - a, (b - a) // capacity * capacity

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrasphere.llm.tables import pieces, scratch, table
-from terrasphere.llm.tokens import Encoder, vocabulary
+from terrasphere.llm.tokens import encoder, vocabulary
 
 SAMPLE_DOCUMENTS = 1000
 DICTIONARY_BYTES = 64 << 10
@@ -37,9 +37,9 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE_DOCUMENTS,
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `sample` numbers
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in pieces(batches, "text"):
-            ids, bounds = encoder.encode(batch.column("text"))
+        known = encoder(path)
+        for batch in pieces(batches, "text", 2 << 20):
+            ids, bounds = known.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["ids"])
 
     samples = [bytes(r.ids) for r in rows.mapInArrow(serialise, "ids binary").collect()]
@@ -65,7 +65,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, seg
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = Encoder(path), zstandard.ZstdCompressor(level=3, dict_data=_dict(dictionary), write_content_size=True)
+        known, press = encoder(path), zstandard.ZstdCompressor(level=3, dict_data=_dict(dictionary), write_content_size=True)
         part, seq, ids_of, counts, frames, held = 0, 0, [], [], [], 0
 
         def out():
@@ -75,8 +75,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, seg
                  pa.array([counts], pa.list_(pa.int64())), pa.array([2], pa.int32()), pa.array([name]), pa.array([b"".join(frames)], pa.binary())],
                 ["part", "seq", "doc_ids", "offsets", "n_tokens", "id_bytes", "dictionary_hash", "blob"])
 
-        for batch in pieces(batches, "text"):
-            ids, bounds = encoder.encode(batch.column("text"))
+        for batch in pieces(batches, "text", 2 << 20):
+            ids, bounds = known.encode(batch.column("text"))
             small = ids.astype("<u2")
             part = batch.column("part")[0].as_py()
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:]):

@@ -18,7 +18,7 @@ from terrasphere.llm.tables import offsets_of, ranges
 from terrasphere.llm.words import LOWER, SPACED, flat, prefix_hash, span_hash, split
 
 END_ID = 1
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 800_000
 JOINED = 2000
 SIGNS = np.isin(np.arange(256), np.frombuffer(b".,;:!?*$%&#()\"=+/@-", np.uint8))
 PLAIN = np.array([48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
@@ -41,7 +41,7 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts; one per task."""
+    """Encodes texts and keeps what it has learned of their chunks."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -72,9 +72,10 @@ class Encoder:
             counts.append(np.array([len(e.ids)]))
         n = np.concatenate(counts)
         at = len(self.ids) + offsets_of(n)[:-1]
-        known = np.concatenate([self.known, hashes[order]])
-        rank = np.argsort(known)
-        self.known, self.at, self.n = known[rank], np.concatenate([self.at, at])[rank], np.concatenate([self.n, n])[rank]
+        rank = np.argsort(hashes[order])
+        new = hashes[order][rank]
+        place = np.searchsorted(self.known, new)
+        self.known, self.at, self.n = (np.insert(a, place, v) for a, v in ((self.known, new), (self.at, at[rank]), (self.n, n[rank])))
         self.ids = np.concatenate([self.ids, *parts])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,3 +111,9 @@ class Encoder:
         # a word's ids start after those of all words before it and the end ids of earlier texts
         ids[ranges(offsets_of(n)[:-1] + doc, n)] = self.ids[ranges(at, n)]
         return ids, bounds
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which serves one task after the other."""
+    return Encoder(path)
