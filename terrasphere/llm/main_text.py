@@ -331,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches, "html", 1 << 20):
+        for batch in pieces(batches, "html"):
             read = [Page(h or "") for h in batch.column("html").to_pylist()]
             x = [features(p) for p in read]
             odds = np.split(model.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])

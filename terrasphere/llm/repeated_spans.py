@@ -104,7 +104,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     [pa.array(key[doc]), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(s0 - off[doc]), pa.array(s1 - off[doc])], ["key", "anchor", "run", "s0", "s1"])
 
     found = stored(keyed.mapInArrow(scan, "key long, anchor long, run long, s0 long, s1 long"), "anchor-runs")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors-met-again")
     found = stored(found.join(again, "anchor"), "repeated-anchors")
     kinds = found.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "s0", "s1")).alias("x"))
     kinds = stored(kinds.select("anchor", "run", "n", "x.*"), "run-kinds")
