@@ -7,15 +7,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from terrasphere.catalog import sqlkit as S
-from terrasphere.catalog.base import ora, query
+from terrasphere.catalog.base import ORACLE, ora, query
 from terrasphere.catalog.coverage import COV, bridge
 from terrasphere.catalog.geo import vq
 from terrasphere.catalog.grid import P, PATCHED, points, walk
-from terrasphere.fixtures import VIEWS
+from terrasphere.catalog.lines import edits
+from terrasphere.catalog.views import missing
+from terrasphere.fixtures import LATTICE_N, VIEWS
 from terrasphere.functions.vec import V3, put, quantize
 from terrasphere.operators import grid as G
 from terrasphere.operators import homography as H
+from terrasphere.plans.build import build
 from terrasphere.session import checkpoint_root
+from terrasphere.sources.pyramid_store import read_pyramid
 from terrasphere.streaming import jobs
 
 C = F.col
@@ -83,15 +87,56 @@ def _(fx):
 
 
 @query("stm_stale_coverage", ora("geo_points line_points line_edits", """
-SELECT c.patch, CAST(c.level AS INTEGER) AS level, c.path, max(e.edit_ts) AS edit_ts FROM lcov c JOIN (SELECT line_id, max(edit_ts) AS edit_ts FROM line_edits GROUP BY line_id) e USING (line_id)
-WHERE e.edit_ts>=TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL""", *COV, recursive=True))
+SELECT c.patch, CAST(c.level AS INTEGER) AS level, c.path, min(e.edit_ts) AS edit_ts FROM lcov c JOIN line_edits e USING (line_id)
+WHERE c.path%4=1 OR e.edit_ts>=TIMESTAMP '2024-01-10 00:00:00' GROUP BY ALL""", *COV, recursive=True))
 def _(fx):
-    """Line data of all cells is as of 10 January."""
-    b = bridge(fx).select("line_id", "patch", "level", "path").distinct().withColumn("data_stamp", F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    """Line data of all cells is as of 10 January, but for those whose path ends in child 1, which have none."""
+    stamp = F.when(C("path") % 4 != 1, F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    b = bridge(fx).select("line_id", "patch", "level", "path").distinct().withColumn("data_stamp", stamp)
     out = jobs.stale_coverage(fx.line_edits, b)
     return out.withColumn("edit_ts", C("edit_ts").cast("timestamp_ntz"))
 
 
+def _through_stream(fx, rows, name, start):
+    """Write rows as the input of a stream, start it on them and wait; returns its scratch folder."""
+    root = f"{checkpoint_root(fx.spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/in")
+    stream = fx.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    start(stream, root).awaitTermination()
+    return root
+
+
+@query("stm_pyramid_update", ORACLE["pyr_update"])
+def _(fx):
+    """Changes of a third of the patches arrive as a stream and are applied to the built pyramid."""
+    path = f"{checkpoint_root(fx.spark)}/pyramid-{uuid.uuid4().hex}"
+    build(fx.spark, fx.lattice, path, LATTICE_N)
+    old = fx.lattice.where((C("patch") % 3 == 0) & (C("gx") % 2 == 0)).withColumn("ts", F.lit(1))
+    new = old.withColumns({"value": C("value") + 100, "ts": F.lit(2)})
+    _through_stream(fx, old.unionByName(new), "changes", lambda s, root: jobs.pyramid_update(s, path, LATTICE_N, f"{root}/ckpt"))
+    return read_pyramid(fx.spark, path).select("patch", "level", "gx", "gy", quantize(C("value"), 1e4).alias("value"))
+
+
+@query("stm_line_edits", ORACLE["vec_apply_edits"])
+def _(fx):
+    """All edits arrive as one batch of a stream onto the stored control points."""
+    store = f"{checkpoint_root(fx.spark)}/lines-{uuid.uuid4().hex}"
+    cols = ["lon_deg", "lat_deg"]
+    fx.line_points.select("line_id", "ord", *cols).write.parquet(f"{store}/version=0")
+    _through_stream(fx, edits(fx), "edits", lambda s, root: jobs.line_edits(s, store, cols, f"{root}/ckpt"))
+    return jobs.latest_lines(fx.spark, store).select("line_id", "ord", *cols)
+
+
+@query("stm_request_queue", ORACLE["lod_coalesce_requests"])
+def _(fx):
+    """All requests of a trigger merged; what is handed on is kept."""
+    def start(stream, root):
+        return jobs.request_queue(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out"), f"{root}/ckpt", 8)
+
+    root = _through_stream(fx, missing(fx).select("patch", "level", "path", "lod"), "requests", start)
+    return fx.spark.read.parquet(f"{root}/out").select("patch", "level", "path", "rank", quantize(C("lod"), 1e4).alias("lod"))
+
+
 _M = ((1.1, 0.1, 0.0, 0.3), (0.05, 0.9, 0.2, -0.2), (0.0, 0.15, 1.2, 0.1), (0.02, 0.03, 0.01, 1.5))
 
 

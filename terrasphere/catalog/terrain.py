@@ -27,13 +27,13 @@ def surface(fx):
     return T.extruded(tiles(fx), fx.terrain, N, 2.0, 0.0)
 
 
-def _refine(name: str, depth: int) -> str:
-    """Quads of every level-2 tile by recursive midpoints; the middle is the mean of four corners."""
+def _refine(name: str, depth: int, level: int = L) -> str:
+    """Quads of every tile of a level by recursive midpoints; the middle is the mean of four corners."""
     c = S.cols(*S.CORNERS)
     mids = ", ".join(S.lin(n + "0", ("1", u), ("1", v)) for n, u, v in (("t", "d", "c"), ("l", "c", "a"), ("m", "a", "f"), ("r", "f", "d")))
     o = S.lin("o0", ("1", "a"), ("1", "f"), ("1", "c"), ("1", "d"))
     units = ", ".join(S.unit(n + "0", n) for n in "tlmro")
-    return (f"{name} AS (SELECT patch, path, 0 AS k, 0 AS qi, 0 AS qj, {c} FROM cells WHERE level={L}\n UNION ALL SELECT patch, path, k+1, 2*qi+child%2, 2*qj+child//2, {S.pick('child')}\n"
+    return (f"{name} AS (SELECT patch, path, 0 AS k, 0 AS qi, 0 AS qj, {c} FROM cells WHERE level={level}\n UNION ALL SELECT patch, path, k+1, 2*qi+child%2, 2*qj+child//2, {S.pick('child')}\n"
             f"  FROM (SELECT *, {units} FROM (SELECT *, {mids}, {o} FROM {name} WHERE k<{depth})) JOIN (VALUES (0),(1),(2),(3)) AS z(child) ON true)")
 
 
@@ -146,15 +146,38 @@ def _(fx):
     return out.where((C("t") < 20) | C("t").isNull()).select("point_id", quantize(C("t")).alias("t"), "side")
 
 
-@query("ter_intersect")
+def _quads(level: int) -> list[str]:
+    """Quads m<level> of the stored tiles of one level of the mixed terrain, with grown corners."""
+    r = f"rm{level}"
+    tx, ty = (f"CAST({_bits('path', 0, level, k)} AS BIGINT)" for k in (0, 1))
+    h = ", ".join(f"{u}{a}*(6371000+coalesce(h{u}.value,0)*2) AS {u}{a}" for u in S.CORNERS for a in "xyz")
+    j = " ".join(f"LEFT JOIN terrain_mixed h{u} ON h{u}.level={level} AND h{u}.patch=r.patch AND h{u}.gx=r.tx*16+r.qi+{dx} AND h{u}.gy=r.ty*16+r.qj+{dy}"
+                 for u, dx, dy in (("a", 0, 0), ("f", 1, 0), ("c", 0, 1), ("d", 1, 1)))
+    return [_refine(r, 4, level),
+            f"st{level} AS (SELECT DISTINCT patch, gx//16 AS tx, gy//16 AS ty FROM terrain_mixed WHERE level={level} AND gx%16<>0 AND gy%16<>0)",
+            f"m{level} AS MATERIALIZED (SELECT r.patch, {level} AS level, r.path, r.qi, r.qj, r.tx, r.ty, {h} FROM (SELECT *, {tx} AS tx, {ty} AS ty FROM {r} WHERE k=4) r JOIN st{level} o ON o.patch=r.patch AND o.tx=r.tx AND o.ty=r.ty {j})"]
+
+
+_RAYS = f"""eye AS (SELECT view_id AS ray_id, {S.sph('eye_lon_deg', 'eye_lat_deg', 'o', 'eye_r')}, {S.sph('eye_lon_deg+7', 'eye_lat_deg*0.9', 'g', '6371000.0*0.9')} FROM views),
+ray AS (SELECT ray_id, {S.cols('o')}, {S.unit('d0', 'p')} FROM (SELECT *, {S.lin('d0', ('1', 'g'), ('-1', 'o'))} FROM eye))"""
+_MIXED = f"""mix AS MATERIALIZED (SELECT * EXCLUDE (tx, ty) FROM m2 q WHERE NOT EXISTS (SELECT 1 FROM st3 c WHERE c.patch=q.patch AND c.tx=2*q.tx+(CASE WHEN q.qi>=8 THEN 1 ELSE 0 END) AND c.ty=2*q.ty+(CASE WHEN q.qj>=8 THEN 1 ELSE 0 END))
+ UNION ALL SELECT * EXCLUDE (tx, ty) FROM m3),
+tri AS MATERIALIZED (SELECT patch, level, path, qi, qj, {S.cols('a')}, {', '.join(f'CASE WHEN k=0 THEN d{a} ELSE f{a} END-a{a} AS e{a}, CASE WHEN k=0 THEN c{a} ELSE d{a} END-a{a} AS g{a}' for a in 'xyz')} FROM mix, (VALUES (0),(1)) AS z(k)),
+near AS (SELECT ray_id, t.*, {S.cols('p')}, {', '.join(f'o{a}-a{a} AS w{a}' for a in 'xyz')} FROM ray, tri t WHERE abs((ax-ox)*(py*1.0)-(ay-oy)*px)<1e6 AND abs((ay-oy)*pz-(az-oz)*py)<1e6 AND abs((ax-ox)*pz-(az-oz)*px)<1e6)"""
+
+
+@query("ter_intersect", ora("terrain_mixed views", f"""
+SELECT ray_id, {S.q('min(t)', 1)} AS t, arg_min(patch,t) AS patch, CAST(arg_min(level,t) AS INTEGER) AS level, arg_min(path,t) AS path, CAST(arg_min(qi,t) AS BIGINT) AS cx, CAST(arg_min(qj,t) AS BIGINT) AS cy FROM (
+ SELECT *, -{_cramer('e', 'g', 'p')} AS det, -({_cramer('w', 'g', 'p')})/det AS u, -({_cramer('e', 'w', 'p')})/det AS v, {_cramer('e', 'g', 'w')}/det AS t FROM near)
+ WHERE det>0 AND u>=-1e-12 AND v>=-1e-12 AND u+v<=1+1e-12 AND t>=0 GROUP BY ray_id""", S.BASE, S.cells_cte(3), *_quads(2), *_quads(3), _RAYS, _MIXED, recursive=True))
 def _(fx):
-    """Rays of all views towards a point below the horizon of their eye."""
+    """Rays of all views towards a point below the horizon of their eye, over terrain of two depths."""
     v = put(fx.views.select(C("view_id").alias("ray_id"), "eye_lon_deg", "eye_lat_deg", "eye_r"),
             o=sphere.sph_to_cart(F.radians("eye_lon_deg"), F.radians("eye_lat_deg"), C("eye_r")),
             g=sphere.sph_to_cart(F.radians(C("eye_lon_deg") + 7), F.radians(C("eye_lat_deg") * 0.9), F.lit(6371000.0 * 0.9)))
     rays = put(v, d=(V3.of("g") - V3.of("o")).unit())
-    out = T.intersect(rays, fx.terrain, N, vertical_scale=2.0)
-    return out.select("ray_id", quantize(C("t"), 1).alias("t"), "patch", "path", "cx", "cy")
+    out = T.intersect(rays, fx.terrain_mixed, N, vertical_scale=2.0)
+    return out.select("ray_id", quantize(C("t"), 1).alias("t"), "patch", "level", "path", "cx", "cy")
 
 
 @query("ter_probe_range", ora("pixels", """

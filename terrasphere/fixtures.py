@@ -69,6 +69,17 @@ VIEWS: dict[str, str] = {
           CAST(l_orderkey%65 AS BIGINT) AS gy,
           CASE WHEN min(l_quantity)=1 THEN NULL ELSE min(l_quantity)*1000 END AS value
         FROM lineitem GROUP BY 1,3,4""",
+    # the terrain and, over a third of the patches, about half of the tiles of the next finer level
+    "terrain_mixed": f"""
+        SELECT CAST(l_suppkey%30 AS INTEGER) AS patch, {TERRAIN_LEVEL} AS level, CAST(l_partkey%65 AS BIGINT) AS gx,
+          CAST(l_orderkey%65 AS BIGINT) AS gy,
+          CASE WHEN min(l_quantity)=1 THEN NULL ELSE min(l_quantity)*1000 END AS value
+        FROM lineitem GROUP BY 1,3,4
+        UNION ALL SELECT CAST(l_suppkey%30 AS INTEGER) AS patch, {TERRAIN_LEVEL + 1} AS level, CAST(l_partkey%129 AS BIGINT) AS gx,
+          CAST(l_orderkey%129 AS BIGINT) AS gy,
+          CASE WHEN min(l_quantity)=1 THEN NULL ELSE min(l_quantity)*1500 END AS value
+        FROM lineitem WHERE l_suppkey%3=0 AND l_partkey%129%16<>0 AND l_orderkey%129%16<>0
+          AND (CAST(floor(l_partkey%129/16) AS BIGINT)*3+CAST(floor(l_orderkey%129/16) AS BIGINT)*5)%4<2 GROUP BY 1,3,4""",
     "line_points": """
         SELECT o_custkey AS line_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,o_orderkey) AS BIGINT) AS ord,
           CAST((o_custkey*37)%340 AS DOUBLE)-170+CAST(o_orderkey%100 AS DOUBLE)/CAST(10 AS DOUBLE) AS lon_deg,

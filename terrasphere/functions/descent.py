@@ -235,6 +235,17 @@ def _udfs():
             c = enter(c, which)
         return pd.Series(sub)
 
+    def place(x: pd.Series, y: pd.Series, z: pd.Series, depth: pd.Series) -> pd.DataFrame:
+        p = _points(x, y, z)
+        where = _patches(p)
+        c = ROOT_CORNERS[where]
+        ix, iy = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        for _ in range(int(depth.iloc[0]) if len(depth) else 0):
+            which = choose(c, p)
+            ix, iy = 2 * ix + (which & 1), 2 * iy + (which >> 1)
+            c = enter(c, which)
+        return pd.DataFrame({"patch": where, "ix": ix, "iy": iy})
+
     def scope(patch: pd.Series, level: pd.Series, path: pd.Series) -> pd.DataFrame:
         c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
         return pd.DataFrame(c.reshape(len(c), 12), columns=SCOPE_NAMES)
@@ -244,6 +255,7 @@ def _udfs():
         "cell": F.pandas_udf(cell, "patch int, path bigint"),
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
         "below": F.pandas_udf(below, "bigint"),
+        "place": F.pandas_udf(place, "patch int, ix bigint, iy bigint"),
         "ring": F.pandas_udf(ring, "array<struct<lon:double,lat:double>>"),
     }
 
@@ -257,6 +269,16 @@ def cell_of(p: V3, level: Column) -> Column:
     return _udfs()["cell"](p.x, p.y, p.z, level)
 
 
+def place_of(p: V3, depth: int) -> Column:
+    """struct<patch, ix, iy>: column and row of the cell holding p, 2^depth of them along a side.
+
+    No path is kept, so the depth may pass that of stored cells, up to the bits of a double.
+    """
+    if depth > 52:
+        raise ValueError("a position has at most 52 bits along a side")
+    return _udfs()["place"](p.x, p.y, p.z, F.lit(depth))
+
+
 def choose_path(patch: Column, level: Column, path: Column, p: V3, deeper: int) -> Column:
     """Path of the cell holding p, relative to a cell, a number of levels further down."""
     return _udfs()["below"](patch, level, path, p.x, p.y, p.z, F.lit(deeper))

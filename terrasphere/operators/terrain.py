@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from terrasphere import EARTH_RADIUS
 from terrasphere.functions import hits, keys
-from terrasphere.functions.descent import choose_path, ray_descend, refine, with_scope
+from terrasphere.functions.descent import choose_path, place_of, ray_descend, refine, with_scope
 from terrasphere.functions.sphere import cart_to_geodetic
 from terrasphere.functions.vec import V3, num, put, ratio
-from terrasphere.operators.pyramid import fill_defaults, tile_stats
+from terrasphere.operators.grid import ancestors
+from terrasphere.operators.pyramid import fill_defaults, level_asof, tile_stats
 from terrasphere.session import cut_lineage
 
 KEY = ["patch", "level", "path"]
@@ -96,14 +97,30 @@ def snap(points: DataFrame, heights: DataFrame, n: int, key: list[str], offset=0
 
 
 def lattice_position(points: DataFrame, n: int, level: int, extra_levels: int = 20) -> DataFrame:
-    """Continuous lattice position fx, fy of directions p* on a level, by descending further."""
+    """Continuous lattice position fx, fy of directions p* on a level: the middle of a cell extra_levels below a quad."""
+    deep = level + (n - 1).bit_length() - 1 + extra_levels
+    df = points.withColumn("_at", place_of(V3.of("p"), deep))
+    scale = float(n - 1) * 2.0**level / 2.0**deep
+    return df.select(*points.columns, F.col("_at.patch").alias("patch"), F.lit(level).alias("level"),
+                     ((F.col("_at.ix") + 0.5) * scale).alias("fx"), ((F.col("_at.iy") + 0.5) * scale).alias("fy"))
+
+
+def stored_tiles(heights: DataFrame, n: int) -> DataFrame:
+    """Tiles that are stored themselves: those with a vertex (of any value) inside their border."""
+    size = n - 1
+    inner = heights.where((F.col("gx") % size != 0) & (F.col("gy") % size != 0))
+    tx, ty = F.floor(F.col("gx") / size).cast("bigint"), F.floor(F.col("gy") / size).cast("bigint")
+    return inner.select("patch", "level", keys.path_of_tile(F.col("level"), tx, ty).alias("path")).distinct()
+
+
+def with_finest(points: DataFrame, tiles: DataFrame, key: list[str], level: int) -> DataFrame:
+    """Points (p*) with the finest stored tile (KEY) that holds them, down to a level; points over no tile go."""
     from terrasphere.operators.grid import with_cell
 
-    deep = min(level + (n - 1).bit_length() - 1 + extra_levels, 23)
-    df = with_cell(points, V3.of("p"), deep)
-    tx, ty = keys.tile_xy(F.col("level"), F.col("path"))
-    scale = float(n - 1) * 2.0**level / 2.0**deep
-    return df.withColumns({"fx": (tx + 0.5) * scale, "fy": (ty + 0.5) * scale}).withColumn("level", F.lit(level)).drop("path")
+    cells = with_cell(points.select(*key, "px", "py", "pz"), V3.of("p"), level)
+    found = level_asof(cells, tiles.select(*KEY), key)
+    own = found.select(*key, "patch", F.col("found_level").alias("level"), keys.ancestor_path(F.col("path"), F.col("found_level")).alias("path"))
+    return points.join(own, key)
 
 
 def cell_exit(o: V3, d: V3, t_in: Column) -> tuple[Column, Column]:
@@ -120,47 +137,66 @@ def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id",
               radius: float = EARTH_RADIUS) -> DataFrame:
     """First terrain hit of each ray (o*, d*): t, hit position, tile and quad.
 
-    The root step already drops rays outside the elevation shell. The frontier of (ray,
-    cell) rows then descends level by level; a step is a narrow kernel (children whose
-    sides and elevation shell the ray meets) and an equi-join with the tile ranges. Leaf
-    quads are tested as triangles and the nearest hit kept by aggregation.
+    The frontier of (ray, cell) rows descends level by level; a step is a narrow kernel
+    (children whose sides and elevation shell the ray meets) and an equi-join with the
+    stored tiles. Where a child is not stored, its quadrant of the parent is searched in
+    the parent's own grid, so tiles of any mix of levels count, each where nothing finer is
+    stored. Quads are tested as triangles and the nearest hit kept by aggregation.
     """
     vs = float(vertical_scale)
     stats = tile_stats(heights, n).select(*KEY, F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
-    stats = cut_lineage(stats)
-    depth = stats.agg(F.max("level")).first()[0]
+    own = stored_tiles(heights, n).withColumn("_own", F.lit(True))
+    tree = ancestors(own.select(*KEY)).select(*KEY).distinct().join(own, KEY, "left")
+    # a tile without values of its own still spans the default height
+    tree = cut_lineage(tree.join(stats, KEY, "left").withColumn("_own", F.coalesce("_own", F.lit(False))))
+    depth = tree.agg(F.max("level")).first()[0]
     vec = [f"{v}{a}" for v in "od" for a in "xyz"]
     if depth is None:
         return rays.select(key, *[F.lit(None).cast("double").alias(c) for c in ("t", "hx", "hy", "hz")]).where(F.lit(False))
-    # a tile without values of its own still spans the default height
-    frontier = ray_descend(rays.select(key, *vec), [key], 0)
-    found = None
-    for level in range(depth + 1):
-        here = frontier.join(stats.where(F.col("level") == level), KEY)
-        lo, hi = F.least("_lo", F.lit(default)) * vs, F.greatest("_hi", F.lit(default)) * vs
+    deeper = (n - 1).bit_length() - 1
+    # _sl: level of the finest stored tile above a cell; _bare: nothing finer is stored below
+    rays = rays.select(key, *vec, F.lit(-1).alias("_sl"), F.lit(False).alias("_bare"))
+    carried = [key, "_sl", "_bare"]
+    frontier = ray_descend(rays, carried, 0)
+    parts = []
+    for level in range(depth + deeper + 1):
+        here = frontier.join(tree.where(F.col("level") == level), KEY, "left") if level <= depth else frontier.withColumns(
+            {"_own": F.lit(None).cast("boolean"), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
+        gone = F.col("_bare") | F.col("_own").isNull()
+        lo, hi = F.least(F.coalesce("_lo", F.lit(default)), F.lit(default)) * vs, F.greatest(F.coalesce("_hi", F.lit(default)), F.lit(default)) * vs
         o, d = V3.of("o"), V3.of("d")
         t0, t1 = hits.ray_sphere_both(o, d, V3(0.0, 0.0, 0.0), num(radius) + hi)
-        here = here.where(t0.isNotNull() & (t1 >= F.col("t_in")) & (t0 <= F.col("t_out"))).drop("_lo", "_hi")
-        if level == depth:
-            found = here
-            break
-        frontier = ray_descend(here, [key], level + 1)
-        if level % 4 == 3:
-            frontier = cut_lineage(frontier)
-    tiles = found.select(*KEY).distinct()
-    q = quads(extruded(tiles, heights, n, vs, default, radius), n)
-    # only quads near the ray: descend the tile's own grid with the same kernel
-    deeper = (n - 1).bit_length() - 1
-    sub = found
-    for k in range(1, deeper + 1):
-        sub = ray_descend(sub, [key], depth + k, tile_level=depth)
-    cx, cy = keys.tile_xy(F.lit(deeper), keys.shr(F.col("path"), F.lit(2 * depth)))
-    cand = sub.select(key, *vec, "patch", F.lit(depth).alias("level"), keys.ancestor_path(F.col("path"), F.lit(depth)).alias("path"),
-                      cx.alias("_cx"), cy.alias("_cy"))
+        in_shell = t0.isNotNull() & (t1 >= F.col("t_in")) & (t0 <= F.col("t_out"))
+        here = here.where((gone & (F.col("_sl") >= 0)) | (~gone & in_shell))
+        here = here.withColumns({"_bare": gone, "_sl": F.when(~gone & F.col("_own"), F.lit(level)).otherwise(F.col("_sl"))}).drop("_lo", "_hi", "_own")
+        if level < deeper:
+            frontier = ray_descend(here, carried, level + 1)
+            continue
+        # quads of the tile's own grid that the ray is over
+        if level % 2 == 0:
+            here = cut_lineage(here)
+        at = F.col("_sl") + deeper
+        done = F.col("_bare") & (F.lit(level) >= at)
+        grid = keys.ancestor_path(F.col("path"), at)
+        cx, cy = keys.tile_xy(F.lit(deeper), keys.shr(grid, 2 * F.col("_sl")))
+        parts.append(here.where(done).select(key, *vec, "patch", F.col("_sl").alias("level"), keys.ancestor_path(F.col("path"), F.col("_sl")).alias("path"), cx.alias("_cx"), cy.alias("_cy")))
+        if level < depth + deeper:
+            frontier = ray_descend(here.where(~done), carried, level + 1)
+    cand = parts[0]
+    for part in parts[1:]:
+        cand = cand.unionByName(part)
     # extruded quads lean away from the sphere grid by less than one cell
     offs = F.array(*[F.lit(i).cast("bigint") for i in (-1, 0, 1)])
     cand = cand.withColumn("cx", F.explode(F.transform(offs, lambda i: F.col("_cx") + i))).withColumn(
         "cy", F.explode(F.transform(offs, lambda i: F.col("_cy") + i))).drop("_cx", "_cy").distinct()
+    # a neighbour may lie in a quadrant that a stored child replaces
+    half = 1 << (deeper - 1)
+    quadrant = F.when(F.col("cx") >= half, 1).otherwise(0) + F.when(F.col("cy") >= half, 2).otherwise(0)
+    below = keys.child(F.col("level"), F.col("path"), quadrant)[1]
+    finer = tree.where("_own").select("patch", F.col("level").alias("_l"), F.col("path").alias("_p"))
+    cand = cand.withColumns({"_l": (F.col("level") + 1).cast("int"), "_p": below}).join(finer, ["patch", "_l", "_p"], "left_anti").drop("_l", "_p")
+    cand = cut_lineage(cand)
+    q = quads(extruded(cand.select(*KEY).distinct(), heights, n, vs, default, radius), n)
     tri = cand.join(q, [*KEY, "cx", "cy"])
     v = [V3.of(f"v{k}") for k in range(4)]
     o, d = V3.of("o"), V3.of("d")

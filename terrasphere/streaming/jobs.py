@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +22,7 @@ from terrasphere.operators.ordered import top_k
 from terrasphere.plans.build import update
 
 KEY = ["patch", "level", "path"]
+BUCKETS = 64
 
 
 def ingest_points(points: DataFrame, level: int, width: str, slide: str | None = None, watermark: str = "1 hour", value: str = "value") -> DataFrame:
@@ -48,37 +50,64 @@ def pyramid_update(changes: DataFrame, path: str, n: int, checkpoint: str, layer
 
 
 def line_edits(edits: DataFrame, store: str, cols: list[str], checkpoint: str, **trigger) -> StreamingQuery:
-    """Stream of line edits onto a versioned table of control points under `store`.
+    """Stream of line edits onto a table of control points under `store`.
 
-    Version b + 1 holds the lines after batch b, and version 0 is the start. A repeated
+    version=0 is the start. Lines are dealt to BUCKETS by hash; batch b writes the buckets
+    it touches to changed/version=b+1, and a bucket's newest version counts. A repeated
     batch overwrites its own version. Edits are joined and renumbered in chunks, so a hot
     line is not kept in the state of one task.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.parquet(f"{store}/version={batch_id}")
-        apply_edits(current, batch, cols).write.mode("overwrite").parquet(f"{store}/version={batch_id + 1}")
+        touched = batch.select(_bucket().alias("bucket")).distinct()  # at most BUCKETS rows
+        buckets = [r.bucket for r in touched.collect()]
+        if not buckets:
+            return
+        current = _lines(batch.sparkSession, store, cols, batch_id).where(F.col("bucket").isin(buckets))
+        after = apply_edits(current, batch, cols).withColumn("bucket", _bucket())
+        # a row without a line marks every bucket as written, also one that lost all its lines
+        mark = touched.select(*[F.lit(None).cast(t).alias(c) for c, t in after.dtypes if c != "bucket"], "bucket")
+        after.unionByName(mark).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/changed/version={batch_id + 1}")
 
     return edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _bucket():
+    return F.pmod(F.xxhash64("line_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _lines(spark: SparkSession, store: str, cols: list[str] | None, upto: int | None) -> DataFrame:
+    """Control points after the batches up to version `upto`, with their bucket."""
+    start = spark.read.parquet(f"{store}/version=0")
+    cols = cols or [c for c in start.columns if c not in ("line_id", "ord")]
+    start = start.select("line_id", "ord", *cols, _bucket().alias("bucket"))
+    try:
+        changed = spark.read.parquet(f"{store}/changed")
+    except AnalysisException:  # no batch has been applied yet
+        return start
+    if upto is not None:
+        changed = changed.where(F.col("version") <= upto)
+    newest = changed.where("line_id IS NULL").groupBy("bucket").agg(F.max("version").alias("version"))
+    latest = changed.join(newest, ["bucket", "version"], "left_semi").where("line_id IS NOT NULL")
+    return start.join(newest, "bucket", "left_anti").unionByName(latest.select(*start.columns))
+
+
 def latest_lines(spark: SparkSession, store: str) -> DataFrame:
     """Control points of the newest version."""
-    versions = spark.read.parquet(store).select("version").distinct()
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{store}/version={newest}")
+    return _lines(spark, store, None, None).drop("bucket")
 
 
 def stale_coverage(edits: DataFrame, bridge: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Cells (KEY, edit_ts) whose line data (line_id, KEY, data_stamp) is not newer than an edit of
-    the line: a stream-static join, each cell once within the watermark."""
+    """Cells (KEY, edit_ts) whose line data (line_id, KEY, data_stamp) is missing or not newer than an
+    edit of the line, with the first edit that made them stale: a stream-static join, each cell once
+    within the watermark."""
     e = edits.select("line_id", F.col("edit_ts").cast("timestamp").alias("edit_ts"))
     if edits.isStreaming:
         e = e.withWatermark("edit_ts", watermark)
-    hit = e.join(bridge, "line_id").where(F.col("data_stamp").cast("timestamp") <= F.col("edit_ts"))
+    stamp = F.col("data_stamp").cast("timestamp")
+    hit = e.join(bridge, "line_id").where(stamp.isNull() | (stamp <= F.col("edit_ts")))
     if edits.isStreaming:
         return hit.select(*KEY, "edit_ts").dropDuplicatesWithinWatermark(KEY)
-    return hit.groupBy(*KEY).agg(F.max("edit_ts").alias("edit_ts"))
+    return hit.groupBy(*KEY).agg(F.min("edit_ts").alias("edit_ts"))
 
 
 def request_queue(requests: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, k: int = 8, **trigger) -> StreamingQuery:
