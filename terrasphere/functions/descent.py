@@ -54,6 +54,15 @@ def choose(c: np.ndarray, p: np.ndarray) -> np.ndarray:
     return ((vertical * p).sum(1) < 0).astype(np.int64) + 2 * ((horizontal * p).sum(1) < 0)
 
 
+def choose_fine(c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """choose() from differences of near vectors: exact where cells are too small for their cross products."""
+    def beyond(a, b):
+        a, b = a / 2, b / 2
+        return (np.cross(a, b - a) * (p - a)).sum(1) < 0
+
+    return beyond(c[:, 0] + c[:, 1], c[:, 2] + c[:, 3]).astype(np.int64) + 2 * beyond(c[:, 1] + c[:, 3], c[:, 0] + c[:, 2])
+
+
 def locate(patch: np.ndarray, p: np.ndarray, levels: np.ndarray) -> np.ndarray:
     c = ROOT_CORNERS[patch]
     path = np.zeros(len(patch), np.int64)
@@ -241,7 +250,7 @@ def _udfs():
         c = ROOT_CORNERS[where]
         ix, iy = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         for _ in range(int(depth.iloc[0]) if len(depth) else 0):
-            which = choose(c, p)
+            which = choose_fine(c, p)
             ix, iy = 2 * ix + (which & 1), 2 * iy + (which >> 1)
             c = enter(c, which)
         return pd.DataFrame({"patch": where, "ix": ix, "iy": iy})
