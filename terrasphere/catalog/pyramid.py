@@ -12,7 +12,7 @@ from terrasphere.fixtures import LATTICE_LEVEL, LATTICE_N
 from terrasphere.functions import keys
 from terrasphere.functions.vec import quantize
 from terrasphere.operators import pyramid as Y
-from terrasphere.plans.build import build, update
+from terrasphere.plans.build import build, build_images, update
 from terrasphere.session import checkpoint_root
 from terrasphere.sources.pyramid_store import read_pyramid
 
@@ -145,6 +145,17 @@ def _(fx):
     return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e4).alias("value"))
 
 
+@query("pyr_build_images")
+def _(fx):
+    """All images and their pixels; every fifth image is twice as fine, every seventh covers its first half only."""
+    finer = C("image_id") % 5 == 0
+    images = fx.images.withColumns({"gt1": F.when(finer, C("gt1") / 2).otherwise(C("gt1")), "gt5": F.when(finer, C("gt5") / 2).otherwise(C("gt5"))})
+    half = fx.images.where(C("image_id") % 7 == 0).select("image_id", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("ord"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate(((0.0, 0.0), (11.5, 0.0), (11.5, 23.0), (0.0, 23.0)))])))
+    out, _ = build_images(fx.spark, images, fx.pixels, scratch(fx, "pyramid"), N, coverage=half)
+    return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e3).alias("value"))
+
+
 _UPD = [c.replace("FROM lattice", "FROM merged") for c in _CHAIN]
 
 

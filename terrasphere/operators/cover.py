@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasphere.functions import keys
 from terrasphere.functions.descent import SCOPE_NAMES, cell_ring, image_descend, segment_descend, with_scope
 from terrasphere.functions.vec import V3
-from terrasphere.operators.coverage import image_ring
+from terrasphere.operators.coverage import coverage_rings, image_ring
 from terrasphere.operators.grid import ancestors, segment_intersects, with_side_sections
 from terrasphere.session import cut_lineage
 
@@ -21,15 +21,18 @@ def scope_footprint(cells: DataFrame, subdivisions: int = 3) -> DataFrame:
     return cells.withColumn("ring", cell_ring(F.col("patch"), F.col("level"), F.col("path"), subdivisions))
 
 
-def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int = 3) -> DataFrame:
+def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int = 3, coverage: DataFrame | None = None) -> DataFrame:
     """(image_id, patch, level, path) of the tiles an image touches at its level.
 
     The frontier carries the image's own ring, so a descent is narrow: no join, never
     images times tiles. After every stride levels it is spread by (image, path), because
-    one large image may hold most of it, and checkpointed.
+    one large image may hold most of it, and checkpointed. Images with given coverage
+    polygons (image_id, ord, x, y in pixels) count where these lie.
     """
     lv = level if isinstance(level, Column) else F.lit(level)
     start = images.withColumns({"_r": image_ring(subdivisions), "want": lv.cast("int")})
+    if coverage is not None:
+        start = start.join(coverage_rings(images, coverage), "image_id", "left").withColumn("_r", F.coalesce("_given", "_r"))
     frontier = start.select(
         "image_id", F.flatten(F.transform("_r", lambda v: F.array(v["lon"], v["lat"]))).alias("ring"), "want")
     top = images.agg(F.max(lv)).first()[0]
