@@ -20,12 +20,17 @@ def _types(s: np.ndarray) -> np.ndarray:
     return small
 
 
+def _by_letter(c: np.ndarray, letters: int) -> np.ndarray:
+    """Stable order of small numbers; 16-bit ones are sorted by radix."""
+    return np.argsort(c.astype(np.uint16) if letters <= 1 << 16 else c, kind="stable")
+
+
 def _push(sa: np.ndarray, fill: np.ndarray, s: np.ndarray, found: np.ndarray, step: int) -> None:
     """Put suffixes into their buckets in the order given, from the fill marks up (1) or down (-1)."""
     if not len(found):
         return
     c = s[found]
-    order = np.argsort(c, kind="stable")
+    order = _by_letter(c, len(fill))
     c = c[order]
     first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     count = np.diff(np.r_[first, len(c)])
@@ -81,7 +86,7 @@ def _doubled(s: np.ndarray) -> np.ndarray:
         later = np.zeros(len(s), np.int64)
         later[:-k] = rank[k:] + 1
         pair = rank * (int(rank.max()) + 2) + later
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         new = np.r_[0, np.cumsum(pair[order][1:] != pair[order][:-1])]
         rank = np.empty(len(s), np.int64)
         rank[order] = new
@@ -99,7 +104,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     marked = np.zeros(len(s), bool)
     marked[leftmost] = True
-    sa = _induce(s, small, leftmost[np.argsort(s[leftmost], kind="stable")])
+    sa = _induce(s, small, leftmost[_by_letter(s[leftmost], int(s.max()) + 1)])
     ordered = sa[marked[sa]]
     # name the substrings between leftmost-smaller suffixes; equal ones follow each other
     sums = np.zeros(len(s) + 1, np.uint64)
