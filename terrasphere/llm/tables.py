@@ -37,6 +37,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
     for batch in batches:
         if not batch.num_rows:
             continue
+        release()
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
@@ -46,6 +47,17 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             at = to
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def offsets_of(counts):
     """Start of each run of the given lengths, and the end of the last."""
     import numpy as np
