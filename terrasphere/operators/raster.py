@@ -7,28 +7,40 @@ from pyspark.sql import functions as F
 
 from terrasphere.functions.georef import Georef
 
-SAMPLE_BLOCK_DEG = 4.0
 FOLD_CHUNK = 4096
 
 
-def image_blocks(images: DataFrame, step: float = SAMPLE_BLOCK_DEG) -> DataFrame:
-    """Images exploded to the lon/lat blocks under their footprint (bx, by)."""
+def image_blocks(images: DataFrame) -> DataFrame:
+    """Images exploded to the lon/lat blocks under their footprint (size_class, bx, by).
+
+    Blocks are 2^size_class degrees wide, the first power of two that is no less than the
+    image, so an image lies on at most four and a block holds images of its own size only.
+    """
     g = Georef()
     corners = [g.image_to_system(x, y) for x in (F.lit(-0.5), F.col("size_x") - 0.5) for y in (F.lit(-0.5), F.col("size_y") - 0.5)]
+    lo, hi = ([pick(*[c[k] for c in corners]) for k in (0, 1)] for pick in (F.least, F.greatest))
+    wide = F.greatest(hi[0] - lo[0], hi[1] - lo[1], F.lit(1e-9))
+    df = images.withColumn("size_class", F.ceil(F.log2(wide)).cast("int"))
     def span(k):
-        lo, hi = F.least(*[c[k] for c in corners]), F.greatest(*[c[k] for c in corners])
-        return F.sequence(F.floor(lo / step).cast("int"), F.floor(hi / step).cast("int"))
-    return images.withColumn("bx", F.explode(span(0))).withColumn("by", F.explode(span(1)))
+        step = block_step()
+        return F.sequence(F.floor(lo[k] / step).cast("bigint"), F.floor(hi[k] / step).cast("bigint"))
+    return df.withColumn("bx", F.explode(span(0))).withColumn("by", F.explode(span(1)))
+
+
+def block_step() -> Column:
+    return F.pow(F.lit(2.0), F.col("size_class").cast("double"))
 
 
-def sample_points(points: DataFrame, images: DataFrame, keep: list[str], step: float = SAMPLE_BLOCK_DEG) -> DataFrame:
+def sample_points(points: DataFrame, images: DataFrame, keep: list[str]) -> DataFrame:
     """Positions sx, sy of every point (lon_deg, lat_deg) in every image that holds it.
 
-    Equi-join on the block; AQE splits a hot block.
+    Equi-join on the block of each size class in use; AQE splits a hot block.
     """
-    p = points.select(*keep, "lon_deg", "lat_deg").withColumns({
-        "bx": F.floor(F.col("lon_deg") / step).cast("int"), "by": F.floor(F.col("lat_deg") / step).cast("int")})
-    joined = p.join(image_blocks(images, step), ["bx", "by"])
+    blocks = image_blocks(images)
+    classes = blocks.select("size_class").distinct()  # powers of two between 1e-9 and 360 degrees: under 40 rows
+    p = points.select(*keep, "lon_deg", "lat_deg").crossJoin(F.broadcast(classes)).withColumns({
+        "bx": F.floor(F.col("lon_deg") / block_step()).cast("bigint"), "by": F.floor(F.col("lat_deg") / block_step()).cast("bigint")})
+    joined = p.join(blocks, ["size_class", "bx", "by"])
     sx, sy = Georef().system_to_image(F.col("lon_deg"), F.col("lat_deg"))
     return joined.withColumns({"sx": sx, "sy": sy}).where(
         F.col("sx").between(0, F.col("size_x") - 1) & F.col("sy").between(0, F.col("size_y") - 1)
