@@ -221,7 +221,23 @@ def _(fx):
     return G.deepest_existing(df, existing, "point_id").select("point_id", C("level").alias("found_level"))
 
 
-@query("grid_refine")
+def refine_cte(name: str, depth: int, level: int) -> str:
+    """Quads of every tile of a level by recursive midpoints; the middle is the mean of four corners."""
+    c = S.cols(*S.CORNERS)
+    mids = ", ".join(S.lin(n + "0", ("1", u), ("1", v)) for n, u, v in (("t", "d", "c"), ("l", "c", "a"), ("m", "a", "f"), ("r", "f", "d")))
+    o = S.lin("o0", ("1", "a"), ("1", "f"), ("1", "c"), ("1", "d"))
+    units = ", ".join(S.unit(n + "0", n) for n in "tlmro")
+    return (f"{name} AS (SELECT patch, path, 0 AS k, 0 AS qi, 0 AS qj, {c} FROM cells WHERE level={level}\n UNION ALL SELECT patch, path, k+1, 2*qi+child%2, 2*qj+child//2, {S.pick('child')}\n"
+            f"  FROM (SELECT *, {units} FROM (SELECT *, {mids}, {o} FROM {name} WHERE k<{depth})) JOIN (VALUES (0),(1),(2),(3)) AS z(child) ON true)")
+
+
+_VERTICES = " UNION ALL ".join(f"SELECT patch, path, qi+{dx} AS i, qj+{dy} AS j, {', '.join(f'{u}{a} AS w{a}' for a in 'xyz')} FROM ref WHERE k=4" for u, dx, dy in (("a", 0, 0), ("f", 1, 0), ("c", 0, 1), ("d", 1, 1)))
+
+
+@query("grid_refine", ora("geo_points", f"""
+SELECT patch, path, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {sq('v', 'w')} FROM (
+ SELECT patch, path, i, j, {', '.join(f'any_value(w{a}) AS w{a}' for a in 'xyz')} FROM ({_VERTICES}) JOIN (SELECT DISTINCT patch, path FROM walk WHERE level=3) USING (patch, path) GROUP BY ALL)""",
+    *walk(3), S.cells_cte(3), refine_cte("ref", 4, 3), recursive=True))
 def _(fx):
     """17 x 17 lattice of every occupied level-3 cell."""
     v = refine(with_scope(occupied(fx, 3)), 17, ["patch", "path"])

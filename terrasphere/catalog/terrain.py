@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrasphere.catalog import sqlkit as S
 from terrasphere.catalog.base import ora, query
 from terrasphere.catalog.geo import PAIRS, pairs, sq, vq
-from terrasphere.catalog.grid import P, points, side_hits, walk
+from terrasphere.catalog.grid import P, points, refine_cte, side_hits, walk
 from terrasphere.functions import sphere
 from terrasphere.functions.patches import base_scopes
 from terrasphere.functions.vec import V3, put, quantize
@@ -27,23 +27,13 @@ def surface(fx):
     return T.extruded(tiles(fx), fx.terrain, N, 2.0, 0.0)
 
 
-def _refine(name: str, depth: int, level: int = L) -> str:
-    """Quads of every tile of a level by recursive midpoints; the middle is the mean of four corners."""
-    c = S.cols(*S.CORNERS)
-    mids = ", ".join(S.lin(n + "0", ("1", u), ("1", v)) for n, u, v in (("t", "d", "c"), ("l", "c", "a"), ("m", "a", "f"), ("r", "f", "d")))
-    o = S.lin("o0", ("1", "a"), ("1", "f"), ("1", "c"), ("1", "d"))
-    units = ", ".join(S.unit(n + "0", n) for n in "tlmro")
-    return (f"{name} AS (SELECT patch, path, 0 AS k, 0 AS qi, 0 AS qj, {c} FROM cells WHERE level={level}\n UNION ALL SELECT patch, path, k+1, 2*qi+child%2, 2*qj+child//2, {S.pick('child')}\n"
-            f"  FROM (SELECT *, {units} FROM (SELECT *, {mids}, {o} FROM {name} WHERE k<{depth})) JOIN (VALUES (0),(1),(2),(3)) AS z(child) ON true)")
-
-
 _TX = "(path%2)*2+(path//4)%2"
 _TY = "((path//2)%2)*2+(path//8)%2"
 # quads with grown corners; every tile of the lattice is occupied where a vertex exists
 _H = ", ".join(f"{u}{a}*(6371000+coalesce(h{u}.value,0)*2) AS {u}{a}" for u in S.CORNERS for a in "xyz")
 _J = " ".join(f"LEFT JOIN terrain h{u} ON h{u}.patch=r.patch AND h{u}.gx=r.tx*16+r.qi+{dx} AND h{u}.gy=r.ty*16+r.qj+{dy}"
               for u, dx, dy in (("a", 0, 0), ("f", 1, 0), ("c", 0, 1), ("d", 1, 1)))
-SURF = (S.BASE, S.cells_cte(L), _refine("ref", 4),
+SURF = (S.BASE, S.cells_cte(L), refine_cte("ref", 4, L),
         f"occ AS (SELECT DISTINCT patch, gx//16-ox AS tx, gy//16-oy AS ty FROM terrain, (VALUES (0),(1)) AS p(ox), (VALUES (0),(1)) AS q(oy) WHERE (ox=0 OR (gx%16=0 AND gx>0)) AND (oy=0 OR (gy%16=0 AND gy>0)) AND gx//16-ox<=3 AND gy//16-oy<=3)",
         f"quad AS MATERIALIZED (SELECT r.patch, r.path, r.qi, r.qj, {_H} FROM (SELECT *, {_TX} AS tx, {_TY} AS ty FROM ref WHERE k=4) r JOIN occ o ON o.patch=r.patch AND o.tx=r.tx AND o.ty=r.ty {_J})",
         "vtx AS MATERIALIZED (SELECT patch, path, i, j, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM (" + " UNION ALL ".join(
@@ -153,7 +143,7 @@ def _quads(level: int) -> list[str]:
     h = ", ".join(f"{u}{a}*(6371000+coalesce(h{u}.value,0)*2) AS {u}{a}" for u in S.CORNERS for a in "xyz")
     j = " ".join(f"LEFT JOIN terrain_mixed h{u} ON h{u}.level={level} AND h{u}.patch=r.patch AND h{u}.gx=r.tx*16+r.qi+{dx} AND h{u}.gy=r.ty*16+r.qj+{dy}"
                  for u, dx, dy in (("a", 0, 0), ("f", 1, 0), ("c", 0, 1), ("d", 1, 1)))
-    return [_refine(r, 4, level),
+    return [refine_cte(r, 4, level),
             f"st{level} AS (SELECT DISTINCT patch, gx//16 AS tx, gy//16 AS ty FROM terrain_mixed WHERE level={level} AND gx%16<>0 AND gy%16<>0)",
             f"m{level} AS MATERIALIZED (SELECT r.patch, {level} AS level, r.path, r.qi, r.qj, r.tx, r.ty, {h} FROM (SELECT *, {tx} AS tx, {ty} AS ty FROM {r} WHERE k=4) r JOIN st{level} o ON o.patch=r.patch AND o.tx=r.tx AND o.ty=r.ty {j})"]
 
