@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from terrasphere.session import checkpoint_root
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_terrasphere_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="terrasphere-")) / "terrasphere-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._terrasphere_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
