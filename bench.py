@@ -16,6 +16,7 @@ HEADLINE = {
     "bilinear_mosaic": "ras_mosaic_bilinear",
     "downsample_level": "pyr_downsample",
     "full_pyramid": "pyr_build",
+    "pyramid_update": "pyr_update",
     "tile_stats": "pyr_tile_stats",
     "segment_cell_coverage": "cov_segment_cell_join",
     "cumulative_length": "vec_cumulative_length",

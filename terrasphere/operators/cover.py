@@ -60,7 +60,7 @@ def segment_cell_join(segs: DataFrame, max_level: int, existing: DataFrame | Non
     if existing is None:
         out = segment_descend(segs.select(*seg_keys, *vec), seg_keys, 0, max_level)
         return out.withColumn("is_leaf", F.col("level") == max_level).select(*seg_keys, *KEY, "is_leaf")
-    have = existing.select(*KEY).distinct()
+    have = cut_lineage(existing.select(*KEY).distinct())
     parents = have.where(F.col("level") > 0).select(
         "patch", (F.col("level") - 1).cast("int").alias("level"),
         keys.ancestor_path(F.col("path"), F.col("level") - 1).alias("path")).distinct().withColumn("_inner", F.lit(True))
@@ -68,8 +68,7 @@ def segment_cell_join(segs: DataFrame, max_level: int, existing: DataFrame | Non
     found = frontier
     for level in range(1, max_level + 1):
         frontier = segment_descend(frontier, seg_keys, level, level).join(have.where(F.col("level") == level), KEY, "left_semi")
-        if level % 4 == 0:
-            frontier = cut_lineage(frontier)
+        frontier = cut_lineage(frontier)  # read twice: by the next level and by the result
         found = found.unionByName(frontier)
     flagged = found.join(parents, KEY, "left")
     return flagged.select(*seg_keys, *KEY, F.col("_inner").isNull().alias("is_leaf"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrasphere.functions import keys
 from terrasphere.operators.grid import ancestors
+from terrasphere.session import cut_lineage
 
 # The 21-tap kernel, symmetric about its middle entry.
 LANCZOS5 = (
@@ -179,15 +180,24 @@ def fill_defaults(value: Column, default) -> Column:
 def level_asof(cells: DataFrame, tiles: DataFrame, key: list[str]) -> DataFrame:
     """Each cell with its own tile or that of its nearest ancestor.
 
-    tiles: patch, level, path plus payload; payload columns come back with found_level.
+    tiles: patch, level, path (each once) plus payload; payload columns come back with
+    found_level. The levels in use are joined finest first, each with the cells still
+    open, so few cells are left to meet at the coarse tiles.
     """
     payload = [c for c in tiles.columns if c not in ("patch", "level", "path")]
-    up = ancestors(cells.select(*key, "patch", "level", "path"))
-    hit = up.join(tiles, ["patch", "level", "path"])
-    return (
-        hit.groupBy(*key, "patch", F.col("leaf_level").alias("cell_level"), F.col("leaf_path").alias("cell_path"))
-        .agg(F.max_by(F.struct(F.col("level").alias("found_level"), *payload), "level").alias("_t"))
-        .select(*key, "patch", F.col("cell_level").alias("level"), F.col("cell_path").alias("path"), "_t.*"))
+    rest = cells.select(*key, "patch", "level", "path")
+    columns, out = rest.columns, None
+    for level in sorted((r[0] for r in tiles.select("level").distinct().collect()), reverse=True):  # at most 24
+        here = tiles.where(F.col("level") == level).select("patch", F.col("path").alias("_at"), F.struct(F.lit(level).alias("found_level"), *payload).alias("_t"))
+        at = F.when(F.col("level") >= level, keys.ancestor_path(F.col("path"), F.lit(level)))
+        met = cut_lineage(rest.withColumn("_at", at).join(here, ["patch", "_at"], "left").select(*columns, "_t"))
+        found = met.where("_t IS NOT NULL")
+        out = found if out is None else out.unionByName(found)
+        rest = met.where("_t IS NULL").drop("_t")
+    if out is None:
+        none = F.struct(F.lit(None).cast("int").alias("found_level"), *payload)
+        out = cells.join(tiles, ["patch", "level", "path"]).select(*columns, none.alias("_t"))
+    return out.select(*key, "patch", "level", "path", "_t.*")
 
 
 def lattice_taps(points: DataFrame, n: int) -> DataFrame:
@@ -220,17 +230,21 @@ def fill_from_coarser(vertices: DataFrame, pyramid: DataFrame, n: int) -> DataFr
 
     pyramid holds several levels; positions scale by the true level difference.
     """
-    w = vertices.select("patch", F.col("level").alias("want_level"), F.col("gx").alias("want_gx"), F.col("gy").alias("want_gy"))
-    have = pyramid.where(F.col("value").isNotNull()).select(
-        "patch", F.col("level").alias("want_level"), F.col("gx").alias("want_gx"), F.col("gy").alias("want_gy"))
-    miss = w.join(have, ["patch", "want_level", "want_gx", "want_gy"], "left_anti")
-    tries = miss.where(F.col("want_level") > 0).withColumn("level", F.explode(F.sequence(F.lit(0), (F.col("want_level") - 1).cast("int"))))
-    scale = F.pow(F.lit(2.0), (F.col("want_level") - F.col("level")).cast("double"))
-    pos = tries.withColumns({"fx": F.col("want_gx") / scale, "fy": F.col("want_gy") / scale})
     key = ["patch", "want_level", "want_gx", "want_gy"]
-    got = sample_lattice(pos, pyramid, n, [*key, "level"]).where(F.col("value").isNotNull())
-    best = got.groupBy(*key).agg(F.max_by("value", "level").alias("value"))
-    return best.select("patch", F.col("want_level").alias("level"), F.col("want_gx").alias("gx"), F.col("want_gy").alias("gy"), "value")
+    named = [F.col("level").alias("want_level"), F.col("gx").alias("want_gx"), F.col("gy").alias("want_gy")]
+    have = pyramid.where(F.col("value").isNotNull())
+    rest = vertices.select("patch", *named).join(have.select("patch", *named), key, "left_anti")
+    out = None
+    # finest level first, each with the vertices still open
+    for level in sorted((r[0] for r in have.select("level").distinct().collect()), reverse=True):  # at most 24
+        scale = F.pow(F.lit(2.0), (F.col("want_level") - level).cast("double"))
+        pos = rest.where(F.col("want_level") > level).withColumns({"level": F.lit(level), "fx": F.col("want_gx") / scale, "fy": F.col("want_gy") / scale})
+        got = cut_lineage(sample_lattice(pos, have.where(F.col("level") == level), n, key).where(F.col("value").isNotNull()))
+        out = got if out is None else out.unionByName(got)
+        rest = cut_lineage(rest.join(got, key, "left_anti"))
+    if out is None:
+        out = rest.where(F.lit(False)).withColumn("value", F.lit(None).cast("double"))
+    return out.select("patch", F.col("want_level").alias("level"), F.col("want_gx").alias("gx"), F.col("want_gy").alias("gy"), "value")
 
 
 def kernel_table(spark: SparkSession, kernel="tent") -> DataFrame:
