@@ -14,7 +14,7 @@ from terrasphere.functions.vec import quantize
 from terrasphere.operators import pyramid as Y
 from terrasphere.plans.build import build, build_images, update
 from terrasphere.session import checkpoint_root
-from terrasphere.sources.pyramid_store import read_pyramid
+from terrasphere.sources.pyramid_store import BANDS, read_pyramid
 
 C = F.col
 N, L = LATTICE_N, LATTICE_LEVEL
@@ -145,6 +145,36 @@ def _(fx):
     return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e4).alias("value"))
 
 
+# a colour lattice: three bands of every vertex that has a value
+_RGB = "rgb AS (SELECT patch, gx, gy, CAST(value*5 AS INTEGER) AS r, CAST((51-value)*5 AS INTEGER) AS g, CAST((gx*7+gy*3)%256 AS INTEGER) AS b FROM lattice WHERE value IS NOT NULL)"
+
+
+def rgb_lattice(fx):
+    v = C("value")
+    return fx.lattice.where(v.isNotNull()).select("patch", "level", "gx", "gy", (v * 5).cast("int").alias("r"), ((51 - v) * 5).cast("int").alias("g"),
+                                                  ((C("gx") * 7 + C("gy") * 3) % 256).cast("int").alias("b"))
+
+
+def gather_rgb(src: str, level: int) -> str:
+    w = "(0.5-0.25*abs(dx))*(0.5-0.25*abs(dy))"
+    bands = ", ".join(f"CAST(floor(least(greatest(sum({w}*c.{b})/sum({w}),0),255)+0.5) AS INTEGER) AS {b}" for b in "rgb")
+    return gather_down(src, level, w).replace(f"sum({w}*c.value)/sum({w}) AS value", bands).replace("value IS NOT NULL", "r IS NOT NULL")
+
+
+@query("pyr_downsample_rgb", ora("lattice", f"SELECT patch, {L - 1} AS level, gx, gy, r, g, b FROM {gather_rgb('rgb', L - 1)}", _RGB))
+def _(fx):
+    return Y.downsample_rgb(rgb_lattice(fx), N)
+
+
+_RGB_CHAIN = [f"cl{L} AS (SELECT patch, gx, gy, r, g, b FROM rgb)"] + [f"cl{k} AS (SELECT * FROM {gather_rgb(f'cl{k + 1}', k)})" for k in range(L - 1, -1, -1)]
+
+
+@query("pyr_build_rgb", ora("lattice", " UNION ALL ".join(f"SELECT patch, {k} AS level, gx, gy, r, g, b FROM cl{k}" for k in range(L, -1, -1)), _RGB, *_RGB_CHAIN))
+def _(fx):
+    """A colour pyramid, three bands through the store."""
+    return build(fx.spark, rgb_lattice(fx), scratch(fx, "pyramid"), N, "color", values=BANDS)
+
+
 @query("pyr_build_images")
 def _(fx):
     """All images and their pixels; every fifth image is twice as fine, every seventh covers its first half only."""

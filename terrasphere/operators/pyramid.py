@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terrasphere.functions import keys
 from terrasphere.operators.grid import ancestors
+from terrasphere.operators.raster import to_byte
 from terrasphere.session import cut_lineage
 
 # The 21-tap kernel, symmetric about its middle entry.
@@ -60,36 +61,44 @@ def fed_vertices(changed: DataFrame, n: int, kernel="tent") -> DataFrame:
     return flat.where(F.col("gx").between(0, top) & F.col("gy").between(0, top)).distinct()
 
 
-def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False) -> DataFrame:
+def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False, values: tuple[str, ...] = ("value",)) -> DataFrame:
     """Next coarser level. kernel: 'tent', 'lanczos5', 'point' or 2r+1 separable weights.
 
-    with_weight adds the weighted sum (numerator) and the total weight of the valid taps.
+    values are the columns of a vertex (three for colours); it is nodata where the first is
+    NULL. with_weight adds the weighted sum (numerator) of the first and the total weight
+    of the valid taps.
     """
-    valid = fine.where(F.col("value").isNotNull() & (F.col("level") > 0))
+    valid = fine.where(F.col(values[0]).isNotNull() & (F.col("level") > 0))
     up = (F.col("level") - 1).cast("int")
     if kernel == "point":
         even = valid.where((F.col("gx") % 2 == 0) & (F.col("gy") % 2 == 0))
-        return even.select("patch", up.alias("level"), keys.shr(F.col("gx"), 1).alias("gx"), keys.shr(F.col("gy"), 1).alias("gy"), "value")
+        return even.select("patch", up.alias("level"), keys.shr(F.col("gx"), 1).alias("gx"), keys.shr(F.col("gy"), 1).alias("gy"), *values)
     weights = kernel_weights(kernel)
     top = side(F.col("level"), n)
     src = valid.withColumns({"level": up, "_xs": _scatter("gx", weights), "_ys": _scatter("gy", weights)})
     if len(weights) <= 3:
-        flat = src.select("patch", "level", F.explode("_xs").alias("x"), "_ys", "value").where(F.col("x.p").between(0, top)).select(
-            "patch", "level", "x", F.explode("_ys").alias("y"), "value").where(F.col("y.p").between(0, top))
+        flat = src.select("patch", "level", F.explode("_xs").alias("x"), "_ys", *values).where(F.col("x.p").between(0, top)).select(
+            "patch", "level", "x", F.explode("_ys").alias("y"), *values).where(F.col("y.p").between(0, top))
         w = F.col("x.w") * F.col("y.w")
         sums = flat.groupBy("patch", "level", F.col("x.p").alias("gx"), F.col("y.p").alias("gy")).agg(
-            F.sum(w * F.col("value")).alias("_s"), F.sum(w).alias("weight"))
+            *[F.sum(w * F.col(v)).alias("_s" + v) for v in values], F.sum(w).alias("weight"))
     else:
         # a wide kernel goes one axis at a time: numerator and weight are both separable
-        rows = src.select("patch", "level", "gy", F.explode("_xs").alias("x"), "value").where(F.col("x.p").between(0, top))
+        rows = src.select("patch", "level", "gy", F.explode("_xs").alias("x"), *values).where(F.col("x.p").between(0, top))
         first = rows.groupBy("patch", "level", F.col("x.p").alias("gx"), "gy").agg(
-            F.sum(F.col("x.w") * F.col("value")).alias("_s"), F.sum("x.w").alias("_w"))
-        flat = first.select("patch", "level", "gx", F.explode(_scatter("gy", weights)).alias("y"), "_s", "_w").where(
+            *[F.sum(F.col("x.w") * F.col(v)).alias("_s" + v) for v in values], F.sum("x.w").alias("_w"))
+        flat = first.select("patch", "level", "gx", F.explode(_scatter("gy", weights)).alias("y"), *["_s" + v for v in values], "_w").where(
             F.col("y.p").between(0, top))
         sums = flat.groupBy("patch", "level", "gx", F.col("y.p").alias("gy")).agg(
-            F.sum(F.col("y.w") * F.col("_s")).alias("_s"), F.sum(F.col("y.w") * F.col("_w")).alias("weight"))
-    out = ["patch", "level", "gx", "gy", (F.col("_s") / F.col("weight")).alias("value")]
-    return sums.where(F.col("weight") != 0).select(*out, *([F.col("_s").alias("numerator"), "weight"] if with_weight else []))
+            *[F.sum(F.col("y.w") * F.col("_s" + v)).alias("_s" + v) for v in values], F.sum(F.col("y.w") * F.col("_w")).alias("weight"))
+    out = ["patch", "level", "gx", "gy", *[(F.col("_s" + v) / F.col("weight")).alias(v) for v in values]]
+    return sums.where(F.col("weight") != 0).select(*out, *([F.col("_s" + values[0]).alias("numerator"), "weight"] if with_weight else []))
+
+
+def downsample_rgb(fine: DataFrame, n: int, kernel="tent", bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Next coarser level of a colour pyramid: every band clamped to 0..255 and rounded half up."""
+    out = downsample(fine, n, kernel, values=bands)
+    return out.withColumns({b: to_byte(F.col(b)) for b in bands})
 
 
 def upsample(coarse: DataFrame, n: int, cells: DataFrame | None = None) -> DataFrame:
