@@ -170,6 +170,27 @@ def _(fx):
     return out.select("ray_id", quantize(C("t"), 1).alias("t"), "patch", "level", "path", "cx", "cy")
 
 
+# points over the terrain of two depths: the tile of level 3 where it is stored, else that of level 2
+_MSNAP = (f"""wkm AS (SELECT w.point_id, w.patch, CASE WHEN s.tx IS NULL THEN 2 ELSE 3 END AS level, CASE WHEN s.tx IS NULL THEN path%16 ELSE path%64 END AS path,
+ CAST(CASE WHEN s.tx IS NULL THEN {_bits('path', 2, 6, 0)} ELSE {_bits('path', 3, 7, 0)} END AS BIGINT) AS kx, CAST(CASE WHEN s.tx IS NULL THEN {_bits('path', 2, 6, 1)} ELSE {_bits('path', 3, 7, 1)} END AS BIGINT) AS ky,
+ px*6371000 AS ox, py*6371000 AS oy, pz*6371000 AS oz, px, py, pz FROM walk w LEFT JOIN st3 s ON s.patch=w.patch AND s.tx=CAST({_bits('path', 0, 3, 0)} AS BIGINT) AND s.ty=CAST({_bits('path', 0, 3, 1)} AS BIGINT) WHERE w.level=7)""",
+          f"""snm AS (SELECT point_id, level, path, kx, ky, k, {S.cols('p')}, {_cramer('e', 'g', 'p')} AS det, {_cramer('w', 'g', 'p')}/det AS u, {_cramer('e', 'w', 'p')}/det AS v, {_cramer('e', 'g', 'w')}/det AS t, la FROM (
+ SELECT k.*, z.k, sqrt(q.ax*q.ax+q.ay*q.ay+q.az*q.az) AS la, {', '.join(f'CASE WHEN z.k=0 THEN q.d{a} ELSE q.f{a} END-q.a{a} AS e{a}, CASE WHEN z.k=0 THEN q.c{a} ELSE q.d{a} END-q.a{a} AS g{a}, k.o{a}-q.a{a} AS w{a}' for a in 'xyz')}
+ FROM wkm k JOIN (SELECT * FROM m2 UNION ALL SELECT * FROM m3) q ON q.patch=k.patch AND q.level=k.level AND q.path=k.path AND q.qi=k.kx AND q.qj=k.ky, (VALUES (0),(1)) AS z(k)))""")
+
+
+@query("ter_snap_mixed", ora("geo_points terrain_mixed", f"""
+SELECT point_id, CAST(level AS INTEGER) AS level, path, any_value(kx) AS cell_x, any_value(ky) AS cell_y,
+ {S.q("coalesce(6371000-min(CASE WHEN u>=-1e-12 AND v>=-1e-12 AND u+v<=1+1e-12 THEN t END), any_value(la))", 1)} AS radius FROM snm GROUP BY point_id, level, path""",
+    *walk(7), S.cells_cte(3), *_quads(2), *_quads(3), *_MSNAP, recursive=True))
+def _(fx):
+    """Points find their own finest tile and snap to it."""
+    p = put(points(fx), p=P * 6371000.0).select("point_id", "px", "py", "pz")
+    located = T.with_finest(p, T.stored_tiles(fx.terrain_mixed, N), ["point_id"], 3)
+    out = T.snap(located, fx.terrain_mixed, N, ["point_id"], 0.0, 2.0)
+    return out.select("point_id", "level", "path", C("cx").alias("cell_x"), C("cy").alias("cell_y"), quantize(V3.of("s").norm(), 1).alias("radius"))
+
+
 @query("ter_probe_range", ora("pixels", """
 SELECT image_id, CASE WHEN odd THEN v1 ELSE coalesce(v1,0.0) END AS range_min, CASE WHEN odd THEN 50+v1-0 ELSE coalesce(v2,50.0) END AS range_max FROM (
  SELECT image_id, any_value(probe)%2=1 AS odd, CASE WHEN odd THEN max(value) ELSE max(value) FILTER (sid=1) END AS v1, max(value) FILTER (sid=2) AS v2 FROM (
