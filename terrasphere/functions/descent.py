@@ -132,37 +132,25 @@ def boundary(c: np.ndarray, subdivisions: int) -> np.ndarray:
     return np.stack([np.arctan2(v[..., 1], v[..., 0]), np.arcsin(np.clip(v[..., 2], -1, 1))], -1)
 
 
-def unwrapped(v: np.ndarray) -> list[np.ndarray]:
-    """Rings (N, m, 2) with near consecutive longitudes, at most pi at the eastern end.
-
-    A vertex at a pole takes the longitude before it; leaving a pole adds a pole vertex at
-    the new longitude.
-    """
+def unwrap(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rings (N, m, 2) with near consecutive longitudes, at most pi at the eastern end, and which vertices
+    lie at a pole. Such a vertex takes the longitude before it."""
     v = v.copy()
     pole = np.abs(np.pi / 2 - np.abs(v[..., 1])) < 1e-5
     for k in range(1, v.shape[1]):
         lon, before = np.where(pole[:, k], v[:, k - 1, 0], v[:, k, 0]), v[:, k - 1, 0]
         v[:, k, 0] = lon - 2 * np.pi * np.round((lon - before) / (2 * np.pi))
     v[..., 0] -= np.where(v[..., 0].max(1) > np.pi, 2 * np.pi, 0.0)[:, None]
-    out = list(v)
-    for i in np.flatnonzero(pole.any(1)):
-        ks = np.flatnonzero(pole[i, :-1])
-        out[i] = np.insert(v[i], ks + 1, np.stack([v[i, ks + 1, 0], v[i, ks, 1]], 1), axis=0)
-    return out
+    return v, pole
 
 
-def touches(c: np.ndarray, row: np.ndarray, rings: list, box: np.ndarray, subdivisions: int) -> np.ndarray:
-    """Which cells (with the image row they belong to) meet their image's ring on any turn."""
-    cells = unwrapped(boundary(c, subdivisions))
-    cb = np.array([[*r.min(0), *r.max(0)] for r in cells])
-    ib = box[row]
-    ok = np.zeros(len(c), bool)
-    lat = (cb[:, 1] <= ib[:, 3]) & (cb[:, 3] >= ib[:, 1])
-    for turn in (0.0, 2 * np.pi, -2 * np.pi):
-        near = ~ok & lat & (cb[:, 0] + turn <= ib[:, 2]) & (cb[:, 2] + turn >= ib[:, 0])
-        for i in np.flatnonzero(near):
-            ok[i] = rings_meet(rings[row[i]], cells[i] + (turn, 0.0))
-    return ok
+def flat_rings(v: np.ndarray, pole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All vertices one ring after the other, and how many each has; leaving a pole adds a pole vertex at the
+    new longitude."""
+    n, m = v.shape[:2]
+    ring, k = np.nonzero(pole[:, :-1])
+    added = np.stack([v[ring, k + 1, 0], v[ring, k, 1]], 1)
+    return np.insert(v.reshape(-1, 2), ring * m + k + 1, added, axis=0), m + np.bincount(ring, minlength=n)
 
 
 def crosses(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,38 +183,8 @@ def near_cap(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ~((m * mid).sum(1) < np.cos(np.minimum(half + reach + 1e-6, np.pi)))
 
 
-def rings_meet(p: np.ndarray, q: np.ndarray) -> bool:
-    """Do two closed rings (m, 2), (k, 2) cross, or does one hold the other?"""
-    a, b = p[:, None], np.roll(p, -1, 0)[:, None]
-    c, d = q[None], np.roll(q, -1, 0)[None]
-
-    def area(u, v, w):
-        return (v[..., 0] - u[..., 0]) * (w[..., 1] - u[..., 1]) - (v[..., 1] - u[..., 1]) * (w[..., 0] - u[..., 0])
-
-    if ((area(a, b, c) * area(a, b, d) <= 0) & (area(c, d, a) * area(c, d, b) <= 0)).any():
-        lo = np.maximum(np.minimum(a, b), np.minimum(c, d))
-        hi = np.minimum(np.maximum(a, b), np.maximum(c, d))
-        hit = (area(a, b, c) * area(a, b, d) <= 0) & (area(c, d, a) * area(c, d, b) <= 0) & (lo <= hi).all(-1)
-        if hit.any():
-            return True
-    return holds(p, q[0]) or holds(q, p[0])
-
-
-def holds(ring: np.ndarray, v: np.ndarray) -> bool:
-    x, y = ring[:, 0], ring[:, 1]
-    x2, y2 = np.roll(x, -1), np.roll(y, -1)
-    up = (y <= v[1]) & (y2 > v[1]) & ((v[0] - x) * (y2 - y) < (v[1] - y) * (x2 - x))
-    down = (y > v[1]) & (y2 <= v[1]) & ((v[0] - x2) * (y - y2) < (v[1] - y2) * (x - x2))
-    return bool((up.sum() + down.sum()) % 2)
-
-
 @cache
 def _udfs():
-    def ring(patch: pd.Series, level: pd.Series, path: pd.Series, k: pd.Series) -> pd.Series:
-        c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
-        rings = unwrapped(boundary(c, int(k.iloc[0]))) if len(c) else []
-        return pd.Series([[{"lon": x, "lat": y} for x, y in r.tolist()] for r in rings], dtype=object)
-
     def patch(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
         return pd.Series(_patches(_points(x, y, z)))
 
@@ -265,7 +223,6 @@ def _udfs():
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
         "below": F.pandas_udf(below, "bigint"),
         "place": F.pandas_udf(place, "patch int, ix bigint, iy bigint"),
-        "ring": F.pandas_udf(ring, "array<struct<lon:double,lat:double>>"),
     }
 
 
@@ -346,28 +303,43 @@ def ray_descend(frontier: DataFrame, keys: list[str], level: int, tile_level: in
         run, f"{key_type}, {', '.join(v + ' double' for v in vec)}, patch int, level int, path bigint, t_in double, t_out double")
 
 
-def cell_ring(patch: Column, level: Column, path: Column, subdivisions: int) -> Column:
-    return _udfs()["ring"](patch, level, path, F.lit(subdivisions))
+def with_rings(cells: DataFrame, subdivisions: int) -> DataFrame:
+    """Add ring: the boundary of each cell (patch, level, path) as an array of lon, lat. Narrow."""
+    kind = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                patch, level, path = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("patch", "level", "path"))
+                flat, count = flat_rings(*unwrap(boundary(scopes(patch, level, path), subdivisions)))
+                vertex = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], ["lon", "lat"])
+                off = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(off, vertex).cast(kind)], [*part.schema.names, "ring"])
+
+    schema = ", ".join(f"`{name}` {kind_}" for name, kind_ in cells.dtypes)
+    return cells.mapInArrow(run, f"{schema}, ring array<struct<lon: double, lat: double>>")
 
 
-def image_descend(frontier: DataFrame, keys: list[str], first: int, last: int, subdivisions: int) -> DataFrame:
-    """Tiles that image rings touch, from level `first` down to `last` or the row's level `want`.
+def box_descend(frontier: DataFrame, keys: list[str], first: int, last: int, subdivisions: int) -> DataFrame:
+    """Tiles whose box a lon/lat box (min_lon, min_lat, max_lon, max_lat in radians) meets on any turn, from
+    level `first` down to `last` or the row's level `want`.
 
-    frontier: keys, ring (flat lon, lat radians), want and, unless first = 0, patch, path of
-    level first - 1. Returned rows have reached `want` or `last`. Roots are always entered.
-    Boxes are tested for a whole batch at once, exact rings only for what is left. Narrow.
+    Unless first = 0 the frontier carries patch, path of level first - 1. Returned rows have
+    reached `want` or `last`. Roots are always entered. Boxes of a batch are tested at once.
+    Narrow.
     """
     key_type = ", ".join(f.simpleString().replace(":", " ", 1) for f in frontier.select(*keys).schema)
+    sides = ["min_lon", "min_lat", "max_lon", "max_lat"]
     cell = [] if first == 0 else ["patch", "path"]
-    names = [*keys, "ring", "want"]
+    names = [*keys, *sides, "want"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 m = part.num_rows
-                rings = [np.asarray(r, dtype=np.float64).reshape(-1, 2) for r in part.column("ring").to_pylist()]
-                box = np.array([[*r.min(0), *r.max(0)] for r in rings])
+                box = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in sides], 1)
                 want = part.column("want").to_numpy(zero_copy_only=False)
                 if first == 0:
                     row, patch, path = np.repeat(np.arange(m), 30), np.tile(np.arange(30), m), np.zeros(m * 30, np.int64)
@@ -377,7 +349,12 @@ def image_descend(frontier: DataFrame, keys: list[str], first: int, last: int, s
                     path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
                 for level in range(first, last + 1):
                     if level > 0 and len(row):
-                        ok = touches(scopes(patch, np.full(len(row), level), path), row, rings, box, subdivisions)
+                        v, _ = unwrap(boundary(scopes(patch, np.full(len(row), level), path), subdivisions))
+                        lo, hi, b = v.min(1), v.max(1), box[row]
+                        ok = np.zeros(len(row), bool)
+                        for turn in (0.0, 2 * np.pi, -2 * np.pi):
+                            ok |= (lo[:, 0] + turn <= b[:, 2]) & (hi[:, 0] + turn >= b[:, 0])
+                        ok &= (lo[:, 1] <= b[:, 3]) & (hi[:, 1] >= b[:, 1])
                         row, patch, path = row[ok], patch[ok], path[ok]
                     out = (want[row] == level) | (level == last)
                     take = part.take(pa.array(row[out]))
@@ -389,7 +366,7 @@ def image_descend(frontier: DataFrame, keys: list[str], first: int, last: int, s
                     row, patch = np.repeat(row, 4), np.repeat(patch, 4)
 
     return frontier.select(*names, *cell).mapInArrow(
-        run, f"{key_type}, ring array<double>, want int, patch int, level int, path bigint")
+        run, f"{key_type}, {', '.join(k + ' double' for k in sides)}, want int, patch int, level int, path bigint")
 
 
 def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:

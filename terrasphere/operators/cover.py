@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasphere.functions import keys
-from terrasphere.functions.descent import SCOPE_NAMES, cell_ring, image_descend, segment_descend, with_scope
+from terrasphere.functions.descent import SCOPE_NAMES, box_descend, segment_descend, with_rings, with_scope
 from terrasphere.functions.vec import V3
-from terrasphere.operators.coverage import coverage_rings, image_ring
+from terrasphere.operators.coverage import coverage_rings, crossing, edges_cross, image_ring, ring_edges
 from terrasphere.operators.grid import ancestors, segment_intersects, with_side_sections
 from terrasphere.session import cut_lineage
 
@@ -18,35 +20,67 @@ KEY = ["patch", "level", "path"]
 def scope_footprint(cells: DataFrame, subdivisions: int = 3) -> DataFrame:
     """Add ring: the boundary of each cell as an unwrapped lon/lat ring of 4 * 2^k vertices
     (more where it holds a pole)."""
-    return cells.withColumn("ring", cell_ring(F.col("patch"), F.col("level"), F.col("path"), subdivisions))
+    return with_rings(cells, subdivisions)
 
 
 def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int = 3, coverage: DataFrame | None = None) -> DataFrame:
     """(image_id, patch, level, path) of the tiles an image touches at its level.
 
-    The frontier carries the image's own ring, so a descent is narrow: no join, never
-    images times tiles. After every stride levels it is spread by (image, path), because
-    one large image may hold most of it, and checkpointed. Images with given coverage
-    polygons (image_id, ord, x, y in pixels) count where these lie.
+    The frontier carries the image's box, so a descent is narrow: no join, never images
+    times tiles. After every stride levels it is spread by (image, path), because one large
+    image may hold most of it, and checkpointed. What the boxes leave is decided exactly by
+    the rings of image and tile. Images with given coverage polygons (image_id, ord, x, y in
+    pixels) count where these lie.
     """
     lv = level if isinstance(level, Column) else F.lit(level)
     start = images.withColumns({"_r": image_ring(subdivisions), "want": lv.cast("int")})
     if coverage is not None:
         start = start.join(coverage_rings(images, coverage), "image_id", "left").withColumn("_r", F.coalesce("_given", "_r"))
-    frontier = start.select(
-        "image_id", F.flatten(F.transform("_r", lambda v: F.array(v["lon"], v["lat"]))).alias("ring"), "want")
+    start = cut_lineage(start.select("image_id", "want", "_r"))
+    side = lambda f, c: f(F.transform("_r", lambda v: v[c]))
+    frontier = start.select("image_id", "want", *[side(f, c).alias(f"{n}_{c}") for n, f in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")])
     top = images.agg(F.max(lv)).first()[0]
     done, first = None, 0
     while first <= (top or 0):
         last = min(first + stride, top or 0)
-        reached = image_descend(frontier, ["image_id"], first, last, subdivisions)
+        reached = box_descend(frontier, ["image_id"], first, last, subdivisions)
         if last < (top or 0):
             reached = cut_lineage(reached.repartition("image_id", "path"))
         arrived = reached.where(F.col("level") == F.col("want")).select("image_id", *KEY)
         done = arrived if done is None else done.unionByName(arrived)
         frontier = reached.where(F.col("level") < F.col("want"))
         first = last + 1
-    return done
+    return rings_meet(cut_lineage(done), start.select("image_id", F.col("_r").alias("ring")), subdivisions)
+
+
+def rings_meet(pairs: DataFrame, image_rings: DataFrame, subdivisions: int) -> DataFrame:
+    """The pairs (image_id, KEY) whose rings cross, or of which one holds the other; roots always count.
+
+    Of an image's edges only those that meet the tile's box are joined with the tile's own.
+    """
+    tiles = with_rings(pairs.where("level > 0").select(*KEY).distinct(), subdivisions)
+    flat = lambda df, key: df.select(*key, F.posexplode("ring").alias("ord", "v")).select(*key, "ord", F.col("v.lon").alias("x"), F.col("v.lat").alias("y"))
+    tile = F.struct(*KEY).alias("tile")
+    tile_edges = cut_lineage(ring_edges(flat(tiles.select(tile, "ring"), ["tile"]), "tile"))
+    image_edges = cut_lineage(ring_edges(flat(image_rings, ["image_id"]), "image_id"))
+    box = tile_edges.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+                                         F.min_by("x", "ord").alias("tx"), F.min_by("y", "ord").alias("ty"))
+    turn = F.explode(F.array(F.lit(0.0), F.lit(2 * math.pi), F.lit(-2 * math.pi))).alias("turn")
+    cand = pairs.where("level > 0").select("image_id", tile, turn).join(box, "tile")
+    low, high = (lambda c: F.least(c, c + "2")), (lambda c: F.greatest(c, c + "2"))
+    met = cand.join(image_edges, "image_id")
+    over = (low("x") <= F.col("x1") + F.col("turn")) & (high("x") >= F.col("x0") + F.col("turn")) & (low("y") <= F.col("y1")) & (high("y") >= F.col("y0"))
+    own = tile_edges.select("tile", *[F.col(a).alias(b) for a, b in (("x", "u"), ("y", "v"), ("x2", "u2"), ("y2", "v2"))])
+    crossed = met.where(over).join(own, "tile").withColumns({"u": F.col("u") + F.col("turn"), "u2": F.col("u2") + F.col("turn")}).where(edges_cross())
+    crossed = crossed.select("image_id", "tile")
+    # without a crossing, one first vertex tells whether the other ring holds it
+    within = met.groupBy("image_id", "tile", "turn").agg((F.sum(crossing(F.col("tx") + F.col("turn"), F.col("ty"))) % 2).alias("odd"))
+    first = image_edges.groupBy("image_id").agg(F.min_by("x", "ord").alias("ix"), F.min_by("y", "ord").alias("iy"))
+    around = cand.join(first, "image_id").join(tile_edges, "tile").groupBy("image_id", "tile", "turn").agg(
+        (F.sum(crossing(F.col("ix") - F.col("turn"), F.col("iy"))) % 2).alias("odd"))
+    held = within.unionByName(around).where("odd = 1").select("image_id", "tile")
+    found = crossed.unionByName(held).distinct().select("image_id", "tile.*")
+    return found.unionByName(pairs.where("level = 0").select("image_id", *KEY))
 
 
 def segment_cell_join(segs: DataFrame, max_level: int, existing: DataFrame | None = None, seg_keys: list[str] | None = None) -> DataFrame:
