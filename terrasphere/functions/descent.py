@@ -347,22 +347,24 @@ def box_descend(frontier: DataFrame, keys: list[str], first: int, last: int, sub
                     row = np.repeat(np.arange(m), 4)
                     patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                     path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
+                c = scopes(patch, np.full(len(row), first), path)
                 for level in range(first, last + 1):
                     if level > 0 and len(row):
-                        v, _ = unwrap(boundary(scopes(patch, np.full(len(row), level), path), subdivisions))
+                        v, _ = unwrap(boundary(c, subdivisions))
                         lo, hi, b = v.min(1), v.max(1), box[row]
                         ok = np.zeros(len(row), bool)
                         for turn in (0.0, 2 * np.pi, -2 * np.pi):
                             ok |= (lo[:, 0] + turn <= b[:, 2]) & (hi[:, 0] + turn >= b[:, 0])
                         ok &= (lo[:, 1] <= b[:, 3]) & (hi[:, 1] >= b[:, 1])
-                        row, patch, path = row[ok], patch[ok], path[ok]
+                        row, patch, path, c = row[ok], patch[ok], path[ok], c[ok]
                     out = (want[row] == level) | (level == last)
                     take = part.take(pa.array(row[out]))
                     cols = [take.column(k) for k in names]
                     cols += [pa.array(patch[out].astype(np.int32)), pa.array(np.full(int(out.sum()), level, np.int32)), pa.array(path[out])]
                     yield pa.RecordBatch.from_arrays(cols, names=[*names, "patch", "level", "path"])
-                    row, patch, path = row[~out], patch[~out], path[~out]
-                    path = np.repeat(path, 4) | (np.tile(np.arange(4), len(row)) << (2 * level))
+                    row, patch, path, c = row[~out], patch[~out], path[~out], c[~out]
+                    which = np.tile(np.arange(4), len(row))
+                    path, c = np.repeat(path, 4) | (which << (2 * level)), enter(np.repeat(c, 4, axis=0), which)
                     row, patch = np.repeat(row, 4), np.repeat(patch, 4)
 
     return frontier.select(*names, *cell).mapInArrow(
@@ -394,17 +396,18 @@ def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int)
                     row = np.repeat(np.arange(m), 4)
                     patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                     path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
+                c = scopes(patch, np.full(len(row), first), path)
                 for level in range(first, last + 1):
-                    c = scopes(patch, np.full(len(row), level), path)
                     ok = near_cap(c, a[row], b[row])
                     ok[ok] = crosses(c[ok], a[row[ok]], b[row[ok]])
-                    row, patch, path = row[ok], patch[ok], path[ok]
+                    row, patch, path, c = row[ok], patch[ok], path[ok], c[ok]
                     take = part.take(pa.array(row))
                     cols = [take.column(k) for k in [*keys, *vec]]
                     cols += [pa.array(patch.astype(np.int32)), pa.array(np.full(len(row), level, np.int32)), pa.array(path)]
                     yield pa.RecordBatch.from_arrays(cols, names=[*keys, *vec, "patch", "level", "path"])
                     if level < last:
-                        path = np.repeat(path, 4) | (np.tile(np.arange(4), len(row)) << (2 * level))
+                        which = np.tile(np.arange(4), len(row))
+                        path, c = np.repeat(path, 4) | (which << (2 * level)), enter(np.repeat(c, 4, axis=0), which)
                         row, patch = np.repeat(row, 4), np.repeat(patch, 4)
 
     return frontier.select(*keys, *vec, *cell).mapInArrow(run, schema)
