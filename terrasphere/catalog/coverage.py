@@ -112,7 +112,24 @@ def _(fx):
     return coverage.periodic_overlap(fx.polygons, moved, "poly_id", "image_id")
 
 
-@query("cov_scope_footprint")
+_ENDS = (("a", "f"), ("f", "d"), ("d", "c"), ("c", "a"))  # bottom, right, top, left
+_PER = "(PARTITION BY patch, path ORDER BY ord)"
+RINGS = (
+    "bd AS (" + " UNION ALL ".join(f"SELECT patch, path, {k} AS side, 0 AS k, 0 AS i, {', '.join(f'{u}{x} AS s{x}, {v}{x} AS e{x}' for x in 'xyz')} FROM occ3" for k, (u, v) in enumerate(_ENDS))
+    + f"""\n UNION ALL SELECT patch, path, side, k+1, 2*i+h, {', '.join(f'CASE WHEN h=0 THEN s{x} ELSE m{x} END, CASE WHEN h=0 THEN m{x} ELSE e{x} END' for x in 'xyz')}
+ FROM (SELECT *, {S.unit('n', 'm')} FROM (SELECT *, {S.lin('n', ('1', 's'), ('1', 'e'))} FROM bd WHERE k<3)), (VALUES (0),(1)) AS z(h))""",
+    """bv AS (SELECT patch, path, side*8+i AS ord, atan2(sy,sx) AS lon, asin(greatest(-1.0,least(1.0,sz))) AS lat, abs(pi()/2-abs(asin(greatest(-1.0,least(1.0,sz)))))<1e-5 AS pole FROM bd WHERE k=3)""",
+    f"""be AS (SELECT *, last_value(CASE WHEN pole AND ord>0 THEN NULL ELSE lon END IGNORE NULLS) OVER {_PER} AS eff, lag(pole) OVER {_PER} AS left_pole, lag(lat) OVER {_PER} AS before FROM bv)""",
+    f"""bt AS (SELECT *, -round((eff-lag(eff) OVER {_PER})/(2*pi())) AS turn FROM be)""",
+    f"""bu AS (SELECT *, eff+2*pi()*coalesce(sum(turn) OVER {_PER},0) AS u FROM bt)""",
+    """bs AS (SELECT *, u-CASE WHEN max(u) OVER (PARTITION BY patch, path)>pi() THEN 2*pi() ELSE 0 END AS w FROM bu)""",
+)
+
+
+@query("cov_scope_footprint", ora("geo_points", f"""
+SELECT patch, path, CAST(row_number() OVER (PARTITION BY patch, path ORDER BY ord, part)-1 AS INTEGER) AS ord, {S.q('w')} AS lon, {S.q('lat')} AS lat FROM (
+ SELECT patch, path, ord, 1 AS part, w, lat FROM bs UNION ALL SELECT patch, path, ord, 0, w, before FROM bs WHERE left_pole)""",
+    *walk(3), S.cells_cte(3), "occ3 AS (SELECT * FROM cells WHERE level=3 AND (patch, path) IN (SELECT (patch, path) FROM walk WHERE level=3))", *RINGS, recursive=True))
 def _(fx):
     cells = G.with_cell(points(fx), P, 3).select("patch", "level", "path").distinct()
     ring = cover.scope_footprint(cells, 3)
