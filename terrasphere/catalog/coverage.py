@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrasphere.catalog import sqlkit as S
 from terrasphere.catalog.base import ora, query
-from terrasphere.catalog.grid import CROSSED, P, points, side_hits, walk
+from terrasphere.catalog.grid import CROSSED, IMG_RES, RES0, P, points, side_hits, walk
 from terrasphere.functions import georef
 from terrasphere.functions.descent import with_scope
 from terrasphere.functions.vec import V3, put, quantize
@@ -113,23 +113,24 @@ def _(fx):
 
 
 _ENDS = (("a", "f"), ("f", "d"), ("d", "c"), ("c", "a"))  # bottom, right, top, left
-_PER = "(PARTITION BY patch, path ORDER BY ord)"
+_PER = "(PARTITION BY patch, level, path ORDER BY ord)"
 RINGS = (
-    "bd AS (" + " UNION ALL ".join(f"SELECT patch, path, {k} AS side, 0 AS k, 0 AS i, {', '.join(f'{u}{x} AS s{x}, {v}{x} AS e{x}' for x in 'xyz')} FROM occ3" for k, (u, v) in enumerate(_ENDS))
-    + f"""\n UNION ALL SELECT patch, path, side, k+1, 2*i+h, {', '.join(f'CASE WHEN h=0 THEN s{x} ELSE m{x} END, CASE WHEN h=0 THEN m{x} ELSE e{x} END' for x in 'xyz')}
+    "bd AS (" + " UNION ALL ".join(f"SELECT patch, level, path, {k} AS side, 0 AS k, 0 AS i, {', '.join(f'{u}{x} AS s{x}, {v}{x} AS e{x}' for x in 'xyz')} FROM ring_cells" for k, (u, v) in enumerate(_ENDS))
+    + f"""\n UNION ALL SELECT patch, level, path, side, k+1, 2*i+h, {', '.join(f'CASE WHEN h=0 THEN s{x} ELSE m{x} END, CASE WHEN h=0 THEN m{x} ELSE e{x} END' for x in 'xyz')}
  FROM (SELECT *, {S.unit('n', 'm')} FROM (SELECT *, {S.lin('n', ('1', 's'), ('1', 'e'))} FROM bd WHERE k<3)), (VALUES (0),(1)) AS z(h))""",
-    """bv AS (SELECT patch, path, side*8+i AS ord, atan2(sy,sx) AS lon, asin(greatest(-1.0,least(1.0,sz))) AS lat, abs(pi()/2-abs(asin(greatest(-1.0,least(1.0,sz)))))<1e-5 AS pole FROM bd WHERE k=3)""",
+    """bv AS (SELECT patch, level, path, side*8+i AS ord, atan2(sy,sx) AS lon, asin(greatest(-1.0,least(1.0,sz))) AS lat, abs(pi()/2-abs(asin(greatest(-1.0,least(1.0,sz)))))<1e-5 AS pole FROM bd WHERE k=3)""",
     f"""be AS (SELECT *, last_value(CASE WHEN pole AND ord>0 THEN NULL ELSE lon END IGNORE NULLS) OVER {_PER} AS eff, lag(pole) OVER {_PER} AS left_pole, lag(lat) OVER {_PER} AS before FROM bv)""",
     f"""bt AS (SELECT *, -round((eff-lag(eff) OVER {_PER})/(2*pi())) AS turn FROM be)""",
     f"""bu AS (SELECT *, eff+2*pi()*coalesce(sum(turn) OVER {_PER},0) AS u FROM bt)""",
-    """bs AS (SELECT *, u-CASE WHEN max(u) OVER (PARTITION BY patch, path)>pi() THEN 2*pi() ELSE 0 END AS w FROM bu)""",
+    """bs AS (SELECT *, u-CASE WHEN max(u) OVER (PARTITION BY patch, level, path)>pi() THEN 2*pi() ELSE 0 END AS w FROM bu)""",
+    """tv AS (SELECT patch, level, path, CAST(row_number() OVER (PARTITION BY patch, level, path ORDER BY ord, part)-1 AS INTEGER) AS ord, w AS x, lat AS y FROM (
+ SELECT patch, level, path, ord, 1 AS part, w, lat FROM bs UNION ALL SELECT patch, level, path, ord, 0, w, before FROM bs WHERE left_pole))""",
 )
 
 
 @query("cov_scope_footprint", ora("geo_points", f"""
-SELECT patch, path, CAST(row_number() OVER (PARTITION BY patch, path ORDER BY ord, part)-1 AS INTEGER) AS ord, {S.q('w')} AS lon, {S.q('lat')} AS lat FROM (
- SELECT patch, path, ord, 1 AS part, w, lat FROM bs UNION ALL SELECT patch, path, ord, 0, w, before FROM bs WHERE left_pole)""",
-    *walk(3), S.cells_cte(3), "occ3 AS (SELECT * FROM cells WHERE level=3 AND (patch, path) IN (SELECT (patch, path) FROM walk WHERE level=3))", *RINGS, recursive=True))
+SELECT patch, path, ord, {S.q('x')} AS lon, {S.q('y')} AS lat FROM tv""",
+    *walk(3), S.cells_cte(3), "ring_cells AS (SELECT * FROM cells WHERE level=3 AND (patch, path) IN (SELECT (patch, path) FROM walk WHERE level=3))", *RINGS, recursive=True))
 def _(fx):
     cells = G.with_cell(points(fx), P, 3).select("patch", "level", "path").distinct()
     ring = cover.scope_footprint(cells, 3)
@@ -167,7 +168,34 @@ def _(fx):
     return coverage.coverage_vertices(fx.images, given)
 
 
-@query("cov_image_tile_join")
+_CLOSED = "coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2"
+_AT = lambda u, v: f"((x2-x)*({u}-x)+(y2-y)*({v}-y))"
+_ODD = lambda px, py: f"sum(CASE WHEN (y<={py} AND y2>{py} AND ({px}-x)*(y2-y)<({py}-y)*(x2-x)) OR (y>{py} AND y2<={py} AND ({px}-x2)*(y-y2)<({py}-y2)*(x-x2)) THEN 1 ELSE 0 END)%2=1"
+_LEVELS = 5
+
+
+@query("cov_image_tile_join", ora("images", f"""
+SELECT DISTINCT image_id, patch, CAST(level AS INTEGER) AS level, path FROM (
+ SELECT image_id, patch, level, path FROM (SELECT c.image_id, c.patch, c.level, c.path, i.x, i.y, i.x2, i.y2, t.x+turn AS u, t.y AS v, t.x2+turn AS u2, t.y2 AS v2 FROM cand c JOIN ie i USING (image_id)
+   JOIN te t ON t.patch=c.patch AND t.level=c.level AND t.path=c.path) WHERE ({{cross}})
+ UNION ALL SELECT image_id, patch, level, path FROM cand c JOIN ie i USING (image_id) GROUP BY image_id, patch, level, path, turn, tx, ty HAVING {_ODD('(tx+turn)', 'ty')}
+ UNION ALL SELECT c.image_id, c.patch, c.level, c.path FROM cand c JOIN (SELECT image_id, x AS ix, y AS iy FROM iv WHERE ord=0) USING (image_id) JOIN te t ON t.patch=c.patch AND t.level=c.level AND t.path=c.path
+  GROUP BY c.image_id, c.patch, c.level, c.path, turn, ix, iy HAVING {_ODD('(ix-turn)', 'iy')})""".replace("{cross}", f"""
+  CASE WHEN (x2-x)*(v-y)-(y2-y)*(u-x)=0 AND (x2-x)*(v2-y)-(y2-y)*(u2-x)=0 THEN greatest({_AT('u', 'v')},{_AT('u2', 'v2')})>=0 AND least({_AT('u', 'v')},{_AT('u2', 'v2')})<={_AT('x2', 'y2')}
+  ELSE NOT (((x2-x)*(v-y)-(y2-y)*(u-x)<0 AND (x2-x)*(v2-y)-(y2-y)*(u2-x)<0) OR ((x2-x)*(v-y)-(y2-y)*(u-x)>0 AND (x2-x)*(v2-y)-(y2-y)*(u2-x)>0))
+   AND {_AT('u2', 'v2')}+({_AT('u', 'v')}-{_AT('u2', 'v2')})*((x2-x)*(v2-y)-(y2-y)*(u2-x))/nullif(((x2-x)*(v2-y)-(y2-y)*(u2-x))-((x2-x)*(v-y)-(y2-y)*(u-x)),0) BETWEEN 0 AND {_AT('x2', 'y2')} END"""),
+    S.BASE, S.cells_cte(_LEVELS),
+    f"""want AS MATERIALIZED (SELECT image_id, CAST(min(lv) AS INTEGER) AS level FROM (SELECT image_id, {IMG_RES} AS res FROM (SELECT *, CASE WHEN point_sampled THEN 0.0 ELSE 0.5 END AS h FROM images)),
+ (SELECT unnest(range(24)) AS lv) WHERE {RES0}*4/pow(2,lv)<=res*sqrt(2) GROUP BY image_id)""",
+    "ring_cells AS (SELECT * FROM cells WHERE level IN (SELECT level FROM want))", *RINGS,
+    f"te AS MATERIALIZED (SELECT patch, level, path, x, y, {_CLOSED} FROM tv WINDOW w AS (PARTITION BY patch, level, path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+    "tb AS (SELECT patch, level, path, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, arg_min(x,ord) AS tx, arg_min(y,ord) AS ty FROM tv GROUP BY ALL)",
+    """iv AS (SELECT image_id, i AS ord, radians(gt0+((CASE i//8 WHEN 0 THEN lo+(hi-lo)*a WHEN 1 THEN hi WHEN 2 THEN hi+(lo-hi)*a ELSE lo END)+h)*gt1) AS x,
+  radians(gt3+((CASE i//8 WHEN 0 THEN lo WHEN 1 THEN lo+(hi-lo)*a WHEN 2 THEN hi ELSE hi+(lo-hi)*a END)+h)*gt5) AS y
+ FROM (SELECT *, CASE WHEN point_sampled THEN 0.0 ELSE -0.5 END AS lo, CASE WHEN point_sampled THEN 23.0 ELSE 23.5 END AS hi, CASE WHEN point_sampled THEN 0.0 ELSE 0.5 END AS h, (i%8)/8.0 AS a FROM images, (SELECT unnest(range(32)) AS i)))""",
+    f"ie AS (SELECT image_id, x, y, {_CLOSED} FROM iv WINDOW w AS (PARTITION BY image_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))",
+    """cand AS MATERIALIZED (SELECT image_id, b.*, turn FROM (SELECT image_id, level, min(x) AS i0, max(x) AS i1, min(y) AS j0, max(y) AS j1 FROM iv JOIN want USING (image_id) GROUP BY ALL) i
+ JOIN tb b ON b.level=i.level, (VALUES (0.0),(2*pi()),(-2*pi())) AS z(turn) WHERE x0+turn<=i1 AND x1+turn>=i0 AND y0<=j1 AND y1>=j0)""", recursive=True))
 def _(fx):
     """Tiles of every image at the level its resolution asks for (17 samples per tile side)."""
     level = G.level_for(georef.Georef().finest_resolution(), n=17)

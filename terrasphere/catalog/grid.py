@@ -179,15 +179,15 @@ def _(fx):
     return with_scope(occupied(fx, 4)).select("patch", "path", quantize(G.resolution(65), 10).alias("metres"))
 
 
-_RES0 = f"(SELECT 6371000*acos({S.dot('a', 'f')})/64 FROM base WHERE patch=0)"
+RES0 = f"(SELECT 6371000*acos({S.dot('a', 'f')})/64 FROM base WHERE patch=0)"
 _ILON, _ILAT = "radians(gt0+(12+h)*gt1)", "radians(gt3+(12+h)*gt5)"
-_IMG_RES = "least(" + S.hav(_ILON, _ILAT, _ILON + "+radians(gt1)", _ILAT) + "," + S.hav(_ILON, _ILAT, _ILON, _ILAT + "+radians(gt5)") + ")"
+IMG_RES = "least(" + S.hav(_ILON, _ILAT, _ILON + "+radians(gt1)", _ILAT) + "," + S.hav(_ILON, _ILAT, _ILON, _ILAT + "+radians(gt5)") + ")"
 
 
 @query("grid_level_for", ora("images", f"""
 SELECT image_id, CAST(min(lv) AS INTEGER) AS level FROM (
- SELECT image_id, {_IMG_RES} AS res FROM (SELECT *, CASE WHEN point_sampled THEN 0.0 ELSE 0.5 END AS h FROM images)),
- (SELECT unnest(range(24)) AS lv) WHERE {_RES0}/pow(2,lv)<=res*sqrt(2) GROUP BY image_id""", S.BASE))
+ SELECT image_id, {IMG_RES} AS res FROM (SELECT *, CASE WHEN point_sampled THEN 0.0 ELSE 0.5 END AS h FROM images)),
+ (SELECT unnest(range(24)) AS lv) WHERE {RES0}/pow(2,lv)<=res*sqrt(2) GROUP BY image_id""", S.BASE))
 def _(fx):
     return fx.images.select("image_id", G.level_for(georef.Georef().finest_resolution()).alias("level"))
 
