@@ -44,10 +44,11 @@ BAD = frozenset(
 
 
 class Page(HTMLParser):
-    """The block tree of one page, as lists over its nodes in page order."""
+    """The block tree of one page, as lists over its nodes in page order; labelled: data-open gives the label, as in pages of the grammar."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, labelled: bool = True):
         super().__init__(convert_charrefs=True)
+        self.labelled = labelled
         self.tag, self.parent, self.tokens, self.text, self.label = ["#page"], [-1], [()], [""], [1]
         self.chars, self.linked, self.tags = [0], [0], [0]
         self.stack, self.run, self.run_linked, self.anchors, self.code = [0], [], 0, 0, False
@@ -101,7 +102,7 @@ class Page(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role", "itemprop") and value:
                 words += re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            elif name == "data-open":
+            elif self.labelled and name == "data-open" and value in ("0", "1"):
                 label = int(value)
         k = self.node(tag, tuple(words), label=label)
         if tag not in VOID:
@@ -332,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in pieces(batches, "html"):
-            read = [Page(h or "") for h in batch.column("html").to_pylist()]
+            read = [Page(h or "", labelled=False) for h in batch.column("html").to_pylist()]
             x = [features(p) for p in read]
             odds = np.split(model.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])
             texts = [main_text(p, decode(p, o)) for p, o in zip(read, odds)]

@@ -191,6 +191,20 @@ def test_main_text(spark, tmp_path):
     assert Counter(tuple(r) for r in got) == want + Counter([(99, "long", long_, len(long_))])
 
 
+ARTICLE = "<article><h1>A title</h1><p>Words of the article, and more of them.</p><p>A second paragraph, with a little more.</p></article>"
+
+
+def texts_of(spark, pages):
+    rows = [(k, "u", h) for k, h in enumerate(pages)]
+    return [r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_main_text_reads_no_labels_from_pages(spark):
+    marks = ["", '<button data-open="x">Menu</button>', '<div data-open="false"></div>', "<details data-open></details>", "<div data-open></div>", '<div data-open="0"></div>']
+    assert texts_of(spark, [f"<body>{m}{ARTICLE}</body>" for m in marks]) == ["A title\nWords of the article, and more of them.\nA second paragraph, with a little more."] * len(marks)
+    assert main_text.Page("<p data-open=0>a</p>", labelled=False).label == [1, 1, 1]
+
+
 def test_main_text_held_out_pages():
     """Blocks of pages of the grammar that training has not seen."""
     rng, hit, found, wanted = random.Random(999), 0, 0, 0
