@@ -6,7 +6,7 @@ its depth, place and siblings, and of the elements above it. Boosted trees, trai
 labelled page grammar below, give each node the odds of being open (holding main text) or closed (boilerplate).
 Decoding takes the best labelling of the whole tree in which nothing below a closed node is open.
 
-NULL, empty and text-free pages give an empty text; broken markup is read as far as it goes; pages of any length are
+NULL, empty and text-free pages give an empty text; broken markup is read to the page's end; pages of any length are
 read whole; repeated rows give the same text; an empty table gives no rows; other columns are ignored.
 """
 
@@ -52,13 +52,16 @@ class Page(HTMLParser):
         self.tag, self.parent, self.tokens, self.text, self.label = ["#page"], [-1], [()], [""], [1]
         self.chars, self.linked, self.tags = [0], [0], [0]
         self.stack, self.run, self.run_linked, self.anchors, self.code = [0], [], 0, 0, False
-        try:
-            self.feed(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html))  # a tag that the page's end cuts off is no text
-            self.close()
-        except (AssertionError, ValueError):  # markup that the parser gives up on: what was read counts
-            pass
+        html = re.sub(r"&#[0-9]{4000,}", lambda m: "&#" + (m.group()[2:].lstrip("0")[:8] or "0"), html)  # int() reads no longer numbers; from eight digits on all are beyond Unicode
+        self.feed(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html))  # a tag that the page's end cuts off is no text
+        self.close()
         self.flush()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """HTML has no marked sections: up to the next >, each is a comment, but for closed CDATA, which is one as a whole."""
+        end = super().parse_marked_section(i, report) if self.rawdata[i : i + 9].upper() == "<![CDATA[" else -1
+        return end if end > 0 else self.parse_bogus_comment(i, report)
+
     def node(self, tag: str, tokens: tuple, text: str = "", linked: int = 0, label: int | None = None) -> int:
         up = self.stack[-1]
         for field, v in ((self.tag, tag), (self.parent, up), (self.tokens, tokens), (self.text, text), (self.chars, len(text)), (self.linked, linked), (self.tags, 0)):

@@ -205,6 +205,22 @@ def test_main_text_reads_no_labels_from_pages(spark):
     assert main_text.Page("<p data-open=0>a</p>", labelled=False).label == [1, 1, 1]
 
 
+def test_main_text_reads_on_after_odd_marks(spark):
+    marks = ["", "<![foo]>", "<![1]>", "<![ x>", "<![>", "<![if !mso>", "<![endif]>", "<![CDATA[ x > y ]]>", "<![CDATA[ x>", "<!x [ y>", "<!DOCTYPE a [<!ENTITY b>"]
+    want = "A title\nWords of the article, and more of them.\nA second paragraph, with a little more."
+    assert texts_of(spark, [f"<body>{m}{ARTICLE}</body>" for m in marks]) == [want] * len(marks)
+    prose = "<article><p>Words of the article, and a {} in the midst of them.</p><p>A second paragraph, with a little more.</p></article>"
+    got = texts_of(spark, [prose.format(m) for m in ("<![1], mark>", "&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65;")])
+    assert got == [f"Words of the article, and a{x} in the midst of them.\nA second paragraph, with a little more." for x in ("", " \ufffd", " A")]
+
+
+def test_main_text_parser_never_gives_up():
+    rng, parts = random.Random(5), ["<", ">", "<!", "<![", "]", "]]>", "<!--", "-->", "--", "<?", "</", "/", "/>", "&", "&#", "&#x", "1", "9" * 5000, ";", "a", "p", " ", "=", "'", '"', "<p", "<script>", "</script", "cdata[", "CDATA[", "if", "doctype", "\x00", "\n", "é"]
+    for _ in range(3000):
+        page = main_text.Page("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) + "</script><p>last words</p>", labelled=False)
+        assert len(page.text) == len(page.parent)
+
+
 def test_main_text_held_out_pages():
     """Blocks of pages of the grammar that training has not seen."""
     rng, hit, found, wanted = random.Random(999), 0, 0, 0
