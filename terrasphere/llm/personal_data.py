@@ -2,8 +2,8 @@
 
 The patterns (email, ip, card, phone) give the base spans. The field reads word shapes around digits, at signs and
 spelled-out address parts, is trained on the small labelled table below, and adds spans where no base span lies:
-written-out addresses and phone numbers without a country code. Runs of words without any such trigger are O by
-definition, so only the neighbourhoods of triggers are decoded, all of a batch at once by Viterbi in numpy.
+written-out addresses and phone numbers without a country code. All words of a text are decoded, those of a batch at
+once in numpy: a bound shows which words are O in every best labelling, and Viterbi runs over the others.
 
 Offsets are code points, ends exclusive. NULL and empty texts have no spans; texts of any length are read whole;
 repeated rows get the same spans; an empty table gives no rows; other columns are passed on or left out as asked.
@@ -14,13 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasphere.llm.tables import pieces, table
+from terrasphere.llm.tables import offsets_of, pieces, ranges, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -31,9 +32,11 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<![^\s])dot(?![^\s])")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CONTEXT = 4
+# Places of the words around one whose features it has, by the mark before their names.
+PLACES = {"": 0, "-": -1, "+": 1, "--": -2, "++": 2}
+BEGINS = np.array([name[0] == "B" for name in LABELS])
+BLOCK = 1 << 17
 
 # Labelled table: [kind:words] marks an entity, everything else is O.
 LABELLED = """
@@ -132,10 +135,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(maxsize=100_000)
 def shape(word: str) -> tuple[str, ...]:
     """Features of one word, from its shape alone but for the spelled-out parts of an address."""
-    word = word[:200]
     core = word.strip(".,;:!?\"'<>")
     digits = re.sub("[^0-9]", "", core)
     form = re.sub(r"d+", lambda m: f"d{len(m.group())}" if len(m.group()) < 8 else "d8+", re.sub("[A-Za-zÀ-ɏ]+", "x", re.sub("[0-9]", "d", core.replace("d", "x").replace("D", "x"))))
@@ -207,6 +208,7 @@ class ChainField:
                 np.add.at(pairs, (y[:-1], y[1:]), 1)
                 self.moves += step * np.where(allowed, pairs - edge - decay * self.moves, 0)
             self.weights *= 1 - decay
+        self._prepare()
 
     def _marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fold = lambda a, axis: np.log(np.exp(a - a.max(axis=axis, keepdims=True)).sum(axis=axis)) + a.max(axis=axis)
@@ -221,35 +223,95 @@ class ChainField:
         edge = sum((np.exp(alpha[t][:, None] + self.moves + (e[t + 1] + beta[t + 1])[None] - z) for t in range(n - 1)), np.zeros_like(self.moves))
         return np.exp(alpha + beta - z), edge
 
+    def _prepare(self) -> None:
+        """Weights by shape: a shape counts by those of its features that training has seen, so there are few."""
+        self.seen = {f.lstrip("+-") for f in self.index}
+        self.number, self.sums = {}, [[] for _ in PLACES]
+        self.shapes = Shapes(self)
+        self.edge = self.of(("edge",))
+        inside = self.moves[0, 0]
+        self.opens = np.maximum(self.moves.max(axis=0) - inside, self.start - self.start[0])[1:]
+        self.closes = max(0.0, float((self.moves[1:, 0] - inside).max()))
+
+    def of(self, features: tuple[str, ...]) -> int:
+        """Number of a shape."""
+        key = tuple(f for f in features if f in self.seen)
+        if key not in self.number:
+            self.number[key] = len(self.number)
+            for place, sums in zip(PLACES, self.sums):
+                sums.append(self.weights[[self.index[place + f] for f in key if place + f in self.index]].sum(axis=0))
+        return self.number[key]
+
     def decode(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of every run of words, all runs a step at a time."""
-        order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))
-        none = len(self.index)
-        e = [np.array([self.weights[[self.index.get(f, none) for f in t]].sum(axis=0) for t in token_features(runs[k])]) for k in order]
-        lens = np.array([len(x) for x in e])
-        if not len(lens) or not lens[0]:
-            return [np.zeros(0, int) for _ in runs]
-        score, back = np.zeros((len(e), len(LABELS))), []
-        final = np.zeros((len(e), len(LABELS)))
-        for t in range(lens[0]):
-            live = int((lens > t).sum())
-            now = np.array([x[t] for x in e[:live]])
+        """Best labels of every run of words.
+
+        A stretch of labels other than O, with its moves in and out, must not score less than O throughout. Its first
+        word, which begins a kind, gives at most `begin`, each other word `gain`, and its end `closes`: words in no
+        stretch for which that sums to 0 are O in every best labelling. Viterbi runs over the other words, with O fixed
+        before and after, and gives what it would give over all words.
+        """
+        lens = np.array([len(r) for r in runs], np.int64)
+        heads = 2 + offsets_of(lens + 2)[:-1]  # two places of edge lie around every run
+        s = np.full(int(lens.sum()) + 2 * len(runs) + 2, self.edge)
+        at = ranges(heads, lens)
+        s[at] = np.fromiter(map(self.shapes.__getitem__, chain.from_iterable(runs)), np.int64, len(at))
+        weights = [np.array(x) for x in self.sums]
+        score = lambda x: sum(w[s[x + d]] for w, d in zip(weights, PLACES.values()))
+        gain, begin = np.full((2, len(s)), -1e4)
+        for x in np.split(at, range(BLOCK, len(at), BLOCK)):
+            e = score(x)
+            e = e[:, 1:] - e[:, :1] + self.opens
+            gain[x], begin[x] = e.max(axis=1), e[:, BEGINS[1:]].max(axis=1)
+        sums = np.cumsum(gain)
+        before = sums + np.maximum.accumulate(begin - sums)  # best sum of a stretch up to here
+        after = np.maximum.accumulate(sums[::-1])[::-1] - sums  # and of its words after this one
+        y = np.zeros(len(s), np.int8)
+        at = at[(before + after + self.closes)[at] >= -1e-4]
+        if len(at):
+            cut = np.flatnonzero(np.diff(at) > 1) + 1
+            first, last = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]]
+            opened = np.where(np.isin(first, heads)[:, None], self.start, self.moves[0])
+            closed = np.where(np.isin(last, heads + lens - 1)[:, None], 0.0, self.moves[:, 0])
+            y[at] = self._viterbi(score(at), last - first + 1, opened, closed)
+        return [y[a : a + n] for a, n in zip(heads, lens)]
+
+    def _viterbi(self, e: np.ndarray, lens: np.ndarray, opened: np.ndarray, closed: np.ndarray) -> np.ndarray:
+        """Best labels of stretches that stand one after the other, all of them a step at a time."""
+        order = np.argsort(-lens, kind="stable")
+        off, lens, closed = offsets_of(lens)[:-1][order], lens[order], closed[order]
+        live = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0]), side="right")
+        score, back, final = opened[order] + e[off], [], np.zeros((len(lens), len(LABELS)))
+        final[:] = score
+        for t in range(1, lens[0]):
+            through = score[: live[t], :, None] + self.moves[None]
+            back.append(through.argmax(axis=1).astype(np.int8))
+            score = through.max(axis=1) + e[off[: live[t]] + t]
+            final[: live[t]] = score
+        now, y = (final + closed).argmax(axis=1), np.zeros(len(e), np.int8)
+        for t in range(lens[0] - 1, -1, -1):
+            n = live[t]
+            y[off[:n] + t] = now[:n]
             if t:
-                through = score[:live, :, None] + self.moves[None]
-                back.append(through.argmax(axis=1))
-                score = through.max(axis=1) + now
-            else:
-                score = self.start + now
-            final[:live] = score
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(runs)
-        for r, k in enumerate(order):
-            y = np.zeros(lens[r], int)
-            if lens[r]:
-                y[-1] = final[r].argmax()
-                for t in range(lens[r] - 1, 0, -1):
-                    y[t - 1] = back[t - 1][r, y[t]]
-            out[k] = y
-        return out
+                now[:n] = back[t - 1][np.arange(n), now[:n]]
+        return y
+
+
+class Shapes(dict):
+    """Number of each word's shape; short words are remembered."""
+
+    def __init__(self, field: ChainField):
+        self.field = field
+
+    def __missing__(self, word: str) -> int:
+        k = self.field.of(shape(word))
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = k
+        return k
+
+    def __reduce__(self):
+        return Shapes, (self.field,)
 
 
 @lru_cache(maxsize=1)
@@ -257,25 +319,8 @@ def trained() -> ChainField:
     return ChainField(labelled_rows())
 
 
-def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end) within CONTEXT words of a trigger."""
-    words = [m.span() for m in WORD.finditer(text)]
-    heads = np.array([a for a, _ in words])
-    near = np.zeros(len(words) + 1, int)
-    for m in TRIGGER.finditer(text):
-        k = int(np.searchsorted(heads, m.start(), side="right")) - 1
-        near[max(0, k - CONTEXT)] += 1
-        near[min(len(words), k + CONTEXT + 1)] -= 1
-    inside = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    return [[words[i] for i in run] for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1) if len(run)]
-
-
 def _added(text: str, run: list[tuple[int, int]], y: np.ndarray, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    at = 0
-    while at < len(run):
-        if not LABELS[y[at]].startswith("B"):
-            at += 1
-            continue
+    for at in np.flatnonzero(BEGINS[y]):
         to = at + 1
         while to < len(run) and LABELS[y[to]] == "I" + LABELS[y[at]][1:]:
             to += 1
@@ -286,17 +331,15 @@ def _added(text: str, run: list[tuple[int, int]], y: np.ndarray, taken: list[tup
             a += 1
         if b > a and not any(s < b and a < e for _, s, e in taken):
             yield KINDS.index(LABELS[y[at]][2:]), a, b
-        at = to
 
 
 def find(texts: list[str], field: ChainField) -> list[list[tuple[int, int, int, bool]]]:
     """All spans (number of the kind, start, end, base) of each text, by kind and start."""
     base = [base_spans(t) for t in texts]
-    runs = [(k, run) for k, t in enumerate(texts) if TRIGGER.search(t) for run in neighbourhoods(t)]
     more: list[list] = [[] for _ in texts]
-    for (k, run), y in zip(runs, field.decode([[texts[k][a:b] for a, b in run] for k, run in runs])):
+    for k, y in enumerate(field.decode([WORD.findall(t) for t in texts])):
         if y.any():
-            more[k] += _added(texts[k], run, y, base[k])
+            more[k] += _added(texts[k], [m.span() for m in WORD.finditer(texts[k])], y, base[k])
     return [sorted([(*s, True) for s in b] + [(*s, False) for s in m]) for b, m in zip(base, more)]
 
 

@@ -137,6 +137,43 @@ def test_redaction():
     assert personal_data.redact(text, personal_data.find([text], personal_data.trained())[0]) == "mail <EMAIL> or <IP>"
 
 
+def plain_labels(field, words):
+    """Viterbi over all words, one at a time."""
+    index = lambda t: [field.index[f] for f in t if f in field.index]
+    e = [field.weights[index(t)].sum(axis=0) for t in personal_data.token_features(words)]
+    score, back = [field.start + e[0]], []
+    for x in e[1:]:
+        through = score[-1][:, None] + field.moves
+        back.append(through.argmax(axis=0))
+        score.append(through.max(axis=0) + x)
+    y = [int(score[-1].argmax())]
+    for b in reversed(back):
+        y.append(int(b[y[-1]]))
+    return y[::-1]
+
+
+SPELLED = ["JANE DOE AT EXAMPLE DOT COM", "John (At) Example (Dot) Org", "john at example (dot) com", "maria at mail [dot] net", "OFFICE[AT]EXAMPLE.COM", "office(At)example(Dot)com"]
+
+
+def test_personal_data_decodes_all_words(tables):
+    field, rng = personal_data.trained(), random.Random(8)
+    texts = [t for _, t in pairs(tables[1]) if t and t.split() and len(t) < 20_000]
+    bank = " ".join(personal_data.LABELLED.split("\n") + SPELLED).replace("[email:", "").replace("[phone:", "").split()
+    texts += [*SPELLED, *(f"please write to {t} before noon" for t in SPELLED), "1" * 300 + "4", " ".join(["12"] * 500)]
+    texts += [" ".join(rng.choice(bank) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    words = [personal_data.WORD.findall(t) for t in texts]
+    got = field.decode([*words, []])
+    assert [list(y) for y in got] == [*(plain_labels(field, w) for w in words), []]
+    for t in (*SPELLED[:4], *(f"please write to {t} before noon" for t in SPELLED)):
+        assert any(k == 0 for k, *_ in personal_data.find([t], field)[0]), t
+
+
+def test_shapes_read_words_whole():
+    assert "spelled" in personal_data.shape("x" * 300 + "[at]" + "y" * 300)
+    card = "4539148803436467"
+    assert "luhn=True" in personal_data.shape("0" * 284 + card) and "luhn=False" in personal_data.shape("0" * 284 + card[:-1] + "8")
+
+
 def test_repeated_spans(spark, tables, monkeypatch):
     folder, docs, _ = tables
     want = brute.without_repeats(pairs(docs))
