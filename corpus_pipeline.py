@@ -1,13 +1,12 @@
 """The training-data pipeline: documents through five stages, each written as Parquet and read again.
 
 Every stage works on all that its predecessor kept. Rows without doc_id pass the stages like any other; repeated rows
-of one doc_id are copies of each other, of which the near-duplicate stage keeps one.
+of one doc_id are copies of each other, of which the near-duplicate stage keeps one, from those that are no copy of a smaller doc_id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrasphere.llm import contamination, near_copies, packing, personal_data, quality
@@ -21,10 +20,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component of near copies."""
-    kept = near_copies.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    order = W.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*docs.columns)
+    """The document of smallest doc_id of each component of near copies; of its rows, that of smallest text which the component has."""
+    found = near_copies.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    row = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    named = docs.withColumn("_text_key", F.xxhash64("text")).join(found, ["doc_id", "_text_key"], "left_semi")
+    named = named.groupBy("doc_id").agg(F.min(F.struct(*row)).alias("_row")).select(*[c if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -37,7 +37,7 @@ PAD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sketches(docs: DataFrame, k: int = SKETCH, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, k1, k2, sketch): number of shingles, 128-bit key of the whole set, the k smallest hashes."""
+    """(doc_id, text_key, n, k1, k2, sketch): hash of the text, number of shingles, 128-bit key of the whole set, the k smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -52,10 +52,10 @@ def sketches(docs: DataFrame, k: int = SKETCH, words: int = WORDS) -> DataFrame:
             few = np.minimum(n, k)
             kept = v[ranges(off[:-1], few)].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(offsets_of(few), pa.int32()), pa.array(kept))],
-                ["doc_id", "n", "k1", "k2", "sketch"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(offsets_of(few), pa.int32()), pa.array(kept))],
+                ["doc_id", "text_key", "n", "k1", "k2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, k1 long, k2 long, sketch array<long>")
 
 
 def least_shared(size, k: int, percent: int = PERCENT):
@@ -226,7 +226,7 @@ def links(families: DataFrame, docs: DataFrame, percent: int = PERCENT, words: i
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT, k: int = SKETCH, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document."""
+    """(doc_id, text_key, n_shingles, component_id, kept) for every document."""
     made = stored(sketches(docs, k, words), "sketches")
     key = ["n", "k1", "k2"]
     classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
@@ -237,14 +237,14 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, k: int = SKETCH, words:
     families = components(candidates(in_blocks(rows, "v", "size", LIST_BLOCK), k, percent)).withColumnRenamed("component_id", "family")
     found = components(links(stored(families, "families"), docs, percent, words))
     named = classes.join(found, "id", "left").select(*key, F.coalesce("component_id", "id").alias("component_id"))
-    out = made.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *key).join(named, key).select("doc_id", "n", "component_id")
-    alone = made.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = made.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "text_key", *key).join(named, key).select("doc_id", "text_key", "n", "component_id")
+    alone = made.where("n = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share at least 85 % of their five-word shingles."""
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op2_near_copies": op2_near_copies}

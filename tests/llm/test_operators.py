@@ -355,6 +355,15 @@ def test_pipeline(spark, tables):
     check_packing(corpus_pipeline.run(spark, folder).collect(), final)
 
 
+def test_pipeline_keeps_the_text_that_is_no_copy(spark):
+    """(5, a) is a copy of (3, a), (5, b) is not: b stays, whichever text is smaller."""
+    a, b = "a text of some nine words that comes twice", "zebras and other things that share nothing with it"
+    for x, y in ((a, b), (b, a)):
+        rows = [(3, x, "en"), (5, x, "en"), (5, y, "de"), (5, y, "en"), (None, x, "en"), (7, None, "en")]
+        got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+        assert counted(got) == Counter([(3, x, "en"), (5, y, "de"), (None, x, "en"), (7, None, "en")])
+
+
 def test_blocks_of_long_lists(spark, tables, monkeypatch):
     from terrasphere.llm import near_copies, vector_links
 
