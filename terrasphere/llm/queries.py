@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrasphere.llm import (
-    contamination, kd_shards, main_text, near_copies, packing, personal_data, quality, repeated_spans, token_files, vector_links,
+    contamination, kd_shards, lexical_search, line_dedup, main_text, near_copies, packing, personal_data, quality, repeated_spans, token_files, vector_codes, vector_links,
 )
 
-MODULES = (vector_links, near_copies, contamination, token_files, quality, kd_shards, personal_data, repeated_spans, main_text, packing)
+MODULES = (
+    vector_links, near_copies, contamination, token_files, quality, kd_shards, personal_data, repeated_spans, main_text, packing,
+    line_dedup, lexical_search, vector_codes,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
