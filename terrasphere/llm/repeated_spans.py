@@ -228,7 +228,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur elsewhere."""
     out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # a cut may fall inside a character; the text shows what is left of one as a replacement character
+    kept_text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept_text)
 
 
 QUERIES = {"op8_repeated_spans": op8_repeated_spans}
