@@ -99,6 +99,40 @@ def _(fx):
     return coverage.polygon_polygon(fx.polygons, quads(fx), "poly_id", "image_id")
 
 
+# the polygons in three sizes: some of 1e-4 degrees, some of several hundred
+MIXED = """mixed AS (SELECT poly_id, ord, ax+(x-ax)*f AS x, ay+(y-ay)*f AS y FROM (
+ SELECT *, CAST((poly_id*41)%340-175 AS DOUBLE) AS ax, CAST((poly_id*59)%150-80 AS DOUBLE) AS ay, CASE poly_id%5 WHEN 0 THEN CAST(0.00001 AS DOUBLE) WHEN 1 THEN CAST(28 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS f FROM polygons))"""
+MIXED_EDGES = EDGES.replace("FROM polygons", "FROM mixed")
+
+
+def mixed(fx):
+    ax, ay = ((C("poly_id") * 41) % 340 - 175).cast("double"), ((C("poly_id") * 59) % 150 - 80).cast("double")
+    f = F.when(C("poly_id") % 5 == 0, F.lit(0.00001)).when(C("poly_id") % 5 == 1, F.lit(28.0)).otherwise(F.lit(1.0))
+    return fx.polygons.select("poly_id", "ord", (ax + (C("x") - ax) * f).alias("x"), (ay + (C("y") - ay) * f).alias("y"))
+
+
+@query("cov_point_in_polygon_mixed", ora("geo_points polygons", f"""
+SELECT point_id, poly_id FROM geo_points, edges e GROUP BY point_id, poly_id HAVING sum({crossing('lon_deg', 'lat_deg')})%2=1""", MIXED, MIXED_EDGES))
+def _(fx):
+    pts = fx.geo_points.select("point_id", C("lon_deg").alias("px"), C("lat_deg").alias("py"))
+    return coverage.point_in_polygon(pts, mixed(fx), "point_id", "poly_id")
+
+
+@query("cov_polygon_box_mixed", ora("images polygons", f"""
+SELECT * FROM (SELECT poly_id, image_id, CASE WHEN bool_or(greatest(0,{_ex},{_ey})<least(1,{_lx},{_ly})) THEN 'OVERLAPS'
+ WHEN sum({crossing('bx0', 'by0')})%2=1 THEN 'CONTAINS' ELSE 'SEPARATE' END AS relation FROM edges e, boxes GROUP BY poly_id, image_id)
+WHERE relation<>'SEPARATE'""", MIXED, MIXED_EDGES, BOXES))
+def _(fx):
+    boxes = fx.images.select("image_id", C("gt0").alias("bx0"), (C("gt3") - 12).alias("by0"), (C("gt0") + 12).alias("bx1"), C("gt3").alias("by1"))
+    return coverage.polygon_box(mixed(fx), boxes, "poly_id", "image_id")
+
+
+@query("cov_polygon_polygon_mixed", ora("images polygons", "SELECT * FROM rel", MIXED, MIXED_EDGES, QUADS.replace("SHIFT", "0.0"),
+    *[c.replace("FROM polygons v", "FROM mixed v") for c in relation_ctes("0.0", "0.0", "")]))
+def _(fx):
+    return coverage.polygon_polygon(mixed(fx), quads(fx), "poly_id", "image_id")
+
+
 _SH = [("0.0", "0.0"), ("360.0", "0.0"), ("0.0", "180.0"), ("360.0", "180.0")]
 
 

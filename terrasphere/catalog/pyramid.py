@@ -12,7 +12,7 @@ from terrasphere.fixtures import LATTICE_LEVEL, LATTICE_N
 from terrasphere.functions import keys
 from terrasphere.functions.vec import quantize
 from terrasphere.operators import pyramid as Y
-from terrasphere.plans.build import build, build_images, update
+from terrasphere.plans.build import build, build_images, read_ranges, update, update_images
 from terrasphere.session import checkpoint_root
 from terrasphere.sources.pyramid_store import BANDS, read_pyramid
 
@@ -200,6 +200,31 @@ def _(fx):
     return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e4).alias("value"))
 
 
+_KEPT = " UNION ALL ".join(f"SELECT patch, {k} AS depth, {path_sql(k, 'tx', 'ty')} AS path, value FROM vt{k}" for k in range(L + 1))
+
+
+@query("pyr_kept_ranges", ora("lattice", f"""
+SELECT patch, CAST(l AS INTEGER) AS level, path%CAST(pow(4,l) AS BIGINT) AS path, {S.q('min(value)', 1e4)} AS min_value, {S.q('max(value)', 1e4)} AS max_value
+FROM ({_KEPT}), (SELECT unnest(range({L + 1})) AS l) WHERE l<=depth GROUP BY ALL""",
+    """merged AS (SELECT patch, gx, gy, CASE WHEN patch%3=0 AND value IS NOT NULL AND gx%2=0 THEN value+100 ELSE value END AS value FROM lattice)""", *_UPD,
+    *[tiles_cte(f"lv{k}", k, f"vt{k}") for k in range(L + 1)]))
+def _(fx):
+    """Ranges kept beside the tiles, read after an update; nothing is computed from vertices here."""
+    path = scratch(fx, "pyramid")
+    build(fx.spark, fx.lattice, path, N, ranges=True)
+    update(fx.spark, path, fx.lattice.where((C("patch") % 3 == 0) & (C("gx") % 2 == 0)).withColumn("value", C("value") + 100), N)
+    return read_ranges(fx.spark, path).select("patch", "level", "path", *[quantize(C(c), 1e4).alias(c) for c in ("min_value", "max_value")])
+
+
+@query("pyr_update_images")
+def _(fx):
+    """Three quarters of the images are built, the rest is added later; a test compares with a build of all."""
+    path, late = scratch(fx, "pyramid"), C("image_id") % 4 == 0
+    build_images(fx.spark, fx.images.where(~late), fx.pixels, path, N, updatable=True)
+    out, _ = update_images(fx.spark, path, fx.images.where(late), fx.images, fx.pixels, N)
+    return out.select("patch", "level", "gx", "gy", quantize(C("value"), 1e3).alias("value"))
+
+
 @query("src_write_read_pyramid", ora("lattice", "SELECT patch, level, gx, gy, value FROM lattice WHERE value IS NOT NULL"))
 def _(fx):
     from terrasphere.sources.pyramid_store import write_pyramid

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrasphere.catalog import sqlkit as S
@@ -14,6 +16,9 @@ from terrasphere.functions.vec import V3, put, quantize
 from terrasphere.operators import grid as G
 from terrasphere.operators import pyramid as Y
 from terrasphere.operators import terrain as T
+from terrasphere.plans.build import read_ranges, store
+from terrasphere.session import checkpoint_root
+from terrasphere.sources.pyramid_store import read_pyramid
 
 C = F.col
 N, L = 17, 2
@@ -156,17 +161,32 @@ tri AS MATERIALIZED (SELECT patch, level, path, qi, qj, {S.cols('a')}, {', '.joi
 near AS (SELECT ray_id, t.*, {S.cols('p')}, {', '.join(f'o{a}-a{a} AS w{a}' for a in 'xyz')} FROM ray, tri t WHERE abs((ax-ox)*(py*1.0)-(ay-oy)*px)<1e6 AND abs((ay-oy)*pz-(az-oz)*py)<1e6 AND abs((ax-ox)*pz-(az-oz)*px)<1e6)"""
 
 
-@query("ter_intersect", ora("terrain_mixed views", f"""
+_HITS = ora("terrain_mixed views", f"""
 SELECT ray_id, {S.q('min(t)', 1)} AS t, arg_min(patch,t) AS patch, CAST(arg_min(level,t) AS INTEGER) AS level, arg_min(path,t) AS path, CAST(arg_min(qi,t) AS BIGINT) AS cx, CAST(arg_min(qj,t) AS BIGINT) AS cy FROM (
  SELECT *, -{_cramer('e', 'g', 'p')} AS det, -({_cramer('w', 'g', 'p')})/det AS u, -({_cramer('e', 'w', 'p')})/det AS v, {_cramer('e', 'g', 'w')}/det AS t FROM near)
- WHERE det>0 AND u>=-1e-12 AND v>=-1e-12 AND u+v<=1+1e-12 AND t>=0 GROUP BY ray_id""", S.BASE, S.cells_cte(3), *_quads(2), *_quads(3), _RAYS, _MIXED, recursive=True))
-def _(fx):
-    """Rays of all views towards a point below the horizon of their eye, over terrain of two depths."""
+ WHERE det>0 AND u>=-1e-12 AND v>=-1e-12 AND u+v<=1+1e-12 AND t>=0 GROUP BY ray_id""", S.BASE, S.cells_cte(3), *_quads(2), *_quads(3), _RAYS, _MIXED, recursive=True)
+
+
+def view_rays(fx):
     v = put(fx.views.select(C("view_id").alias("ray_id"), "eye_lon_deg", "eye_lat_deg", "eye_r"),
             o=sphere.sph_to_cart(F.radians("eye_lon_deg"), F.radians("eye_lat_deg"), C("eye_r")),
             g=sphere.sph_to_cart(F.radians(C("eye_lon_deg") + 7), F.radians(C("eye_lat_deg") * 0.9), F.lit(6371000.0 * 0.9)))
-    rays = put(v, d=(V3.of("g") - V3.of("o")).unit())
-    out = T.intersect(rays, fx.terrain_mixed, N, vertical_scale=2.0)
+    return put(v, d=(V3.of("g") - V3.of("o")).unit())
+
+
+@query("ter_intersect", _HITS)
+def _(fx):
+    """Rays of all views towards a point below the horizon of their eye, over terrain of two depths."""
+    out = T.intersect(view_rays(fx), fx.terrain_mixed, N, vertical_scale=2.0)
+    return out.select("ray_id", quantize(C("t"), 1).alias("t"), "patch", "level", "path", "cx", "cy")
+
+
+@query("ter_intersect_stored", _HITS)
+def _(fx):
+    """The same rays against a stored dataset, pruned by the ranges that it keeps."""
+    path = f"{checkpoint_root(fx.spark)}/terrain-{uuid.uuid4().hex}"
+    store(fx.spark, fx.terrain_mixed, path, N)
+    out = T.intersect(view_rays(fx), read_pyramid(fx.spark, path), N, vertical_scale=2.0, ranges=read_ranges(fx.spark, path))
     return out.select("ray_id", quantize(C("t"), 1).alias("t"), "patch", "level", "path", "cx", "cy")
 
 

@@ -134,9 +134,12 @@ def cell_exit(o: V3, d: V3, t_in: Column) -> tuple[Column, Column]:
 
 
 def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id", vertical_scale: float = 1.0, default: float = 0.0,
-              radius: float = EARTH_RADIUS) -> DataFrame:
+              radius: float = EARTH_RADIUS, ranges: DataFrame | None = None) -> DataFrame:
     """First terrain hit of each ray (o*, d*): t, hit position, tile and quad.
 
+    ranges are value ranges of all tiles with their descendants, as a store keeps them; without
+    them they are computed from the heights.
+
     The frontier of (ray, cell) rows descends level by level; a step is a narrow kernel
     (children whose sides and elevation shell the ray meets) and an equi-join with the
     stored tiles. Where a child is not stored, its quadrant of the parent is searched in
@@ -144,7 +147,7 @@ def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id",
     stored. Quads are tested as triangles and the nearest hit kept by aggregation.
     """
     vs = float(vertical_scale)
-    stats = tile_stats(heights, n).select(*KEY, F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
+    stats = (tile_stats(heights, n) if ranges is None else ranges).select(*KEY, F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
     own = stored_tiles(heights, n).withColumn("_own", F.lit(True))
     tree = ancestors(own.select(*KEY)).select(*KEY).distinct().join(own, KEY, "left")
     # a tile without values of its own still spans the default height
