@@ -10,8 +10,8 @@
 4. The families so joined are compared on full shingle sets, again by blocks, and the exact links' spanning forests
    give the components.
 
-NULL, empty and blank texts have no shingles and link with nothing. Rows of equal doc_id are taken as linked. A row
-without doc_id links with nothing and is kept. An empty table gives no rows; other columns are ignored.
+NULL, empty and blank texts have no shingles and link with nothing. Rows of one doc_id whose texts are no copies of each
+other are not linked by it: each belongs to the component of its own text. A row without doc_id links with nothing and is kept. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ code's own error, so none is lost; the rest is compared by exact cosine in doubl
 queries are dealt in blocks; a task returns link counts and a spanning forest, never its pairs.
 
 Vectors that are NULL, empty, zero or hold NULL or non-finite components, and those without a label or vec_id, link
-with nothing. Vectors of different lengths do not link. Rows of equal vec_id but different vectors count as linked
-when components are formed. An empty table gives no rows; other columns are ignored.
+with nothing. Vectors of different lengths do not link. Rows of equal vec_id but different vectors are not linked by it:
+each belongs to the component of its own vector. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
