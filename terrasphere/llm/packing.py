@@ -2,8 +2,8 @@
 
 Every document is cut into whole windows and a rest; a rest goes, as it comes, to the fill level that makes the sum
 of squared numbers of partly filled windows smallest (a new window is level 0), with those numbers kept in one array
-per task. At the end of a task the contents of its emptiest windows are poured into the gaps of the fullest, and the
-one window left over is cut into sequences whose lengths are powers of two, which need no padding. A task packs what
+per task. At the end of a task pieces of its emptiest windows fill the gaps of the fullest, whose contents stay where they were
+placed, and the one window left over is cut into sequences whose lengths are powers of two, which need no padding. A task packs what
 it reads: no shuffle, a window never spans tasks, and a lost task is simply packed again.
 
 NULL and empty texts are one end id; repeated rows are packed as often as they come; an empty table gives no pieces;
@@ -56,11 +56,28 @@ class Packer:
         return None
 
     def finish(self) -> Iterator[list]:
-        """The rest: full windows as far as the contents go, then lengths that are powers of two."""
-        left = [p for level in reversed(range(self.capacity)) for w in self.open[level] for p in w]
+        """The open windows, fullest first. Pieces of the emptiest go into their gaps; what was placed in a window stays
+        there. The one window that is left over is cut into lengths that are powers of two."""
+        windows = [w for level in reversed(range(self.capacity)) for w in self.open[level]]
+        gaps = [self.capacity - level for level in reversed(range(self.capacity)) for _ in self.open[level]]
+        at, giving = 0, len(windows) - 1
+        while at < giving:
+            doc, start, ids, n = windows[giving].pop()
+            here = min(len(ids), gaps[at])
+            windows[at].append((doc, start, ids[:here], n))
+            gaps[at] -= here
+            if here < len(ids):
+                windows[giving].append((doc, start + here, ids[here:], n))
+            elif not windows[giving]:
+                giving -= 1
+            if not gaps[at]:
+                yield windows[at]
+                at += 1
+        if at > giving or not windows:
+            return
+        left = windows[at]
         total = sum(len(p[2]) for p in left)
-        sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in reversed(range(total.bit_length())) if (total % self.capacity) >> b & 1]
-        for size in sizes:
+        for size in (1 << b for b in reversed(range(total.bit_length())) if total >> b & 1):
             window = []
             while size:
                 doc, start, ids, n = left[0]
