@@ -140,6 +140,15 @@ def _(fx):
     return best.join(n, "point_id").select("point_id", quantize(C("dist"), 10).alias("dist"), "candidates")
 
 
+@query("vec_nearest_control_point_anywhere", ora("line_points geo_points", f"""
+SELECT point_id, {S.q('min(sqrt(pow(g.gx-p.px,2)+pow(g.gy-p.py,2)+pow(g.gz-p.pz,2)))', 10)} AS dist
+FROM (SELECT point_id, {S.sph('lon_deg', 'lat_deg', 'g', S.R + '+elev')} FROM geo_points) g, lxyz p GROUP BY point_id""", LINE_XYZ))
+def _(fx):
+    """Every point of the globe and the control point nearest to it, however far away."""
+    q = put(fx.geo_points, q=sphere.geodetic_to_cart(C("lon_deg"), C("lat_deg"), C("elev")))
+    return NR.nearest_control_point(q, pts(fx), ["point_id"]).select("point_id", quantize(C("dist"), 10).alias("dist"))
+
+
 SEGD = f"""segd AS (SELECT * FROM (SELECT point_id, line_id, seg, {S.dot('n', 's')} AS sd, abs(sd) AS d, u FROM (
  SELECT s.point_id, g.line_id, g.seg, {S.cols('s', 'p', 'q')}, {S.lin('e', ('1', 'q'), ('-1', 'p'))}, {S.cross('p', 'e', 'n0')},
   (({S.dot('s', 'e')})-({S.dot('p', 'e')}))/{S.dot('e', 'e')} AS u, {', '.join(f'n0{a}/({S.norm("p")}*{S.norm("e")}) AS n{a}' for a in 'xyz')}

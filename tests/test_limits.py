@@ -152,3 +152,22 @@ def test_fed_vertices_cover_what_a_wide_kernel_reaches(spark):
     one = spark.createDataFrame([(0, 1, 4, 4)], "patch int, level int, gx bigint, gy bigint")
     assert {(r.gx, r.gy) for r in pyramid.fed_vertices(one, 17, "tent").collect()} == {(2, 2)}
     assert len(pyramid.fed_vertices(one, 17, "lanczos5").collect()) == 64
+
+
+def test_nearest_control_point_half_a_globe_away(spark):
+    from terrasphere.operators.nearest import nearest_control_point
+
+    rng = np.random.default_rng(5)
+    crowd = unit(rng.normal(size=(400, 3)) * 0.01 + np.array([1.0, 0.2, 0.1])) * (6371000.0 + rng.uniform(-9000, 9000, (400, 1)))
+    p = np.r_[crowd, crowd[:50], [[-6400000.0, 10.0, 3.0]]]
+    points = spark.createDataFrame([(k % 7, k, *map(float, v)) for k, v in enumerate(p)] + [(9, 1, None, 0.0, 0.0)], "line_id int, ord int, x double, y double, z double")
+    asked = np.r_[unit(rng.normal(size=(60, 3))) * 6371000.0, [[-6371000.0, 0.0, 0.0], [6371000.0, 0.0, 0.0], [1.0, 2.0, 3.0]], crowd[:3]]
+    queries = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(asked)] + [(99, None, 0.0, 0.0)], "id int, qx double, qy double, qz double")
+    got = {r.id: r for r in nearest_control_point(queries, points, ["id"]).collect()}
+    assert sorted(got) == list(range(len(asked)))
+    for k, q in enumerate(asked):
+        d = np.sqrt(((p - q) ** 2).sum(axis=1))
+        assert abs(got[k].dist - d.min()) < 1e-3
+        assert (got[k].line_id, got[k].ord) in {(i % 7, i) for i in np.flatnonzero(d < d.min() + 1e-3)}
+    one = nearest_control_point(queries, points.limit(0), ["id"])
+    assert one.collect() == []
