@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrasphere.functions import keys
 from terrasphere.functions.descent import SCOPE_NAMES, box_descend, segment_descend, with_rings, with_scope
 from terrasphere.functions.vec import V3
-from terrasphere.operators.coverage import coverage_rings, crossing, edges_cross, image_ring, ring_edges
+from terrasphere.operators.coverage import crossing, edge_extent, edges_cross, given_rings, image_ring, meet_in_cells, odd_crossings, ring_edges
 from terrasphere.operators.grid import ancestors, segment_intersects, with_side_sections
 from terrasphere.session import cut_lineage
 
@@ -33,12 +33,15 @@ def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int
     pixels) count where these lie.
     """
     lv = level if isinstance(level, Column) else F.lit(level)
-    start = images.withColumns({"_r": image_ring(subdivisions), "want": lv.cast("int")})
+    start = images.withColumn("want", lv.cast("int"))
+    whole = start if coverage is None else start.join(coverage.select("image_id").distinct(), "image_id", "left_anti")
+    ring = whole.select("image_id", F.posexplode(image_ring(subdivisions)).alias("ord", "v")).select(
+        "image_id", F.col("ord").cast("bigint").alias("ord"), F.col("v.lon").alias("x"), F.col("v.lat").alias("y"))
     if coverage is not None:
-        start = start.join(coverage_rings(images, coverage), "image_id", "left").withColumn("_r", F.coalesce("_given", "_r"))
-    start = cut_lineage(start.select("image_id", "want", "_r"))
-    side = lambda f, c: f(F.transform("_r", lambda v: v[c]))
-    frontier = start.select("image_id", "want", *[side(f, c).alias(f"{n}_{c}") for n, f in (("min", F.array_min), ("max", F.array_max)) for c in ("lon", "lat")])
+        ring = ring.unionByName(given_rings(images, coverage))
+    ring = cut_lineage(ring)
+    box = ring.groupBy("image_id").agg(F.min("x").alias("min_lon"), F.min("y").alias("min_lat"), F.max("x").alias("max_lon"), F.max("y").alias("max_lat"))
+    frontier = start.select("image_id", "want").join(box, "image_id").select("image_id", "want", "min_lon", "min_lat", "max_lon", "max_lat")
     top = images.agg(F.max(lv)).first()[0]
     done, first = None, 0
     while first <= (top or 0):
@@ -50,35 +53,39 @@ def image_tile_join(images: DataFrame, level, subdivisions: int = 3, stride: int
         done = arrived if done is None else done.unionByName(arrived)
         frontier = reached.where(F.col("level") < F.col("want"))
         first = last + 1
-    return rings_meet(cut_lineage(done), start.select("image_id", F.col("_r").alias("ring")), subdivisions)
+    return rings_meet(cut_lineage(done), ring, subdivisions)
 
 
-def rings_meet(pairs: DataFrame, image_rings: DataFrame, subdivisions: int) -> DataFrame:
+def rings_meet(pairs: DataFrame, image_vertices: DataFrame, subdivisions: int) -> DataFrame:
     """The pairs (image_id, KEY) whose rings cross, or of which one holds the other; roots always count.
 
-    Of an image's edges only those that meet the tile's box are joined with the tile's own.
+    image_vertices: (image_id, ord, x, y), rings of any length. A tile meets only the edges of its image that share a cell
+    with it, and for the test whether the image holds it only those at the height of its first vertex.
     """
     tiles = with_rings(pairs.where("level > 0").select(*KEY).distinct(), subdivisions)
-    flat = lambda df, key: df.select(*key, F.posexplode("ring").alias("ord", "v")).select(*key, "ord", F.col("v.lon").alias("x"), F.col("v.lat").alias("y"))
     tile = F.struct(*KEY).alias("tile")
-    tile_edges = cut_lineage(ring_edges(flat(tiles.select(tile, "ring"), ["tile"]), "tile"))
-    image_edges = cut_lineage(ring_edges(flat(image_rings, ["image_id"]), "image_id"))
+    flat = tiles.select(tile, F.posexplode("ring").alias("ord", "v")).select("tile", "ord", F.col("v.lon").alias("x"), F.col("v.lat").alias("y"))
+    tile_edges = cut_lineage(ring_edges(flat, "tile"))
+    image_edges = cut_lineage(ring_edges(image_vertices, "image_id"))
     box = tile_edges.groupBy("tile").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
                                          F.min_by("x", "ord").alias("tx"), F.min_by("y", "ord").alias("ty"))
+    image = image_edges.groupBy("image_id").agg(F.min("x").alias("i0"), F.max("x").alias("i1"), F.min("y").alias("j0"), F.max("y").alias("j1"),
+                                                F.min_by("x", "ord").alias("ix"), F.min_by("y", "ord").alias("iy"))
     turn = F.explode(F.array(F.lit(0.0), F.lit(2 * math.pi), F.lit(-2 * math.pi))).alias("turn")
-    cand = pairs.where("level > 0").select("image_id", tile, turn).join(box, "tile")
-    low, high = (lambda c: F.least(c, c + "2")), (lambda c: F.greatest(c, c + "2"))
-    met = cand.join(image_edges, "image_id")
-    over = (low("x") <= F.col("x1") + F.col("turn")) & (high("x") >= F.col("x0") + F.col("turn")) & (low("y") <= F.col("y1")) & (high("y") >= F.col("y0"))
+    cand = pairs.where("level > 0").select("image_id", tile, turn).join(box, "tile").join(image, "image_id")
+    cand = cand.withColumns({c: F.col(c) + F.col("turn") for c in ("x0", "x1", "tx")})
+    cand = cut_lineage(cand.where("x0 <= i1 AND x1 >= i0 AND y0 <= j1 AND y1 >= j0").drop("i0", "i1", "j0", "j1"))
+    tile_box = (F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))
+    met = meet_in_cells(cand.drop("tx", "ty", "ix", "iy"), image_edges, tile_box, edge_extent("x", "y", "x2", "y2"), ("image_id",))
+    over = (F.least("x", "x2") <= F.col("x1")) & (F.greatest("x", "x2") >= F.col("x0")) & (F.least("y", "y2") <= F.col("y1")) & (F.greatest("y", "y2") >= F.col("y0"))
     own = tile_edges.select("tile", *[F.col(a).alias(b) for a, b in (("x", "u"), ("y", "v"), ("x2", "u2"), ("y2", "v2"))])
     crossed = met.where(over).join(own, "tile").withColumns({"u": F.col("u") + F.col("turn"), "u2": F.col("u2") + F.col("turn")}).where(edges_cross())
     crossed = crossed.select("image_id", "tile")
     # without a crossing, one first vertex tells whether the other ring holds it
-    within = met.groupBy("image_id", "tile", "turn").agg((F.sum(crossing(F.col("tx") + F.col("turn"), F.col("ty"))) % 2).alias("odd"))
-    first = image_edges.groupBy("image_id").agg(F.min_by("x", "ord").alias("ix"), F.min_by("y", "ord").alias("iy"))
-    around = cand.join(first, "image_id").join(tile_edges, "tile").groupBy("image_id", "tile", "turn").agg(
+    within = odd_crossings(cand.select("image_id", "tile", "turn", F.col("tx").alias("px"), F.col("ty").alias("py")), image_edges, ["tile", "turn"], "image_id")
+    around = cand.select("image_id", "tile", "turn", "ix", "iy").join(tile_edges, "tile").groupBy("image_id", "tile", "turn").agg(
         (F.sum(crossing(F.col("ix") - F.col("turn"), F.col("iy"))) % 2).alias("odd"))
-    held = within.unionByName(around).where("odd = 1").select("image_id", "tile")
+    held = within.select("image_id", "tile").unionByName(around.where("odd = 1").select("image_id", "tile"))
     found = crossed.unionByName(held).distinct().select("image_id", "tile.*")
     return found.unionByName(pairs.where("level = 0").select("image_id", *KEY))
 

@@ -82,3 +82,17 @@ def test_given_coverage_and_rejects(spark):
     whole = {tuple(r) for r in image_tile_join(good, 4).collect()}
     some = {tuple(r) for r in image_tile_join(good, 4, coverage=part).collect()}
     assert some < whole and len(some) < len(whole) / 4
+
+
+def test_long_coverage_is_met_by_its_tiles_edges(spark):
+    """A coverage of many vertices gives the tiles of the same outline drawn with few."""
+    images, _ = tables(spark, [image(1, 170.0, 40.0, 1.0, 30)], lambda k, x, y: 1.0)
+    corners = [(2.0, 2.0), (26.0, 3.0), (20.0, 25.0), (9.0, 12.0)]
+    few = [(1, k, x, y) for k, (x, y) in enumerate(corners)]
+    many = []
+    for (x, y), (u, v) in zip(corners, corners[1:] + corners[:1]):
+        many += [(x + (u - x) * t / 5000, y + (v - y) * t / 5000) for t in range(5000)]
+    schema = "image_id bigint, ord int, x double, y double"
+    a, b = ({tuple(r) for r in image_tile_join(images, 5, coverage=spark.createDataFrame(rows, schema)).collect()}
+            for rows in (few, [(1, 10 * k + 3, x, y) for k, (x, y) in enumerate(many)]))
+    assert a == b and len(a) > 20
