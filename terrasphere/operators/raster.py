@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrasphere.functions.georef import Georef
 
 FOLD_CHUNK = 4096
+BLOCK_PIXELS = 32
 
 
 def image_blocks(images: DataFrame) -> DataFrame:
@@ -55,34 +56,69 @@ def nearest(samples: DataFrame, px: DataFrame, value: str = "value") -> DataFram
     return s.join(v, ["image_id", "px", "py"], "left").drop("px", "py")
 
 
-def bilinear_taps(samples: DataFrame) -> DataFrame:
-    """Up to four weighted pixels per sample; the far border uses the pixel before it."""
-    def axis(c: str, size: str):
-        lo = F.floor(F.col(c)).cast("int")
-        edge = (lo == F.col(size) - 1) & (lo > 0)
-        return F.when(edge, lo - 1).otherwise(lo), F.when(edge, F.lit(1.0)).otherwise(F.col(c) - F.floor(F.col(c)))
-    (x, dx), (y, dy) = axis("sx", "size_x"), axis("sy", "size_y")
-    base = samples.withColumns({"_x": x, "_dx": dx, "_y": y, "_dy": dy})
-    taps = [
-        F.struct((F.col("_x") + i).alias("px"), (F.col("_y") + j).alias("py"),
-                 ((F.col("_dx") if i else 1 - F.col("_dx")) * (F.col("_dy") if j else 1 - F.col("_dy"))).alias("w"))
-        for j in (0, 1) for i in (0, 1)
-    ]
-    out = base.select(*samples.columns, F.inline(F.array(*taps)))
-    return out.where(F.col("w") > 0)
-
+def pixel_blocks(px: DataFrame, values: list[str], size: int = BLOCK_PIXELS) -> DataFrame:
+    """(image_id, bx, by, <value> arrays): blocks of size x size pixels with a halo of one pixel to the right and below.
 
-def bilinear_parts(samples: DataFrame, px: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    Arrays are dense and row-major, NULL where there is no pixel, so that all four pixels around a sample stand in the block of the first.
+    """
+    side = size + 1
+
+    def homes(c: str) -> Column:
+        b, i = F.floor(F.col(c) / size).cast("int"), F.pmod(F.col(c), F.lit(size)).cast("int")
+        own = F.struct(b.alias("b"), i.alias("i"))
+        return F.explode(F.when(i == 0, F.array(own, F.struct((b - 1).alias("b"), F.lit(size).alias("i")))).otherwise(F.array(own)))
+
+    spread = px.select("image_id", homes("px").alias("x"), "py", *values).select("image_id", "x", homes("py").alias("y"), *values)
+    entry = F.struct((F.col("y.i") * side + F.col("x.i")).alias("at"), *[F.col(v).cast("double").alias(v) for v in values])
+    grouped = spread.groupBy("image_id", F.col("x.b").alias("bx"), F.col("y.b").alias("by")).agg(F.collect_list(entry).alias("entries"))
+    together = max(1, (1 << 20) // (side * side))
+
+    def scatter(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, together):
+                part = batch.slice(first, together)
+                lists = part.column("entries")
+                entries = lists.flatten()
+                block = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                slot = block * (side * side) + entries.field("at").to_numpy()
+                off = pa.array(np.arange(part.num_rows + 1) * side * side, pa.int32())
+                columns = []
+                for v in values:
+                    value = entries.field(v)
+                    there = value.is_valid().to_numpy(zero_copy_only=False)
+                    dense, empty = np.zeros(part.num_rows * side * side), np.ones(part.num_rows * side * side, bool)
+                    dense[slot[there]] = value.drop_null().to_numpy()
+                    empty[slot[there]] = False
+                    columns.append(pa.ListArray.from_arrays(off, pa.array(dense, mask=empty)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("image_id", "bx", "by")), *columns], ["image_id", "bx", "by", *values])
+
+    kind = px.schema["image_id"].dataType.simpleString()
+    return grouped.mapInArrow(scatter, f"image_id {kind}, bx int, by int, " + ", ".join(f"{v} array<double>" for v in values))
+
+
+def bilinear_parts(samples: DataFrame, px: DataFrame, keys: list[str], values: list[str], size: int = BLOCK_PIXELS) -> DataFrame:
     """Per sample: weighted sum <v>_sum of valid taps and their total weight w_valid.
 
-    A pixel counts as valid when its first value is not NULL.
+    A sample meets one row, the block of its first pixel, and takes its four pixels from there; the far border uses the
+    pixel before it. A pixel counts as valid when its first value is not NULL.
     """
-    v = px.select("image_id", "px", "py", *values)
-    valid = F.col(values[0]).isNotNull()
-    return (
-        bilinear_taps(samples).join(v, ["image_id", "px", "py"], "left").groupBy(*keys)
-        .agg(*[F.coalesce(F.sum(F.col("w") * F.col(c)), F.lit(0.0)).alias(c + "_sum") for c in values],
-             F.coalesce(F.sum(F.when(valid, F.col("w"))), F.lit(0.0)).alias("w_valid")))
+    def axis(c: str, extent: str):
+        lo = F.floor(F.col(c)).cast("int")
+        edge = (lo == F.col(extent) - 1) & (lo > 0)
+        return F.when(edge, lo - 1).otherwise(lo), F.when(edge, F.lit(1.0)).otherwise(F.col(c) - F.floor(F.col(c)))
+    (x, dx), (y, dy) = axis("sx", "size_x"), axis("sy", "size_y")
+    base = samples.withColumns({"_x": x, "_dx": dx, "_y": y, "_dy": dy})
+    base = base.withColumns({"bx": F.floor(F.col("_x") / size).cast("int"), "by": F.floor(F.col("_y") / size).cast("int")})
+    blocks = pixel_blocks(px, values, size).select("image_id", "bx", "by", *[F.col(v).alias("_v_" + v) for v in values])
+    met = base.join(blocks, ["image_id", "bx", "by"], "left").withColumn("_at", (F.col("_y") - F.col("by") * size) * (size + 1) + F.col("_x") - F.col("bx") * size)
+    taps = [((F.col("_dx") if i else 1 - F.col("_dx")) * (F.col("_dy") if j else 1 - F.col("_dy")), F.col("_at") + (j * (size + 1) + i)) for j in (0, 1) for i in (0, 1)]
+    zero = F.lit(0.0)
+    total = lambda v: sum((w * F.coalesce(F.get("_v_" + v, at), zero) for w, at in taps), zero)
+    valid = sum((F.when(F.get("_v_" + values[0], at).isNotNull(), w).otherwise(zero) for w, at in taps), zero)
+    return met.select(*keys, *[total(v).alias(v + "_sum") for v in values], valid.alias("w_valid"))
 
 
 def blend(total: Column, w_valid: Column, prev: Column) -> Column:
