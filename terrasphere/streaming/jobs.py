@@ -20,6 +20,8 @@ from terrasphere.operators.lines import apply_edits
 from terrasphere.operators.lod import coalesce_requests
 from terrasphere.operators.ordered import top_k
 from terrasphere.plans.build import update
+from terrasphere.session import cut_lineage
+from terrasphere.sources.pyramid_store import drop_folders
 
 KEY = ["patch", "level", "path"]
 BUCKETS = 64
@@ -118,6 +120,39 @@ def request_queue(requests: DataFrame, emit: Callable[[DataFrame, int], None], c
     return requests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+PENDING = "patch int, level int, path bigint, lod double, ts timestamp, rank int, handed bigint"
+
+
+def pending_requests(requests: DataFrame, emit: Callable[[DataFrame, int], None], store: str, checkpoint: str, k: int = 8, most: int = 1024,
+                     expiry_seconds: int = 600, **trigger) -> StreamingQuery:
+    """A queue of requests (KEY, lod, ts) across triggers: each hands the k most urgent on, none twice while it is pending.
+
+    What is pending is a table under `store`, one version a batch: requests handed on (by batch `handed`) until they expire, and
+    at most `most` others, the most urgent by |lod|. Time is the largest ts seen. A request that was handed on longer ago than the
+    expiry may be asked again; one that waits goes when nobody repeats it for that long. A repeated batch starts from
+    the version before it and hands on the same rows.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.schema(PENDING).parquet(f"{store}/version={batch_id}") if batch_id else spark.createDataFrame([], PENDING)
+        new = cut_lineage(batch.groupBy(*KEY).agg(F.min("lod").alias("lod"), F.max(F.col("ts").cast("timestamp")).alias("ts")))
+        clock = old.select("ts").unionByName(new.select("ts")).agg(F.max("ts")).first()[0]
+        live = old.where(F.col("ts") > F.lit(clock) - F.make_dt_interval(secs=F.lit(expiry_seconds))) if clock else old
+        handed = live.where("handed IS NOT NULL")
+        waiting = live.where("handed IS NULL").select(*KEY, "lod", "ts").unionByName(new).join(handed, KEY, "left_anti")
+        waiting = waiting.groupBy(*KEY).agg(F.min("lod").alias("lod"), F.max("ts").alias("ts"))
+        ranked = coalesce_requests(waiting, k + most).select(*KEY, "rank").join(waiting, KEY)
+        first = F.col("rank") <= k
+        ranked = ranked.select(*KEY, "lod", F.when(first, F.lit(clock)).otherwise(F.col("ts")).alias("ts"), F.col("rank").cast("int").alias("rank"), F.when(first, F.lit(batch_id)).cast("bigint").alias("handed"))
+        path = f"{store}/version={batch_id + 1}"
+        handed.select(*ranked.columns).unionByName(ranked).write.mode("overwrite").parquet(path)
+        emit(spark.read.schema(PENDING).parquet(path).where(F.col("handed") == batch_id).select(*KEY, "lod", "rank"), batch_id)
+        if batch_id:
+            drop_folders(spark, [f"{store}/version={batch_id - 1}"])
+
+    return requests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def recently_used(touches: DataFrame, keys: list[str]) -> DataFrame:
     """Last touch of every key (ts); as a stream use output mode update or complete."""
     return touches.groupBy(*keys).agg(F.max("ts").alias("last_used"), F.count(F.lit(1)).alias("touches"))

@@ -68,6 +68,35 @@ def test_request_queue(spark):
     assert sorted((r.path, r.lod) for r in got) == [(0, 0.0), (1, 1.0), (2, 2.0)]
 
 
+def test_pending_requests_over_triggers_and_a_restart(spark):
+    root, got = scratch(spark), {}
+    schema = "patch int, level int, path bigint, lod double, ts timestamp"
+    rows = [
+        [(0, 1, k, float(k), "2024-01-01 00:00:00") for k in range(5)],  # 0 and 1 are handed on, 2 and 3 wait, 4 does not fit
+        [(0, 1, 0, 0.0, "2024-01-01 00:01:00"), (0, 1, 7, 0.5, "2024-01-01 00:01:00")],  # 0 is pending: 7 and 2
+        [(0, 1, 1, 0.1, "2024-01-01 00:05:00"), (0, 1, 8, 9.0, "2024-01-01 00:05:00")],  # 1 is pending: 3 and 8
+        [(0, 1, 0, 0.0, "2024-01-01 00:20:00"), (0, 1, 8, 9.0, "2024-01-01 00:14:00")],  # all have expired: 0 and 8
+    ]
+
+    def put(k):
+        df = spark.createDataFrame([(*r[:4], r[4]) for r in rows[k]], "patch int, level int, path bigint, lod double, ts string")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        emit = lambda df, b: got.update({b: [(r.path, r.lod) for r in df.orderBy("rank").collect()]})
+        jobs.pending_requests(stream, emit, f"{root}/pending", f"{root}/ckpt", k=2, most=2, expiry_seconds=600).awaitTermination()
+
+    for k in (0, 1):
+        put(k)
+        run()  # a restart between triggers
+    put(2)
+    run()
+    put(3)
+    run()
+    assert got == {0: [(0, 0.0), (1, 1.0)], 1: [(7, 0.5), (2, 2.0)], 2: [(3, 3.0), (8, 9.0)], 3: [(0, 0.0), (8, 9.0)]}
+
+
 def test_stale_coverage_stream(spark):
     root = scratch(spark)
     e = spark.createDataFrame([(1, "2024-01-03"), (2, "2024-01-01")], "line_id bigint, edit_ts string").withColumn("edit_ts", F.col("edit_ts").cast("timestamp"))
