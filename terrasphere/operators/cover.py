@@ -11,7 +11,8 @@ from terrasphere.functions import keys
 from terrasphere.functions.descent import SCOPE_NAMES, box_descend, segment_descend, with_rings, with_scope
 from terrasphere.functions.vec import V3
 from terrasphere.operators.coverage import crossing, edge_extent, edges_cross, given_rings, image_ring, meet_in_cells, odd_crossings, ring_edges
-from terrasphere.operators.grid import ancestors, segment_intersects, with_side_sections
+from terrasphere.operators.grid import segment_intersects, with_side_sections
+from terrasphere.operators.pyramid import level_asof
 from terrasphere.session import cut_lineage
 
 KEY = ["patch", "level", "path"]
@@ -148,12 +149,14 @@ def cells_with_children(cells: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def multi_layer_join(cells: DataFrame, tiles: DataFrame, layers: list[int], value: str, default=None) -> DataFrame:
-    """One column per layer with the value of the cell's own tile or its nearest ancestor's."""
-    up = ancestors(cells.select(*KEY))
-    hit = up.join(tiles.select(*KEY, "layer_id", value), KEY)
-    best = hit.groupBy("patch", F.col("leaf_level").alias("level"), F.col("leaf_path").alias("path")).pivot("layer_id", layers).agg(
-        F.max_by(value, "level"))
-    named = best.select(*KEY, *[F.col(str(k)).alias(f"layer_{k}") for k in layers])
+    """One column per layer with the value of the cell's own tile or its nearest ancestor's.
+
+    The levels in use are joined finest first, with the (cell, layer) rows still open.
+    """
+    kind = tiles.schema["layer_id"].dataType
+    asked = cells.select(*KEY).distinct().withColumn("layer_id", F.explode(F.array(*[F.lit(k).cast(kind) for k in layers])))
+    found = level_asof(asked, tiles.select(*KEY, "layer_id", F.col(value).alias("_value")), ["layer_id"], ("layer_id",))
+    named = found.groupBy(*KEY).agg(*[F.max(F.when(F.col("layer_id") == k, F.col("_value"))).alias(f"layer_{k}") for k in layers])
     out = cells.select(*KEY).join(named, KEY, "left")
     if default is not None:
         out = out.fillna(default, [f"layer_{k}" for k in layers])

@@ -186,26 +186,26 @@ def fill_defaults(value: Column, default) -> Column:
     return F.coalesce(value, default if isinstance(default, Column) else F.lit(default))
 
 
-def level_asof(cells: DataFrame, tiles: DataFrame, key: list[str]) -> DataFrame:
-    """Each cell with its own tile or that of its nearest ancestor.
+def level_asof(cells: DataFrame, tiles: DataFrame, key: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell with its own tile or that of its nearest ancestor, among tiles equal to it in the columns `on` (of the key).
 
-    tiles: patch, level, path (each once) plus payload; payload columns come back with
+    tiles: patch, level, path (each once for each value of `on`) plus payload; payload columns come back with
     found_level. The levels in use are joined finest first, each with the cells still
     open, so few cells are left to meet at the coarse tiles.
     """
-    payload = [c for c in tiles.columns if c not in ("patch", "level", "path")]
+    payload = [c for c in tiles.columns if c not in ("patch", "level", "path", *on)]
     rest = cells.select(*key, "patch", "level", "path")
     columns, out = rest.columns, None
     for level in sorted((r[0] for r in tiles.select("level").distinct().collect()), reverse=True):  # at most 24
-        here = tiles.where(F.col("level") == level).select("patch", F.col("path").alias("_at"), F.struct(F.lit(level).alias("found_level"), *payload).alias("_t"))
+        here = tiles.where(F.col("level") == level).select(*on, "patch", F.col("path").alias("_at"), F.struct(F.lit(level).alias("found_level"), *payload).alias("_t"))
         at = F.when(F.col("level") >= level, keys.ancestor_path(F.col("path"), F.lit(level)))
-        met = cut_lineage(rest.withColumn("_at", at).join(here, ["patch", "_at"], "left").select(*columns, "_t"))
+        met = cut_lineage(rest.withColumn("_at", at).join(here, [*on, "patch", "_at"], "left").select(*columns, "_t"))
         found = met.where("_t IS NOT NULL")
         out = found if out is None else out.unionByName(found)
         rest = met.where("_t IS NULL").drop("_t")
     if out is None:
         none = F.struct(F.lit(None).cast("int").alias("found_level"), *payload)
-        out = cells.join(tiles, ["patch", "level", "path"]).select(*columns, none.alias("_t"))
+        out = cells.join(tiles.drop(*on), ["patch", "level", "path"]).select(*columns, none.alias("_t"))
     return out.select(*key, "patch", "level", "path", "_t.*")
 
 
