@@ -11,6 +11,7 @@ from terrasphere.functions.descent import SCOPE_NAMES, cell_of, patch_of
 from terrasphere.functions.hits import Section, ray_section
 from terrasphere.functions.patches import SIDES, base_neighbors, resolution_at
 from terrasphere.functions.vec import V3, names, num, put
+from terrasphere.session import cut_lineage
 
 
 def with_patch(points: DataFrame, p: V3) -> DataFrame:
@@ -186,14 +187,19 @@ def _cross(df: DataFrame, sides: DataFrame) -> DataFrame:
 def deepest_existing(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Deepest existing cell at or above each wanted (key, patch, level, path), with the offset
     of the wanted cell inside it in wanted-level tiles (off_x, off_y)."""
-    have = existing.select("patch", "level", "path").distinct()
-    found = (
-        ancestors(wanted.select(key, "patch", "level", "path"))
-        .join(have, ["patch", "level", "path"], "left_semi")
-        .groupBy(key)
-        .agg(F.max(F.struct("level", "path", "patch", "leaf_level", "leaf_path")).alias("_f"))
-        .select(key, "_f.*")
-    )
+    have = cut_lineage(existing.select("patch", "level", "path").distinct())
+    rest = wanted.select(key, "patch", F.col("level").alias("leaf_level"), F.col("path").alias("leaf_path"))
+    found = None
+    # finest level first, each with the cells still open
+    for level in sorted((r[0] for r in have.select("level").distinct().collect()), reverse=True):  # at most 24
+        here = have.where(F.col("level") == level).select("patch", F.col("path").alias("_at"), F.lit(True).alias("_hit"))
+        at = F.when(F.col("leaf_level") >= level, keys.ancestor_path(F.col("leaf_path"), F.lit(level)))
+        met = cut_lineage(rest.withColumn("_at", at).join(here, ["patch", "_at"], "left"))
+        part = met.where("_hit").select(key, F.lit(level).alias("level"), F.col("_at").alias("path"), "patch", "leaf_level", "leaf_path")
+        found = part if found is None else found.unionByName(part)
+        rest = met.where("_hit IS NULL").drop("_at", "_hit")
+    if found is None:
+        found = wanted.where(F.lit(False)).select(key, "level", "path", "patch", F.col("level").alias("leaf_level"), F.col("path").alias("leaf_path"))
     below = F.col("leaf_level") - F.col("level")
     rest = keys.shr(F.col("leaf_path"), (F.col("level") * 2).cast("int"))
     ox, oy = keys.tile_xy(below, rest)
