@@ -11,7 +11,9 @@ from terrasphere.catalog.terrain import SURF, surface
 from terrasphere.functions import sphere
 from terrasphere.functions.vec import V3, put, quantize
 from terrasphere.operators import fault as FL
+from terrasphere.operators import sectors as SC
 from terrasphere.operators import terrain as T
+from terrasphere.session import cut_lineage
 
 C = F.col
 DIP = 60.0
@@ -114,21 +116,21 @@ FAULT = (ONE, *PLANES, PTS, SECT, NEAR)
 
 
 def fault_points(fx):
-    pl = FL.planes(one_fault(fx), DIP)
-    arr = FL.plane_array(pl, FL.separating_planes(pl))
-    p = put(fx.geo_points, p=sphere.geodetic_to_cart(C("lon_deg"), C("lat_deg") * 0.2, F.lit(0.0))).select("point_id", "px", "py", "pz")
-    return FL.with_planes(p, arr)
+    """(points, sectors of the one fault)"""
+    pl = cut_lineage(FL.planes(one_fault(fx), DIP))  # read by the sectors and by their separating planes
+    p = put(fx.geo_points, p=sphere.geodetic_to_cart(C("lon_deg"), C("lat_deg") * 0.2, F.lit(0.0)))
+    return p.select("point_id", F.lit(1).alias("fault_id"), "px", "py", "pz"), SC.sectors(pl, FL.separating_planes(pl))
 
 
 @query("flt_nearest_plane", ora("geo_points fault_points", "SELECT point_id, k FROM near", *FAULT))
 def _(fx):
-    return fault_points(fx).select("point_id", FL.nearest_plane(V3.of("p")).alias("k"))
+    return SC.nearest_plane(*fault_points(fx), ["point_id"]).select("point_id", "k")
 
 
 @query("flt_compression", ora("geo_points fault_points", f"""
 SELECT point_id, {S.q('0.7*greatest(0,3000000-coalesce(min(d) FILTER (d>=0 AND dl>0 AND dr<0),1e9))/3000000')} AS factor FROM sct GROUP BY point_id""", *FAULT))
 def _(fx):
-    return fault_points(fx).select("point_id", quantize(FL.compression_factor(V3.of("p"), 3e6, 0.7)).alias("factor"))
+    return SC.compression_factor(*fault_points(fx), ["point_id"], 3e6, 0.7).select("point_id", quantize(C("factor")).alias("factor"))
 
 
 _STEP = f"""wlk AS (SELECT f.point_id, n.k, 900000.0::DOUBLE AS rest, 0.0::DOUBLE AS comp, {', '.join(f'f.p{a}' for a in 'xyz')}, 0 AS it FROM near n JOIN fp f USING (point_id) WHERE n.k>=0
@@ -142,8 +144,8 @@ SELECT point_id, {', '.join(S.q(f'p{a}', 1) + f' AS q{a}' for a in 'xyz')}, CAST
 UNION ALL SELECT x.point_id, {', '.join(S.q(f'x.p{a}+x.rest*g.s{a}+5000*g.gd{a}', 1) for a in 'xyz')}, {S.q(f'x.comp-x.rest*({S.dot("g.s", "o.g")})', 1)}
  FROM (SELECT * FROM wlk QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY it DESC)=1) x JOIN pln g ON g.ord=x.k+1 JOIN pln o ON o.ord=1""", *FAULT, _STEP, recursive=True))
 def _(fx):
-    df = fault_points(fx).withColumn("k", FL.nearest_plane(V3.of("p")))
-    out = FL.shift(df, 900000.0, 5000.0)
+    p, sectors = fault_points(fx)
+    out = SC.shift(SC.nearest_plane(p, sectors, ["point_id"]), sectors, ["point_id"], 900000.0, 5000.0)
     return out.select("point_id", *vq("q", V3.of("q"), 1), quantize(C("compression"), 1).alias("compression"))
 
 
