@@ -88,12 +88,14 @@ def _(fx):
 
 
 @query("flt_segment_compression", ora("line_points", f"""
-SELECT fault_id, ord AS segment, {S.q('CASE WHEN c>0 THEN 1 ELSE -1 END*pow(abs(c),0.25)', 1e3)} AS compression FROM (
+SELECT fault_id, ord AS segment, {S.q('c')} AS fourth_power, {S.q('CASE WHEN abs(c)>1e-6 THEN CASE WHEN c>0 THEN 1 ELSE -1 END*pow(abs(c),0.25) END', 1e3)} AS compression FROM (
  SELECT fault_id, ord, ({S.dot('h', 't')})/{S.norm('t')} AS c FROM (SELECT z.fault_id, z.ord, {', '.join(f'k.g{a} AS h{a}' for a in 'xyz')}, {', '.join(f'(z.q{a}-z.p{a})-z.p{a}*z.e AS t{a}' for a in 'xyz')}
-  FROM (SELECT *, ({S.dot('q', 'p')}-{S.dot('p', 'p')})/{S.dot('p', 'p')} AS e FROM pln) z JOIN pln k ON k.fault_id=z.fault_id AND k.ord=1 WHERE z.ord>1)) WHERE abs(c)>1e-6""", LINES, *PLANES))
+  FROM (SELECT *, ({S.dot('q', 'p')}-{S.dot('p', 'p')})/{S.dot('p', 'p')} AS e FROM pln) z JOIN pln k ON k.fault_id=z.fault_id AND k.ord=1 WHERE z.ord>1))""", LINES, *PLANES))
 def _(fx):
+    """The fourth power of every segment, and the root where rounding does not decide it."""
     out = FL.segment_compression(FL.planes(line_faults(fx), DIP), 1.0)
-    return out.where(F.abs("compression") > 1e-6 ** 0.25).select("fault_id", "segment", quantize(C("compression"), 1e3).alias("compression"))
+    power = F.signum("compression") * F.pow("compression", F.lit(4))
+    return out.select("fault_id", "segment", quantize(power).alias("fourth_power"), quantize(F.when(F.abs(power) > 1e-6, C("compression")), 1e3).alias("compression"))
 
 
 @query("grid_effective_bounding_center", ora("line_points", f"""

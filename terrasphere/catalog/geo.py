@@ -218,11 +218,9 @@ def _(fx):
 @query("geo_slerp", ora("point_pairs", f"""
 SELECT point_id, {sq('o', 'w')} FROM (
  SELECT point_id, acos(greatest(-1,least(1,{S.dot('p', 'q')}))) AS om,
-  {S.lin('w', ('sin(0.75*om)/sin(om)', 'p'), ('sin(0.25*om)/sin(om)', 'q'))} FROM pq)
-WHERE om<3.1""", PAIRS))
+  {S.lin('w', ('sin(0.75*om)/sin(om)', 'p'), ('sin(0.25*om)/sin(om)', 'q'))} FROM pq)""", PAIRS))
 def _(fx):
-    df = pairs(fx).where(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), P.dot(Q)))) < 3.1)
-    return df.select("point_id", *vq("o", sphere.slerp(P, Q, 0.25)))
+    return pairs(fx).select("point_id", *vq("o", sphere.slerp(P, Q, 0.25)))
 
 
 @query("geo_rotate_axis", ora("point_pairs", f"""
@@ -234,6 +232,16 @@ def _(fx):
     return pairs(fx).select("point_id", *vq("o", sphere.rotate_axis(Q, 0.7, P)))
 
 
+# A ray parameter of any size: up to twenty itself, beyond it its inverse, which stays exact where the ray is nearly parallel.
+def far(t: str, into: str, scale: float = 1e6) -> str:
+    return f"{S.q(f'CASE WHEN abs({t})<20 THEN {t} END', scale)} AS {into}, {S.q(f'CASE WHEN abs({t})>=20 THEN 1/({t}) END')} AS {into}_inverse"
+
+
+def far_columns(t, into: str, scale: float = 1e6):
+    near = F.abs(t) < 20
+    return quantize(F.when(near, t), scale).alias(into), quantize(F.when(~near, F.try_divide(F.lit(1.0), t))).alias(into + "_inverse")
+
+
 # rays from 3 x p towards q, against the unit sphere and shapes spanned by the pair
 RAYS = (PAIRS, f"""rays AS (SELECT point_id, {S.cols('p', 'q')}, {S.lin('o', ('3.0', 'p'))}, {S.lin('d', ('1', 'q'), ('-3.0', 'p'))} FROM pq)""")
 O, D = V3.of("o"), V3.of("d")
@@ -274,14 +282,13 @@ _TAN = f"""tan_ AS (SELECT *, {S.plane_hit('o', 'd', 'a', 'n')} AS t, {S.lin('h'
 
 
 @query("geo_ray_section", ora("point_pairs", f"""
-SELECT point_id, {S.q('t', 1e4)} AS plane_t, {S.q('CASE WHEN nd<=0 THEN t END', 1e4)} AS front_t,
- {S.q('CASE WHEN ' + S.dot('ta', 'ha') + '>=0 AND ' + S.dot('tb', 'hb') + '>=0 THEN t END', 1e4)} AS section_t FROM tan_
-WHERE abs(nd)>0.001""", *SEC, _TAN))
+SELECT point_id, {far('t', 'plane_t', 1e4)}, {far('(CASE WHEN nd<=0 THEN t END)', 'front_t', 1e4)},
+ {far('(CASE WHEN ' + S.dot('ta', 'ha') + '>=0 AND ' + S.dot('tb', 'hb') + '>=0 THEN t END)', 'section_t', 1e4)} FROM tan_""", *SEC, _TAN))
 def _(fx):
-    return sections(fx).where(F.abs(N.dot(D)) > 0.001).select(
-        "point_id", quantize(hits.ray_plane(O, D, SECTION), 1e4).alias("plane_t"),
-        quantize(hits.ray_plane(O, D, SECTION, cull_back=True), 1e4).alias("front_t"),
-        quantize(hits.ray_section(O, D, SECTION), 1e4).alias("section_t"))
+    return sections(fx).select(
+        "point_id", *far_columns(hits.ray_plane(O, D, SECTION), "plane_t", 1e4),
+        *far_columns(hits.ray_plane(O, D, SECTION, cull_back=True), "front_t", 1e4),
+        *far_columns(hits.ray_section(O, D, SECTION), "section_t", 1e4))
 
 
 def _cramer(a, b, c):
@@ -294,35 +301,28 @@ SELECT point_id, {S.q("CASE WHEN det>=1e-6 AND u>=0 AND v>=0 AND u+v<=1 THEN t E
  SELECT point_id, {S.lin('e', ('1', 'k'), ('-1', 'a'))}, {S.lin('f', ('1', 'c'), ('-1', 'a'))}, {S.lin('g', ('-1', 'd'))}, {S.lin('w', ('1', 'o'), ('-1', 'a'))},
   {_cramer('e', 'f', 'g')} AS det, {_cramer('w', 'f', 'g')}/det AS u, {_cramer('e', 'w', 'g')}/det AS v, {_cramer('e', 'f', 'w')}/det AS t
  FROM (SELECT *, qx+0.4 AS cx, qy-0.1 AS cy, qz+0.2 AS cz FROM
-  (SELECT point_id, {S.cols('o', 'd', 'q')}, qx-0.3 AS ax, qy-0.2 AS ay, qz+0.1 AS az, qx+0.1 AS kx, qy+0.4 AS ky, qz-0.1 AS kz FROM rays)))
-WHERE abs(det)>1e-4""", *RAYS))
+  (SELECT point_id, {S.cols('o', 'd', 'q')}, qx-0.3 AS ax, qy-0.2 AS ay, qz+0.1 AS az, qx+0.1 AS kx, qy+0.4 AS ky, qz-0.1 AS kz FROM rays)))""", *RAYS))
 def _(fx):
     a, b, c = (Q + V3(*o) for o in ((-0.3, -0.2, 0.1), (0.1, 0.4, -0.1), (0.4, -0.1, 0.2)))
-    det = (b - a).dot(D.cross(c - a))
-    return rays(fx).where(F.abs(det) > 1e-4).select("point_id", quantize(hits.ray_triangle(O, D, a, b, c)).alias("t"))
+    return rays(fx).select("point_id", quantize(hits.ray_triangle(O, D, a, b, c)).alias("t"))
 
 
 @query("geo_ray_wedge", ora("point_pairs", f"""
-SELECT point_id, {S.q("CASE WHEN u>=0 AND v>=0 THEN t END", 1e4)} AS t FROM (
+SELECT point_id, {far("(CASE WHEN u>=0 AND v>=0 THEN t END)", "t", 1e4)} FROM (
  SELECT point_id, {S.lin('g', ('-1', 'd'))}, {_cramer('a', 'f', 'g')} AS det, {_cramer('o', 'f', 'g')}/det AS u,
-  {_cramer('a', 'o', 'g')}/det AS v, {_cramer('a', 'f', 'o')}/det AS t FROM sec)
-WHERE abs(det)>0.001""", *SEC))
+  {_cramer('a', 'o', 'g')}/det AS v, {_cramer('a', 'f', 'o')}/det AS t FROM sec)""", *SEC))
 def _(fx):
-    return sections(fx).where(F.abs(A.dot(D.cross(B))) > 0.001).select(
-        "point_id", quantize(hits.ray_wedge(O, D, A, B), 1e4).alias("t"))
+    return sections(fx).select("point_id", *far_columns(hits.ray_wedge(O, D, A, B), "t", 1e4))
 
 
 @query("geo_section_tools", ora("point_pairs", f"""
-SELECT point_id, {sq('o', 'w')}, {S.dot('pa', 'n')}>=0 AS side, {S.q('(b2*e2-c2*d2)/(a2*c2-b2*b2)', 1e4)} AS seg_t FROM (
+SELECT point_id, {sq('o', 'w')}, {S.dot('pa', 'n')}>=0 AS side, {far('((b2*e2-c2*d2)/(a2*c2-b2*b2))', 'seg_t', 1e4)} FROM (
  SELECT *, {S.cross('a', 'f', 'm0')}, {S.unit('m0', 'm')}, {S.dot('p', 'm')} AS k, {S.lin('w', ('1', 'p'), ('-k', 'm'))},
   {S.lin('pa', ('1', 'p'), ('-1', 'a'))}, {S.lin('u', ('1', 'f'), ('-1', 'a'))},
-  {S.dot('u', 'u')} AS a2, {S.dot('u', 'p')} AS b2, {S.dot('p', 'p')} AS c2, {S.dot('u', 'a')} AS d2, {S.dot('p', 'a')} AS e2 FROM sec)
-WHERE abs({S.dot('pa', 'n')})>1e-9 AND abs(a2*c2-b2*b2)>0.001""", *SEC))
+  {S.dot('u', 'u')} AS a2, {S.dot('u', 'p')} AS b2, {S.dot('p', 'p')} AS c2, {S.dot('u', 'a')} AS d2, {S.dot('p', 'a')} AS e2 FROM sec)""", *SEC))
 def _(fx):
-    u = B - A
-    df = sections(fx).where((F.abs((P - A).dot(N)) > 1e-9) & (F.abs(u.dot(u) * P.dot(P) - u.dot(P) * u.dot(P)) > 0.001))
-    return df.select("point_id", *vq("o", hits.project_to_section(P, A, B)), hits.section_side(P, A, N).alias("side"),
-                     quantize(hits.closest_on_segment(P, A, B), 1e4).alias("seg_t"))
+    return sections(fx).select("point_id", *vq("o", hits.project_to_section(P, A, B)), hits.section_side(P, A, N).alias("side"),
+                               *far_columns(hits.closest_on_segment(P, A, B), "seg_t", 1e4))
 
 
 @query("geo_vector_tools", ora("point_pairs", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasphere.catalog import sqlkit as S
 from terrasphere.catalog.base import ora, query
-from terrasphere.catalog.geo import PAIRS, pairs, sq, vq
+from terrasphere.catalog.geo import PAIRS, far, far_columns, pairs, sq, vq
 from terrasphere.catalog.grid import P, points, refine_cte, side_hits, walk
 from terrasphere.functions import sphere
 from terrasphere.functions.patches import base_scopes
@@ -128,9 +128,9 @@ def _(fx):
 
 
 @query("ter_cell_exit", ora("point_pairs", f"""
-SELECT point_id, {S.q('t')} AS t, CASE WHEN t=sfd THEN 3 WHEN t=saf THEN 2 WHEN t=sca THEN 1 WHEN t=sdc THEN 0 END AS side FROM (
+SELECT point_id, {far('t', 't')}, CASE WHEN t=sfd THEN 3 WHEN t=saf THEN 2 WHEN t=sca THEN 1 WHEN t=sdc THEN 0 END AS side FROM (
  SELECT point_id, CASE WHEN tndc>=0.001 THEN tndc END AS sdc, CASE WHEN tnca>=0.001 THEN tnca END AS sca, CASE WHEN tnaf>=0.001 THEN tnaf END AS saf, CASE WHEN tnfd>=0.001 THEN tnfd END AS sfd,
-  least(sdc,sca,saf,sfd) AS t FROM {side_hits('(SELECT s.*, b.* EXCLUDE (point_id,px,py,pz) FROM pq s JOIN patched b USING (point_id))')}) WHERE t<20 OR t IS NULL""",
+  least(sdc,sca,saf,sfd) AS t FROM {side_hits('(SELECT s.*, b.* EXCLUDE (point_id,px,py,pz) FROM pq s JOIN patched b USING (point_id))')})""",
     S.BASE, PAIRS, S.patch_cte("pq", "point_id", "p")))
 def _(fx):
     """Rays from inside a base patch towards another point, from parameter 0.001 on."""
@@ -138,7 +138,7 @@ def _(fx):
     scopes = F.broadcast(G.with_side_sections(base_scopes(fx.spark)))  # 30 rows, fixed
     t, side = T.cell_exit(P, V3.of("q") - P, F.lit(0.001))
     out = df.join(scopes, "patch").select("point_id", t.alias("t"), side.alias("side"))
-    return out.where((C("t") < 20) | C("t").isNull()).select("point_id", quantize(C("t")).alias("t"), "side")
+    return out.select("point_id", *far_columns(C("t"), "t"), "side")
 
 
 def _quads(level: int) -> list[str]:
