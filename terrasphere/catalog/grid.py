@@ -192,21 +192,58 @@ def _(fx):
     return fx.images.select("image_id", G.level_for(georef.Georef().finest_resolution()).alias("level"))
 
 
-@query("grid_kin", ora("geo_points", """
-SELECT point_id, CAST(tx+2 AS BIGINT) AS kin_tx, CAST(ty-1 AS BIGINT) AS kin_ty, patch AS kin_patch, 0 AS orientation FROM (
- SELECT point_id, any_value(patch) AS patch, sum((CAST(floor(path/pow(4,k)) AS BIGINT)%2)*CAST(pow(2,5-k) AS BIGINT)) AS tx,
-  sum((CAST(floor(path/pow(4,k)/2) AS BIGINT)%2)*CAST(pow(2,5-k) AS BIGINT)) AS ty
- FROM walk, (SELECT unnest(range(6)) AS k) WHERE level=6 GROUP BY point_id) WHERE tx+2<64 AND ty-1>=0""", *walk(6), recursive=True))
+def adjacent(level: int) -> list[str]:
+    """adj(patch, path, side, npatch, npath, nside): cells of a level that share the middle of a side."""
+    middles = " UNION ALL ".join(
+        f"SELECT patch, path, {side} AS side, {', '.join(S.q(f'{u}{a}+{v}{a}', 1e7) + f' AS m{a}' for a in 'xyz')} FROM cells WHERE level={level}"
+        for side, (u, v) in enumerate(("dc", "ca", "af", "fd")))
+    return [S.cells_cte(level), f"mid AS ({middles})",
+            "adj AS (SELECT e.patch, e.path, e.side, g.patch AS npatch, g.path AS npath, g.side AS nside FROM mid e JOIN mid g ON e.mx=g.mx AND e.my=g.my AND e.mz=g.mz AND (e.patch<>g.patch OR e.path<>g.path))"]
+
+
+def steps(start: str, sides: list[int], name: str) -> list[str]:
+    """Single steps through the given sides (of the first cell's frame) from cell to cell; r counts the turns of the frame."""
+    out = []
+    for k, side in enumerate(sides):
+        out.append(f"{name}{k} AS (SELECT w.point_id, a.npatch AS patch, a.npath AS path, (a.nside+2-{side}+4)%4 AS r FROM {start} w JOIN adj a ON a.patch=w.patch AND a.path=w.path AND a.side=({side}+w.r)%4)")
+        start = f"{name}{k}"
+    return out
+
+
+def _at(path: str, level: int, shift: int) -> str:
+    """Tile column (shift 0) or row (1) of a path."""
+    return "CAST(" + "+".join(f"(({path} >> {2 * k + shift})%2)*{2 ** (level - 1 - k)}" for k in range(level)) + " AS BIGINT)"
+
+
+def _kin(cells_: str, of: str, level: int) -> str:
+    return f"SELECT point_id, {_at('path', level, 0)} AS kin_tx, {_at('path', level, 1)} AS kin_ty, patch AS kin_patch, CAST((4-r)%4 AS INTEGER) AS orientation FROM {cells_} {of}"
+
+
+# two to the right, one down: beyond both sides by as much only at tx = 62, ty = 0, where the lower side is crossed first
+_TIE = f"SELECT point_id FROM k0 WHERE {_at('path', 6, 0)}=62 AND {_at('path', 6, 1)}=0"
+
+
+@query("grid_kin", ora("geo_points", f"""
+{_kin('xy2', f'WHERE point_id NOT IN ({_TIE})', 6)} UNION ALL {_kin('yx2', f'WHERE point_id IN ({_TIE})', 6)}""",
+    *walk(6), *adjacent(6), "k0 AS (SELECT point_id, patch, path, 0 AS r FROM walk WHERE level=6)", *steps("k0", [3, 3, 2], "xy"), *steps("k0", [2, 3, 3], "yx"), recursive=True))
+def _(fx):
+    return G.kin(cells(fx, 6), 2, -1).select("point_id", "kin_tx", "kin_ty", "kin_patch", "orientation")
+
+
+@query("grid_kin_across", ora("geo_points", """
+SELECT k.point_id, k.patch, k.path, w.patch AS kin_patch, w.path AS kin_path, CAST((4-w.r)%4 AS INTEGER) AS orientation FROM k0 k JOIN lf2 w USING (point_id)""",
+    *walk(4), *adjacent(4), "k0 AS (SELECT point_id, patch, path, 0 AS r FROM walk WHERE level=4)", *steps("k0", [1, 1, 1], "lf"), recursive=True))
 def _(fx):
-    """Neighbours inside the same patch; crossing sides is covered by grid_kin_across."""
-    df = G.kin(cells(fx, 6), 2, -1)
-    return df.where((C("tx") + 2 < 64) & (C("ty") - 1 >= 0)).select("point_id", "kin_tx", "kin_ty", "kin_patch", "orientation")
+    return G.kin(cells(fx, 4), -3, 0).select("point_id", "patch", "path", "kin_patch", "kin_path", "orientation")
 
 
-@query("grid_kin_across")
+@query("grid_kin_far", ora("geo_points", """
+SELECT point_id, patch AS kin_patch, path AS kin_path, CAST((4-r)%4 AS INTEGER) AS orientation FROM far_ WHERE n=21""",
+    *walk(2), *adjacent(2), """far_ AS (SELECT point_id, patch, path, 0 AS r, 0 AS n FROM walk WHERE level=2
+ UNION ALL SELECT w.point_id, a.npatch, a.npath, (a.nside+2+4)%4, n+1 FROM far_ w JOIN adj a ON a.patch=w.patch AND a.path=w.path AND a.side=w.r%4 WHERE n<21)""", recursive=True))
 def _(fx):
-    df = G.kin(cells(fx, 4), -3, 0)
-    return df.where(C("tx") < 3).select("point_id", "patch", "path", "kin_patch", "kin_path", "orientation")
+    """Twenty-one cells upward, through five or six sides."""
+    return G.kin(cells(fx, 2), 0, 21, crossings=6).select("point_id", "kin_patch", "kin_path", "orientation")
 
 
 @query("grid_kin_deepest", ora("geo_points", """,

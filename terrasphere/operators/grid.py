@@ -136,11 +136,12 @@ def bounding_sphere(cells: DataFrame, vertical_scale=1.0, radius=EARTH_RADIUS, d
     return df.withColumn("br", F.greatest(*reach)).drop("_lo", "_hi")
 
 
-def kin(cells: DataFrame, dx, dy) -> DataFrame:
+def kin(cells: DataFrame, dx, dy, crossings: int = 2) -> DataFrame:
     """Cell at a tile offset on the same level: kin_patch, kin_tx, kin_ty, kin_path, orientation.
 
     Leaving the patch crosses a shared side into the neighbour's frame; a diagonal
-    step crosses the side with the larger excess first, then the other.
+    step crosses the side with the larger excess first, then the other. A step of any length takes as many
+    crossings as it passes sides; where that is more than crossings, the kin is NULL.
     """
     df = with_tile(cells) if "tx" not in cells.columns else cells
     df = df.withColumns({
@@ -149,8 +150,10 @@ def kin(cells: DataFrame, dx, dy) -> DataFrame:
         "_n": keys.shl(F.lit(1), F.col("level")),
     })
     sides = F.broadcast(base_neighbors(cells.sparkSession))  # 120 rows, fixed
-    for _ in range(2):
+    for _ in range(crossings):
         df = _cross(df, sides)
+    there = F.col("kin_tx").between(0, F.col("_n") - 1) & F.col("kin_ty").between(0, F.col("_n") - 1)
+    df = df.withColumn("_in", there).withColumns({c: F.when(F.col("_in"), F.col(c)) for c in ("kin_patch", "kin_tx", "kin_ty", "orientation")}).drop("_in")
     df = df.withColumn("kin_path", keys.path_of_tile(F.col("level"), F.col("kin_tx"), F.col("kin_ty")))
     return df.drop("_n")
 
