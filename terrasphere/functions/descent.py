@@ -37,9 +37,10 @@ def split_points(c: np.ndarray):
     return top, left, bottom, right, unit(top + bottom)
 
 
-def enter(c: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Scope of the chosen child of every row."""
+def enter(c: np.ndarray, which: np.ndarray, middle: np.ndarray | None = None) -> np.ndarray:
+    """Scope of the chosen child of every row. The lattice of a tile has middles of its own."""
     top, left, bottom, right, mid = split_points(c)
+    mid = mid if middle is None else middle
     # 3x3 lattice of the split scope, addressed by (row, column)
     grid = np.stack([c[:, 0], bottom, c[:, 1], left, mid, right, c[:, 2], top, c[:, 3]], 1)
     base = (which >> 1) * 3 + (which & 1)
@@ -213,6 +214,14 @@ def _udfs():
             c = enter(c, which)
         return pd.DataFrame({"patch": where, "ix": ix, "iy": iy})
 
+    def quad(patch: pd.Series, level: pd.Series, path: pd.Series, cx: pd.Series, cy: pd.Series, deeper: pd.Series) -> pd.DataFrame:
+        c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
+        x, y = cx.to_numpy(np.int64), cy.to_numpy(np.int64)
+        for k in range(int(deeper.iloc[0]) - 1 if len(c) else -1, -1, -1):
+            middle = unit(c[:, 0] + c[:, 1] + c[:, 2] + c[:, 3])
+            c = enter(c, ((x >> k) & 1) + 2 * ((y >> k) & 1), middle)
+        return pd.DataFrame(c.reshape(len(c), 12), columns=SCOPE_NAMES)
+
     def scope(patch: pd.Series, level: pd.Series, path: pd.Series) -> pd.DataFrame:
         c = scopes(patch.to_numpy(np.int64), level.to_numpy(np.int64), path.to_numpy(np.int64))
         return pd.DataFrame(c.reshape(len(c), 12), columns=SCOPE_NAMES)
@@ -221,6 +230,7 @@ def _udfs():
         "patch": F.pandas_udf(patch, "int"),
         "cell": F.pandas_udf(cell, "patch int, path bigint"),
         "scope": F.pandas_udf(scope, SCOPE_TYPE),
+        "quad": F.pandas_udf(quad, SCOPE_TYPE),
         "below": F.pandas_udf(below, "bigint"),
         "place": F.pandas_udf(place, "patch int, ix bigint, iy bigint"),
     }
@@ -419,6 +429,12 @@ def with_scope(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_scope", scope).select(*cells.columns, "_scope.*")
 
 
+def with_quad_corners(cells: DataFrame, n: int) -> DataFrame:
+    """Add the unit-sphere corners c0x..c3z of quad (cx, cy) of the n x n lattice of tile (patch, level, path)."""
+    corners = _udfs()["quad"]("patch", "level", "path", "cx", "cy", F.lit((n - 1).bit_length() - 1))
+    return cells.withColumn("_quad", corners).select(*cells.columns, "_quad.*")
+
+
 def refine(cells: DataFrame, n: int, keys: list[str], radius: float = 1.0) -> DataFrame:
     """n x n lattice vertices (keys, i, j, x, y, z) of rows with corners c0x..c3z."""
     schema = cells.select(*keys).schema.simpleString()[7:-1].replace(":", " ")

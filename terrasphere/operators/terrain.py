@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from terrasphere import EARTH_RADIUS
 from terrasphere.functions import hits, keys
-from terrasphere.functions.descent import choose_path, place_of, ray_descend, refine, with_scope
+from terrasphere.functions.descent import choose_path, place_of, ray_descend, refine, with_quad_corners, with_scope
 from terrasphere.functions.sphere import cart_to_geodetic
 from terrasphere.functions.vec import V3, num, put, ratio
 from terrasphere.operators.grid import ancestors
@@ -64,6 +64,18 @@ def quads(vertices: DataFrame, n: int, payload: list[str] = ("x", "y", "z")) ->
         F.max(F.when(F.col("_c") == k, F.col(p))).alias(f"v{k}{p}") for k in range(4) for p in payload])
 
 
+def quads_at(cells: DataFrame, heights: DataFrame, n: int, vertical_scale=1.0, default=0.0, radius=EARTH_RADIUS) -> DataFrame:
+    """quads() of the given (KEY, cx, cy) alone: four vertices a quad, whatever the size of its tile's grid."""
+    own = with_quad_corners(cells.select(*KEY, "cx", "cy").distinct(), n)
+    tx, ty = keys.tile_xy(F.col("level"), F.col("path"))
+    own = own.withColumns({"_tx": tx * (n - 1) + F.col("cx"), "_ty": ty * (n - 1) + F.col("cy")})
+    corner = F.array(*[F.struct(F.lit(k).alias("_c"), (F.col("_tx") + k % 2).alias("gx"), (F.col("_ty") + k // 2).alias("gy"), *V3.of(f"c{k}").cols("")) for k in range(4)])
+    v = own.select(*KEY, "cx", "cy", F.inline(corner)).join(heights.select("patch", "level", "gx", "gy", "value"), ["patch", "level", "gx", "gy"], "left")
+    h = fill_defaults(F.col("value"), float(default)) * num(vertical_scale)
+    v = put(v.withColumn("_h", h), **{"": V3.of("") * num(radius) * (1 + F.col("_h") / num(radius))})
+    return v.groupBy(*KEY, "cx", "cy").agg(*[F.max(F.when(F.col("_c") == k, F.col(a))).alias(f"v{k}{a}") for k in range(4) for a in "xyz"])
+
+
 def mesh(quad_rows: DataFrame) -> DataFrame:
     """Two triangles per quad: (0, 3, 2) and (0, 1, 3)."""
     def tri(k, corners):
@@ -79,11 +91,8 @@ def snap(points: DataFrame, heights: DataFrame, n: int, key: list[str], offset=0
     The quad's triangles are hit from p towards the centre; if rounding misses both, the
     height of the lower left vertex is used.
     """
-    located = cell_in_tile(points, n)
-    tiles = located.select(*KEY).distinct()
-    grown = extruded(tiles, heights.withColumn("value", F.coalesce("value", F.lit(float(default))) + offset), n, vertical_scale,
-                     default + offset, radius)
-    q = quads(grown, n, ["x", "y", "z"])
+    located = cut_lineage(cell_in_tile(points, n))  # read by the quads and by the join with them
+    q = quads_at(located, heights.withColumn("value", F.coalesce("value", F.lit(float(default))) + offset), n, vertical_scale, default + offset, radius)
     p = V3.of("p")
     df = located.join(q, [*KEY, "cx", "cy"])
     df = put(df, d=-(p.unit()))
@@ -199,7 +208,8 @@ def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id",
     finer = tree.where("_own").select("patch", F.col("level").alias("_l"), F.col("path").alias("_p"))
     cand = cand.withColumns({"_l": (F.col("level") + 1).cast("int"), "_p": below}).join(finer, ["patch", "_l", "_p"], "left_anti").drop("_l", "_p")
     cand = cut_lineage(cand)
-    q = quads(extruded(cand.select(*KEY).distinct(), heights, n, vs, default, radius), n)
+    inside = F.col("cx").between(0, n - 2) & F.col("cy").between(0, n - 2)
+    q = quads_at(cand.where(inside), heights, n, vs, default, radius)
     tri = cand.join(q, [*KEY, "cx", "cy"])
     v = [V3.of(f"v{k}") for k in range(4)]
     o, d = V3.of("o"), V3.of("d")
