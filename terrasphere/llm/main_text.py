@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -52,6 +53,7 @@ class Page(HTMLParser):
         self.tag, self.parent, self.tokens, self.text, self.label = ["#page"], [-1], [()], [""], [1]
         self.chars, self.linked, self.tags = [0], [0], [0]
         self.stack, self.run, self.run_linked, self.anchors, self.code = [0], [], 0, 0, False
+        self.standing = Counter()  # open elements by name, so that a stray end tag is known without a look at the stack
         html = re.sub(r"&#[0-9]{4000,}", lambda m: "&#" + (m.group()[2:].lstrip("0")[:8] or "0"), html)  # int() reads no longer numbers; from eight digits on all are beyond Unicode
         self.feed(re.sub(r"<[a-zA-Z/!][^<>]*\Z", "", html))  # a tag that the page's end cuts off is no text
         self.close()
@@ -75,8 +77,8 @@ class Page(HTMLParser):
             self.node("#text", (), text, min(self.run_linked, len(text)))
         self.run, self.run_linked = [], 0
 
-    def up_to(self, k: int) -> None:
-        self.flush()
+    def cut(self, k: int) -> None:
+        self.standing.subtract(self.tag[j] for j in self.stack[k:])
         del self.stack[k:]
 
     def handle_starttag(self, tag, attrs):
@@ -91,12 +93,14 @@ class Page(HTMLParser):
         self.anchors = 0
         if tag in CLOSES_P and self.tag[self.stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and not (tag[0] == "h" and tag[1:].isdigit() and self.tag[self.stack[-1]][0] == "h"):
             if self.tag[self.stack[-1]] == "p":
-                self.stack.pop()
+                self.cut(len(self.stack) - 1)
         if tag in CLOSES_OWN:
             for k in range(len(self.stack) - 1, 0, -1):
+                if not any(self.standing[own] for own in CLOSES_OWN[tag]):
+                    break
                 name = self.tag[self.stack[k]]
                 if name in CLOSES_OWN[tag]:
-                    del self.stack[k:]
+                    self.cut(k)
                     if tag != "tr":
                         break
                 elif name in HOLDS[tag]:
@@ -110,6 +114,7 @@ class Page(HTMLParser):
         k = self.node(tag, tuple(words), label=label)
         if tag not in VOID:
             self.stack.append(k)
+            self.standing[tag] += 1
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -119,12 +124,12 @@ class Page(HTMLParser):
         elif tag == "br":
             self.run.append(" ")
         elif tag in BLOCKS:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.tag[self.stack[k]] == tag:
-                    self.up_to(k)
-                    break
-            else:
-                self.flush()
+            self.flush()
+            if self.standing[tag]:
+                k = len(self.stack) - 1
+                while self.tag[self.stack[k]] != tag:
+                    k -= 1
+                self.cut(k)
 
     def handle_data(self, data):
         if self.code or self.tag[self.stack[-1]] in NEVER:
