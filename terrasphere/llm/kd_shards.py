@@ -21,17 +21,21 @@ from terrasphere.operators.ordered import dense_order
 
 DIMENSIONS = ("d_size", "d_source", "d_lang")
 REFINE_BITS = 12
+G_BITS = 32
+SLOT_ROWS = 65_536  # rows that one task numbers, on average
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, coordinates, hash) of every document."""
+    """(doc_id, size, text_crc32, coordinates, hash h with the text's bits first, hash g of the row) of every document."""
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + 1
+    row = F.xxhash64("doc_id", "text", "source", "lang")
     bucket = lambda c: F.shiftright(F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")), 20).cast("int")
     return docs.select(
         "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.floor(F.log2(size.cast("double")) * 64).cast("int").alias("d_size"),
         bucket("source").alias("d_source"), bucket("lang").alias("d_lang"),
-        F.pmod(F.xxhash64("doc_id", "text", "source", "lang"), F.lit(1 << 2 * REFINE_BITS)).alias("h"))
+        (F.pmod(F.xxhash64("text"), F.lit(1 << REFINE_BITS)) * (1 << REFINE_BITS) + F.pmod(row, F.lit(1 << REFINE_BITS))).alias("h"),
+        F.shiftrightunsigned(row, 64 - G_BITS).alias("g"))
 
 
 def _descend(rows: DataFrame, cuts: dict[int, dict]) -> DataFrame:
@@ -77,19 +81,25 @@ def _cuts(rows: DataFrame, leaves: dict[int, int], extent: dict[str, float]) ->
     return {n: {"dim": dim[n], "bucket": bucket[n][0], "h": nearer[n]} if n in fine else empty for n in split}
 
 
-def shard(docs: DataFrame, n_shards: int = 16) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): shards of near equal bytes, slots gapless from 0 in each."""
+def shard(docs: DataFrame, n_shards: int = 16, target_bytes: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot): shards of near equal bytes, slots gapless from 0 in each.
+
+    With target_bytes nodes are split until no leaf is expected to hold more.
+    """
     rows = stored(coordinates(docs), "kd-coordinates")
     if n_shards & (n_shards - 1):
         raise ValueError("the number of leaves must be a power of two")
-    whole = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first()
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first()
     extent = {d: whole[d] or 0 for d in DIMENSIONS}
+    if target_bytes:
+        n_shards = 1 << (-(-(whole.bytes or 0) // target_bytes) - 1).bit_length() if whole.n else 1
     placed, leaves = rows.withColumn("node", F.lit(0)), {0: n_shards}
     while max(leaves.values()) > 1:
         placed = _descend(placed, _cuts(placed, leaves, extent))
         leaves = {2 * n + side: k // 2 for n, k in leaves.items() for side in (0, 1)}
     placed = placed.withColumnRenamed("node", "shard")
-    placed = dense_order(placed, "shard", ["h", "doc_id", "text_crc32"], F.shiftright("h", 2 * REFINE_BITS - 6), "slot")
+    chunk_bits = min(G_BITS, max(0, whole.n // (n_shards * SLOT_ROWS)).bit_length())
+    placed = dense_order(placed, "shard", ["g", "doc_id", "text_crc32"], F.shiftright("g", G_BITS - chunk_bits), "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") - 1).alias("slot"))
 
 
