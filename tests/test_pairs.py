@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from terrasphere.operators import coverage
+from terrasphere.operators import raster as R
 
 
 def star(n, cx, cy, r, rnd):
@@ -51,3 +52,33 @@ def test_pairs_of_points_and_short_rings_are_not_grouped(spark):
     points = spark.range(50).select(F.col("id").alias("point"), F.col("id").cast("double").alias("px"), F.lit(1.0).alias("py"))
     plan = coverage.point_in_polygon(points, polys, "point", "poly")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def sampled(spark, rnd):
+    """Overlapping images of several blocks and sizes with holes, one without any pixel, and points with one on a far border."""
+    g = "image_id bigint, ord bigint, gt0 double, gt1 double, gt2 double, gt3 double, gt4 double, gt5 double, size_x int, size_y int, point_sampled boolean"
+    im = [(k, 7 * k % 13, rnd.uniform(-8, 8), 0.25 * (1 + k % 3), 0.0, rnd.uniform(0, 8), 0.0, -0.5, 20 + 9 * k, 50 - 3 * k, k % 2 == 1) for k in range(12)]
+    px = [(i[0], x, y, rnd.uniform(1, 50)) for i in im[:-1] for x in range(i[8]) for y in range(i[9]) if rnd.random() < 0.9]
+    at = [(k, rnd.uniform(-8, 20), rnd.uniform(-15, 8)) for k in range(150)] + [(150, im[1][2] + (im[1][8] - 1) * im[1][1], im[1][3] - (im[1][9] - 1) * 0.5), (151, None, 0.0), (None, 1.0, 1.0)]
+    return spark.createDataFrame(at, "point_id bigint, lon_deg double, lat_deg double"), spark.createDataFrame(im, g), spark.createDataFrame(px, "image_id bigint, px int, py int, value double")
+
+
+def rounded(df):
+    return sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+
+
+def test_samples_on_cells_equal_samples_by_image(spark):
+    points, images, px = sampled(spark, random.Random(3))
+    keys = ["point_id", "image_id", "ord"]
+    by_image = R.bilinear_parts(R.sample_points(points, images, ["point_id"]), px, keys, ["value"])
+    on_cells = R.bilinear_at(points, images, px, ["point_id"], ["value"])
+    got = rounded(on_cells)
+    assert len(got) > 150 and got == rounded(by_image)
+
+
+def test_mosaic_without_hidden_images_equals_that_of_all(spark):
+    points, images, px = sampled(spark, random.Random(4))
+    every = R.bilinear_parts(R.sample_points(points, images, ["point_id"]), px, ["point_id", "image_id", "ord"], ["value"])
+    seen = R.unhidden_parts(points, images, px, "point_id")
+    assert rounded(R.mosaic_blend(seen, ["point_id"], chunk=4)) == rounded(R.mosaic_blend(every, ["point_id"], chunk=4))
+    assert seen.count() < every.count()
