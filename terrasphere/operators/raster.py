@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasphere.functions.georef import Georef
+from terrasphere.session import cut_lineage
 
 FOLD_CHUNK = 4096
 BLOCK_PIXELS = 32
@@ -68,7 +69,8 @@ def pixel_blocks(px: DataFrame, values: list[str], size: int = BLOCK_PIXELS) ->
         own = F.struct(b.alias("b"), i.alias("i"))
         return F.explode(F.when(i == 0, F.array(own, F.struct((b - 1).alias("b"), F.lit(size).alias("i")))).otherwise(F.array(own)))
 
-    spread = px.select("image_id", homes("px").alias("x"), "py", *values).select("image_id", "x", homes("py").alias("y"), *values)
+    placed = px.where("px IS NOT NULL AND py IS NOT NULL")
+    spread = placed.select("image_id", homes("px").alias("x"), "py", *values).select("image_id", "x", homes("py").alias("y"), *values)
     entry = F.struct((F.col("y.i") * side + F.col("x.i")).alias("at"), *[F.col(v).cast("double").alias(v) for v in values])
     grouped = spread.groupBy("image_id", F.col("x.b").alias("bx"), F.col("y.b").alias("by")).agg(F.collect_list(entry).alias("entries"))
     together = max(1, (1 << 20) // (side * side))
@@ -129,16 +131,14 @@ def bilinear_parts(samples: DataFrame, px: DataFrame, keys: list[str], values: l
     return _weigh(base.join(blocks, ["image_id", "bx", "by"], "left"), keys, values, size)
 
 
-def blocks_on_cells(images: DataFrame, px: DataFrame, values: list[str], size: int = BLOCK_PIXELS) -> DataFrame:
-    """Blocks of pixels (bx, by, _v_<value>) with their image, on the lon/lat cells (_class, _cx, _cy) under them.
+def blocks_on_cells(images: DataFrame, blocks: DataFrame, values: list[str], size: int = BLOCK_PIXELS) -> tuple[DataFrame, list[int]]:
+    """Blocks of pixels (bx, by, _v_<value>) with their image, on the lon/lat cells (_class, _cx, _cy) under them, and the classes in use.
 
     Cells are half as wide as the size class of the block, so a block lies on few of them. Blocks without pixels are there too.
     """
     def numbers(extent):
         return F.explode(F.sequence(F.lit(0), F.floor((F.col(extent) - 1) / size).cast("int")))
     every = images.drop("bx", "by").withColumn("bx", numbers("size_x")).withColumn("by", numbers("size_y"))
-    blocks = pixel_blocks(px, values, size).select("image_id", "bx", "by", *[F.col(v).alias("_v_" + v) for v in values])
-    every = every.join(blocks.hint("merge"), ["image_id", "bx", "by"], "left")
     g = Georef()
     def ends(b, extent):  # a pixel of room on both sides
         return F.col(b) * float(size) - 1.0, F.least((F.col(b) + 1) * float(size), F.col(extent).cast("double")) + 1.0
@@ -146,21 +146,27 @@ def blocks_on_cells(images: DataFrame, px: DataFrame, values: list[str], size: i
     lo, hi = ([pick(*[c[k] for c in corners]) for k in (0, 1)] for pick in (F.least, F.greatest))
     wide = F.greatest(hi[0] - lo[0], hi[1] - lo[1], F.lit(1e-9))
     out = every.withColumn("_class", F.ceil(F.log2(wide)).cast("int") - 1)
+    # powers of two between 1e-9 and 360 degrees: under 40 rows
+    classes = [r[0] for r in out.select("_class").distinct().collect() if r[0] is not None]
+    found = blocks.select("image_id", "bx", "by", *[F.col(v).alias("_v_" + v) for v in values])
+    out = out.join(found.hint("merge"), ["image_id", "bx", "by"], "left")
     for k, name in enumerate(("_cx", "_cy")):
         step = F.pow(F.lit(2.0), F.col("_class").cast("double"))
         out = out.withColumn(name, F.explode(F.sequence(F.floor(lo[k] / step).cast("bigint"), F.floor(hi[k] / step).cast("bigint"))))
-    return out
+    return out, classes
 
 
-def bilinear_at(points: DataFrame, images: DataFrame, px: DataFrame, keep: list[str], values: list[str], newest: str | None = None, size: int = BLOCK_PIXELS) -> DataFrame:
+def bilinear_at(points: DataFrame, images: DataFrame, px: DataFrame, keep: list[str], values: list[str], size: int = BLOCK_PIXELS) -> DataFrame:
     """bilinear_parts of sample_points, keyed by keep, image_id and ord, without shuffling a sample.
 
-    Points and blocks of pixels meet on a cell, so a sample finds its pixels where it arises. With newest, a
-    column of the points, images of an earlier order are left out.
+    Points and blocks of pixels meet on a cell, so a sample finds its pixels where it arises.
     """
-    blocks = blocks_on_cells(images, px, values, size)
-    # powers of two between 1e-9 and 360 degrees: under 40 rows
-    classes = [r[0] for r in blocks.select("_class").distinct().collect() if r[0] is not None]
+    blocks, classes = blocks_on_cells(images, pixel_blocks(px, values, size), values, size)
+    return _taken_at(points, blocks, classes, keep, values, None, size)
+
+
+def _taken_at(points: DataFrame, blocks: DataFrame, classes: list[int], keep: list[str], values: list[str], newest: str | None, size: int) -> DataFrame:
+    """Samples of points in the blocks on cells; images before newest, a column of the points, are left out."""
     step = F.pow(F.lit(2.0), F.col("_class").cast("double"))
     p = points.select(*keep, *([newest] if newest else []), "lon_deg", "lat_deg", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>")).alias("_class"))
     p = p.withColumns({"_cx": F.floor(F.col("lon_deg") / step).cast("bigint"), "_cy": F.floor(F.col("lat_deg") / step).cast("bigint")})
@@ -182,10 +188,11 @@ def unhidden_parts(points: DataFrame, images: DataFrame, px: DataFrame, key: str
     An image with weight one leaves nothing of the images before it, so those before the last such image of a
     point are not carried on. What is left is of the size of the visible images, not of all.
     """
-    full = bilinear_at(points, images, px, [key], ["value"], size=size).where("w_valid = 1")
+    blocks, classes = blocks_on_cells(images, cut_lineage(pixel_blocks(px, ["value"], size)), ["value"], size)  # read twice
+    full = _taken_at(points, blocks, classes, [key], ["value"], None, size).where("w_valid = 1")
     last = full.groupBy(key).agg(F.max("ord").alias("_newest"))
     at = points.select(key, "lon_deg", "lat_deg").join(last.hint("merge"), key, "left")
-    return bilinear_at(at, images, px, [key], ["value"], "_newest", size)
+    return _taken_at(at, blocks, classes, [key], ["value"], "_newest", size)
 
 
 def blend(total: Column, w_valid: Column, prev: Column) -> Column:

@@ -82,3 +82,9 @@ def test_mosaic_without_hidden_images_equals_that_of_all(spark):
     seen = R.unhidden_parts(points, images, px, "point_id")
     assert rounded(R.mosaic_blend(seen, ["point_id"], chunk=4)) == rounded(R.mosaic_blend(every, ["point_id"], chunk=4))
     assert seen.count() < every.count()
+
+
+def test_pixels_without_a_place_are_left_out(spark):
+    points, images, px = sampled(spark, random.Random(5))
+    lost = spark.createDataFrame([(1, None, 2, 9.0), (1, 3, None, 9.0)], px.schema)
+    assert rounded(R.bilinear_at(points, images, px.union(lost), ["point_id"], ["value"])) == rounded(R.bilinear_at(points, images, px, ["point_id"], ["value"]))
