@@ -88,3 +88,28 @@ def test_pixels_without_a_place_are_left_out(spark):
     points, images, px = sampled(spark, random.Random(5))
     lost = spark.createDataFrame([(1, None, 2, 9.0), (1, 3, None, 9.0)], px.schema)
     assert rounded(R.bilinear_at(points, images, px.union(lost), ["point_id"], ["value"])) == rounded(R.bilinear_at(points, images, px, ["point_id"], ["value"]))
+
+
+def kept(df, path):
+    """The rows as a table whose size Spark knows."""
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_rings_of_images_and_tiles_are_not_broadcast(spark, tmp_path):
+    from terrasphere.operators import cover
+
+    images = kept(sampled(spark, random.Random(6))[1].drop("ord"), tmp_path / "images")
+    plan = cover.image_tile_join(images, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_lattices_and_samples_are_not_broadcast(spark, tmp_path):
+    from terrasphere.plans.build import blended
+
+    _, images, px = sampled(spark, random.Random(7))
+    tiles = spark.createDataFrame([(1, 0, 2, 5)], "image_id bigint, patch int, level int, path bigint")
+    lattice = spark.createDataFrame([(0, 2, 5, k, k, 0.1 * k, 1.0) for k in range(9)], "patch int, level int, path bigint, gx bigint, gy bigint, lon_deg double, lat_deg double")
+    under = lattice.select("patch", "level", "gx", "gy", F.lit(1.0).alias("value"))
+    plan = blended(*(kept(df, tmp_path / str(k)) for k, df in enumerate((tiles, lattice, images, px, under))))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
