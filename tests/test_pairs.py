@@ -113,3 +113,58 @@ def test_lattices_and_samples_are_not_broadcast(spark, tmp_path):
     under = lattice.select("patch", "level", "gx", "gy", F.lit(1.0).alias("value"))
     plan = blended(*(kept(df, tmp_path / str(k)) for k, df in enumerate((tiles, lattice, images, px, under))))._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def nearby(spark, rnd, lines=40, per=12):
+    """Queries and lines around one place; two queries share a key, some points come twice, a query and a point have no place."""
+    from terrasphere.functions import sphere
+    from terrasphere.functions.vec import put
+    from terrasphere.operators import lines as L
+
+    at = [(k, i + 1, 10 + rnd.gauss(0, 0.3), 20 + rnd.gauss(0, 0.3), rnd.uniform(0, 500)) for k in range(lines) for i in range(per)]
+    at += [(lines + k, i, lon, lat, e) for k in range(3) for _, i, lon, lat, e in at[:per]] + [(lines + 5, 1, None, 1.0, 0.0)]
+    points = L.positions(spark.createDataFrame(at, "line_id bigint, ord bigint, lon_deg double, lat_deg double, elev double"))
+    asked = [(k, 10 + rnd.gauss(0, 0.5), 20 + rnd.gauss(0, 0.5)) for k in range(120)] + [(3, 10.1, 20.1), (500, at[5][2], at[5][3]), (501, None, 3.0), (502, -100.0, 3.0)]
+    queries = put(spark.createDataFrame(asked, "k bigint, lon double, lat double"), q=sphere.geodetic_to_cart(F.col("lon"), F.col("lat"), F.lit(0.0))).select("k", "qx", "qy", "qz")
+    return queries, points, L.segments(points)
+
+
+def test_nearest_point_and_segment_equal_the_least_of_all_candidates(spark, monkeypatch):
+    from terrasphere.operators import nearest as NR
+
+    monkeypatch.setattr(NR, "PART_THINGS", 50)  # cubes in parts
+    queries, points, segs = nearby(spark, random.Random(8))
+    for radius in (2000.0, 30000.0):
+        for got, every, one in ((NR.nearest_control_point(queries, points, ["k"], radius), NR.point_candidates(queries, points, radius), "ord"),
+                                (NR.nearest_segment(queries, segs, ["k"], radius), NR.segment_candidates(queries, segs, radius), "seg")):
+            want = every.groupBy("k").agg(F.min(F.struct("dist", "line_id", one)).alias("b")).select("k", "b.*")
+            assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 20
+
+
+def test_selected_lines_equal_those_of_all_candidates(spark):
+    from terrasphere.operators import nearest as NR
+
+    queries, points, segs = nearby(spark, random.Random(9))
+    for bias, most in ((0.5, 4000.0), (1.5, 4000.0), (1.0, 30000.0)):
+        best, far = {}, most * max(bias, 1 / bias)
+        for kind, rows in ((0, NR.point_candidates(queries, points, far)), (1, NR.segment_candidates(queries, segs, far))):
+            for r in rows.collect():
+                pair = best.setdefault((r.k, r.line_id), [math.inf, math.inf])
+                pair[kind] = min(pair[kind], r.dist)
+        want = {}
+        for (k, line), (p, s) in best.items():
+            d, kind = (p, "point") if p * bias <= s else (s, "segment")
+            if d <= most:
+                want[k] = min(want.get(k, (math.inf, 0, "")), (d, line, kind))
+        got = NR.select(queries, points, segs, ["k"], bias, most).collect()
+        assert {r.k: (r.dist, r.line_id, r.kind) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_candidates_of_a_dense_place_do_not_leave_the_task_that_meets_them(spark):
+    from terrasphere.operators import nearest as NR
+
+    queries, points, segs = nearby(spark, random.Random(10))
+    assert NR.segment_candidates(queries, segs, 30000.0).count() > 50 * queries.count()
+    assert NR.met_segments(queries, segs, ["k"], 30000.0, nearest=True).count() < 12 * queries.count()
+    plan = NR.nearest_segment(queries, segs, ["k"], 30000.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
