@@ -168,3 +168,20 @@ def test_candidates_of_a_dense_place_do_not_leave_the_task_that_meets_them(spark
     assert NR.met_segments(queries, segs, ["k"], 30000.0, nearest=True).count() < 12 * queries.count()
     plan = NR.nearest_segment(queries, segs, ["k"], 30000.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_nearest_anywhere_in_dense_and_empty_regions(spark, monkeypatch):
+    from terrasphere.operators import nearest as NR
+
+    queries, points, _ = nearby(spark, random.Random(11))
+    sent = []
+    tree = NR._nearest_in_tree
+    monkeypatch.setattr(NR, "_nearest_in_tree", lambda q, *more: sent.append(q.count()) or tree(q, *more))
+    got = {r.k: r.dist for r in NR.nearest_control_point(queries, points, ["k"]).collect()}
+    at = [(r.x, r.y, r.z) for r in points.collect() if r.x is not None]
+    want = {}
+    for r in queries.collect():
+        if r.qx is not None:
+            want[r.k] = min(want.get(r.k, math.inf), min(math.dist((r.qx, r.qy, r.qz), p) for p in at))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-6) for k in want)
+    assert sent == [1]  # of the queries only the far one descends the tree
