@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrasphere.functions.descent import with_scope
 from terrasphere.functions.georef import Georef
 from terrasphere.operators.cover import image_tile_join
+from terrasphere.operators import raster
 from terrasphere.operators.grid import level_for
 from terrasphere.plans.build import build_images
 from terrasphere.session import checkpoint_root
@@ -96,3 +97,62 @@ def test_long_coverage_is_met_by_its_tiles_edges(spark):
     a, b = ({tuple(r) for r in image_tile_join(images, 5, coverage=spark.createDataFrame(rows, schema)).collect()}
             for rows in (few, [(1, 10 * k + 3, x, y) for k, (x, y) in enumerate(many)]))
     assert a == b and len(a) > 20
+
+
+POINT = "point_id bigint, lon_deg double, lat_deg double"
+
+
+def crowd(spark):
+    """Images of several sizes, turned ones, repeated rows, missing orders; pixels that repeat or are missing."""
+    rows = [image(k, -20.0 + 7 * (k % 6), 30.0 - 5 * (k % 5), (0.25, 0.5, 2.0)[k % 3], 5 + 9 * (k % 4)) for k in range(12)]
+    rows = [(*r[:13], k % 2 == 0) for k, r in enumerate(rows)]
+    turned = list(rows[4])
+    turned[0], turned[4], turned[6] = 50, 0.1, -0.2
+    unordered, null_id = list(rows[2]), list(rows[1])
+    unordered[0], unordered[1], null_id[0] = 60, None, None
+    rows += [tuple(turned), tuple(unordered), tuple(null_id), rows[3], image(70, 0.0, 0.0, 0.0, 4), image(71, 0.0, 20.0, 1.0, 0)]
+    images = spark.createDataFrame(rows, IMAGE)
+    px = [(r[0], x, y, None if (x + y) % 7 == 0 else float(x * 100 + y)) for r in rows for x in range(r[8]) for y in range(r[9]) if (x * 31 + y * 17) % 5]
+    px += [(3, 1, 1, 5.0), (3, 1, 1, None), (4, None, 2, 1.0)]
+    rng = np.random.default_rng(3)
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-25, 40, 400), rng.uniform(-30, 35, 400)))]
+    points += [(900, -20.0, 30.0), (901, None, 3.0), (None, -6.0, 20.0), (902, float("nan"), 1.0), (5, -13.0, 25.0)]
+    return spark.createDataFrame(points, POINT), images, spark.createDataFrame(px, "image_id bigint, px int, py int, value double")
+
+
+def plain_samples(points, images):
+    sx, sy = Georef().system_to_image(F.col("lon_deg"), F.col("lat_deg"))
+    return points.crossJoin(images).withColumns({"sx": sx, "sy": sy}).where(F.col("sx").between(0, F.col("size_x") - 1) & F.col("sy").between(0, F.col("size_y") - 1))
+
+
+def ordered(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_samples_are_those_of_all_pairs(spark, monkeypatch):
+    from terrasphere.operators import sampling
+
+    points, images, px = crowd(spark)
+    every = plain_samples(points, images)
+    keys = ["point_id", "image_id", "ord"]
+    near = raster.nearest(every.select(*keys, "sx", "sy"), px)
+    blocks = every.groupBy("image_id", F.floor(F.col("sx") / 4).cast("int").alias("bx"), F.floor(F.col("sy") / 4).cast("int").alias("by")).agg(F.count(F.lit(1)).alias("samples"))
+    mosaic = raster.mosaic_latest(near, ["point_id"])
+    for most in (sampling.PART_IMAGES, 3):  # whole cells, and cells in parts
+        monkeypatch.setattr(sampling, "PART_IMAGES", most)
+        monkeypatch.setattr(sampling, "PART_POINTS", 20 * most)
+        assert ordered(raster.sample_points(points, images, ["point_id"]).select(*keys, "sx", "sy")) == ordered(every.select(*keys, "sx", "sy"))
+        assert ordered(raster.chunk_reads(points, images, 4)) == ordered(blocks)
+        for size in (4, 32):
+            assert ordered(raster.nearest_at(points, images, px, ["point_id"], size=size).select(*keys, "value")) == ordered(near.select(*keys, "value"))
+        assert ordered(raster.mosaic_nearest(points, images, px, ["point_id"])) == ordered(mosaic)
+
+
+def test_samples_are_dealt_over_the_tasks_and_not_joined(spark):
+    """Points came in as many tasks as their file has, each with all images, and samples were shuffled to their pixels."""
+    points, images, px = crowd(spark)
+    points = points.coalesce(1)
+    for df in (raster.sample_points(points, images, ["point_id"]), raster.nearest_at(points, images, px, ["point_id"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan.split("\n")[0] + plan.split("\n")[1]
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
