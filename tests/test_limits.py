@@ -171,3 +171,32 @@ def test_nearest_control_point_half_a_globe_away(spark):
         assert (got[k].line_id, got[k].ord) in {(i % 7, i) for i in np.flatnonzero(d < d.min() + 1e-3)}
     one = nearest_control_point(queries, points.limit(0), ["id"])
     assert one.collect() == []
+
+
+def test_manifest_numbers_nested_lists_in_place(spark):
+    """Lists named several times and in several lists, copies of lines, palettes that reach over list borders; entries are not shuffled."""
+    text = {"/p/r.list": ["a", "x.pal", "n.list", "b", "n.list", "", "# no", "m.list", "c"], "/p/n.list": ["d", "y.pal", "m.list", "e", "none.list"],
+            "/p/m.list": ["f", "z.pal", "g", "h.cfg"], "/p/s.list": ["m.list", "i"]}
+    rows = [(p, k, v) for p, vs in text.items() for k, v in enumerate(vs) for _ in range(2 if (p, k) in (("/p/r.list", 4), ("/p/m.list", 0), ("/p/m.list", 1)) else 1)]
+
+    def walk(path, at):
+        for p, k, v in rows:
+            if p == path and v and v[0] != "#":
+                q = "/p/" + v
+                if v.endswith(".list"):
+                    yield from walk(q, (*at, k))
+                else:
+                    yield (*at, k), q
+    want = []
+    for root, path in ((1, "/p/r.list"), (2, "/p/s.list"), (3, "/p/m.list")):
+        palette = None
+        for ord_, (_, q) in enumerate(sorted(walk(path, ())), 1):
+            kind = {"pal": "palette", "cfg": "settings"}.get(q.rpartition(".")[2], "dataset")
+            palette = q if kind == "palette" else palette
+            want.append((root, ord_, kind, q, palette if kind == "dataset" else None))
+    lists = spark.createDataFrame(rows, "list_path string, line_no bigint, value string")
+    roots = spark.createDataFrame([(1, "/p/r.list"), (2, "/p/s.list"), (3, "/p/m.list")], "root_id int, list_path string")
+    out = manifest.layer_manifest(lists, roots)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan.split("Join")[0]
