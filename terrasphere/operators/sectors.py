@@ -16,6 +16,12 @@ from terrasphere.session import cut_lineage
 
 FAN = 4  # bits of a child's number
 STRIDE = 6  # bits of a sector's number in its stretch
+FEW = 4096  # rows that every task gets
+
+
+def _meet(points: DataFrame, rows: DataFrame, keys: list[str], most: int = FEW) -> DataFrame:
+    """Inner join in which few rows go to every task: where runs or sectors are few, very many points share a key."""
+    return points.join(F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows, keys)
 
 
 def sectors(plane_rows: DataFrame, separating: DataFrame, cut: str = "slope") -> DataFrame:
@@ -60,11 +66,11 @@ def holding(points: DataFrame, sector_rows: DataFrame, ids: list[str], open_ends
     reached = points.select(*carried, F.lit(0).alias("_parent"))
     for nodes in reversed(_tree(sector_rows)):
         below = nodes.withColumn("_parent", F.shiftright("node", FAN))
-        met = reached.join(below, ["fault_id", "_parent"]).where((edge("has_first") | (high > 0)) & (edge("has_last") | (low < 0)))
+        met = _meet(reached, below, ["fault_id", "_parent"]).where((edge("has_first") | (high > 0)) & (edge("has_last") | (low < 0)))
         reached = met.select(*carried, F.col("node").alias("_parent"))
     own = sector_rows.withColumn("_parent", F.shiftright("k", FAN)).drop(*[c for c in ids if c != "fault_id"])
     first = (F.col("k") == 0) if open_ends else F.lit(False)
-    met = reached.join(own, ["fault_id", "_parent"]).where((first | (V3.of("l").dot(p) > 0)) & (edge("is_last") | (V3.of("r").dot(p) < 0)))
+    met = _meet(reached, own, ["fault_id", "_parent"]).where((first | (V3.of("l").dot(p) > 0)) & (edge("is_last") | (V3.of("r").dot(p) < 0)))
     return met.select(*ids, "k", (V3.of("n").dot(p) + F.col("w")).alias("d"))
 
 
@@ -125,7 +131,7 @@ def shift(points: DataFrame, sector_rows: DataFrame, ids: list[str], strike_amou
     moving = points.where("k >= 0").select(*who, start.cast(STATE).alias("_s"))
     there = None
     while True:
-        met = moving.withColumn("_at", F.shiftright(F.col("_s.k"), STRIDE)).join(stretches, ["fault_id", "_at"])
+        met = _meet(moving.withColumn("_at", F.shiftright(F.col("_s.k"), STRIDE)), stretches, ["fault_id", "_at"], FEW >> STRIDE)
         met = cut_lineage(met.select(*who, "_at", F.aggregate("_stretch", F.col("_s"), _onward(forward)).alias("_s")))
         on = (F.shiftright(F.col("_s.k"), STRIDE) != F.col("_at")) & (F.col("_s.rest") > 0)
         arrived = met.where(~on).select(*who, "_s")
@@ -135,7 +141,7 @@ def shift(points: DataFrame, sector_rows: DataFrame, ids: list[str], strike_amou
             break
     last = sector_rows.select("fault_id", F.col("k").alias("_k"), *V3.of("s").cols("_s"), *V3.of("t").cols("_t"), *V3.of("h").cols("_h"))
     out = there.select(*who, F.col("_s.k").alias("_k"), *[F.col("_s." + a).alias("_" + a) for a in "xyz"], F.greatest(F.col("_s.rest"), F.lit(0.0)).alias("_rest"), F.col("_s.c").alias("_c"))
-    out = out.join(last, ["fault_id", "_k"])
+    out = _meet(out, last, ["fault_id", "_k"])
     s = V3.of("_s") * sgn
     out = put(out, _u=V3.of("_") + s * F.col("_rest"))
     out = put(out, _q=V3.of("_u") + V3.of("_t") * float(dip_amount)).withColumn("_c", F.col("_c") + F.col("_rest") * s.dot(-V3.of("_h")))

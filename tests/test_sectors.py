@@ -95,3 +95,20 @@ def test_no_planes_no_points_and_equal_distances(spark):
     assert sectors.shift(sectors.nearest_plane(none, sec, ["id"]), sec, ["id"], 1e5, 10.0).count() == 0
     lone = sectors.sectors(one := on_fault(spark, xyz[:1]), fault.separating_planes(one))
     assert {r.k for r in sectors.nearest_plane(elsewhere, lone, ["id"]).collect()} == {-1}
+
+
+def test_points_of_one_fault_do_not_meet_in_one_task(spark):
+    """Points of a fault shared the number of its first run, and all came into the task of that key."""
+    xyz = trace(24)
+    pl = on_fault(spark, xyz)
+    sec = sectors.sectors(pl, fault.separating_planes(pl))
+    p = around(np.random.default_rng(2), xyz, 200)
+    df = cut_lineage(spark.createDataFrame([(k, 1, *map(float, v)) for k, v in enumerate(p)], POINT).repartition(4, "id"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    near = sectors.nearest_plane(df, sec, ["id"])
+    for df_ in (near, sectors.shift(cut_lineage(near), sec, ["id"], 900000.0, 50.0)):
+        assert "SortMergeJoin [fault_id" not in plan(df_) and "BroadcastHashJoin [fault_id" in plan(df_)
+    few = {tuple(r) for r in near.collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sectors._meet, "__defaults__", (1,))
+        assert {tuple(r) for r in sectors.nearest_plane(df, sec, ["id"]).collect()} == few
