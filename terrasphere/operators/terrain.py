@@ -142,6 +142,27 @@ def cell_exit(o: V3, d: V3, t_in: Column) -> tuple[Column, Column]:
     return first, which
 
 
+QUAD_SIDE = 0.8  # radians: no side of a base patch is longer, with some room for uneven halves
+
+
+def in_shell(o: V3, d: V3, lo: Column, hi: Column, quad: Column, radius: float) -> Column:
+    """Can a ray hit, between t_in and t_out, quads whose vertices lie between the heights lo and hi?
+
+    A flat quad of an angle dips below its vertices by the cosine, and it may lean out of its cell by a quad: the
+    ray's way is taken longer by what it needs for that at its steepest.
+    """
+    top = num(radius) + hi
+    floor = F.greatest((num(radius) + lo) * F.cos(F.least(quad * 2, F.lit(1.5))), F.lit(0.0))
+    centre = V3(0.0, 0.0, 0.0)
+    t0, t1 = hits.ray_sphere_both(o, d, centre, top)
+    s0, s1 = hits.ray_sphere_both(o, d, centre, floor)
+    miss = o.cross(d).norm() / d.norm()  # distance of the ray's line from the centre
+    more = top * quad * F.greatest(F.try_divide(top, miss), F.lit(1.0)) / d.norm()
+    first, last = F.col("t_in") - more, F.col("t_out") + more
+    under = F.coalesce((first > s0) & (last < s1), F.lit(False))
+    return t0.isNotNull() & (t1 >= first) & (t0 <= last) & ~under
+
+
 def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id", vertical_scale: float = 1.0, default: float = 0.0,
               radius: float = EARTH_RADIUS, ranges: DataFrame | None = None) -> DataFrame:
     """First terrain hit of each ray (o*, d*): t, hit position, tile and quad.
@@ -153,7 +174,8 @@ def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id",
     (children whose sides and elevation shell the ray meets) and an equi-join with the
     stored tiles. Where a child is not stored, its quadrant of the parent is searched in
     the parent's own grid, so tiles of any mix of levels count, each where nothing finer is
-    stored. Quads are tested as triangles and the nearest hit kept by aggregation.
+    stored. Cells that a ray passes below or above the shell are left at every step, so a ray
+    through the globe keeps those near its ends. Quads are tested as triangles and the nearest hit kept by aggregation.
     """
     vs = float(vertical_scale)
     stats = (tile_stats(heights, n) if ranges is None else ranges).select(*KEY, F.col("min_value").alias("_lo"), F.col("max_value").alias("_hi"))
@@ -166,21 +188,26 @@ def intersect(rays: DataFrame, heights: DataFrame, n: int, key: str = "ray_id",
     if depth is None:
         return rays.select(key, *[F.lit(None).cast("double").alias(c) for c in ("t", "hx", "hy", "hz")]).where(F.lit(False))
     deeper = (n - 1).bit_length() - 1
-    # _sl: level of the finest stored tile above a cell; _bare: nothing finer is stored below
-    rays = rays.select(key, *vec, F.lit(-1).alias("_sl"), F.lit(False).alias("_bare"))
-    carried = [key, "_sl", "_bare"]
+    # _sl: level of the finest stored tile above a cell, with the range of that tile; _bare: nothing finer is stored below
+    none = F.lit(None).cast("double")
+    rays = rays.select(key, *vec, F.lit(-1).alias("_sl"), F.lit(False).alias("_bare"), none.alias("_slo"), none.alias("_shi"))
+    carried = [key, "_sl", "_bare", "_slo", "_shi"]
     frontier = ray_descend(rays, carried, 0)
     parts = []
     for level in range(depth + deeper + 1):
         here = frontier.join(tree.where(F.col("level") == level), KEY, "left") if level <= depth else frontier.withColumns(
             {"_own": F.lit(None).cast("boolean"), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
         gone = F.col("_bare") | F.col("_own").isNull()
-        lo, hi = F.least(F.coalesce("_lo", F.lit(default)), F.lit(default)) * vs, F.greatest(F.coalesce("_hi", F.lit(default)), F.lit(default)) * vs
-        o, d = V3.of("o"), V3.of("d")
-        t0, t1 = hits.ray_sphere_both(o, d, V3(0.0, 0.0, 0.0), num(radius) + hi)
-        in_shell = t0.isNotNull() & (t1 >= F.col("t_in")) & (t0 <= F.col("t_out"))
-        here = here.where((gone & (F.col("_sl") >= 0)) | (~gone & in_shell))
-        here = here.withColumns({"_bare": gone, "_sl": F.when(~gone & F.col("_own"), F.lit(level)).otherwise(F.col("_sl"))}).drop("_lo", "_hi", "_own")
+        mine = ~gone & F.col("_own")
+        low, high = F.least(F.coalesce("_lo", F.lit(default)), F.lit(default)), F.greatest(F.coalesce("_hi", F.lit(default)), F.lit(default))
+        here = here.withColumns({
+            "_slo": F.when(mine, low).otherwise(F.col("_slo")), "_shi": F.when(mine, high).otherwise(F.col("_shi")),
+            "_sl": F.when(mine, F.lit(level)).otherwise(F.col("_sl")), "_bare": gone, "_lo": F.when(~gone, low), "_hi": F.when(~gone, high)})
+        # quads of the stored tile above show where no finer one is stored
+        ends = [f(F.least("_lo", "_slo") * vs, F.greatest("_hi", "_shi") * vs) for f in (F.least, F.greatest)]
+        coarsest = F.when(F.col("_sl") >= 0, F.col("_sl")).otherwise(F.lit(level))
+        meets = in_shell(V3.of("o"), V3.of("d"), *ends, F.lit(QUAD_SIDE / (n - 1)) / F.pow(F.lit(2.0), coarsest.cast("double")), radius)
+        here = here.where((~F.col("_bare") | (F.col("_sl") >= 0)) & meets).drop("_lo", "_hi", "_own")
         if level < deeper:
             frontier = ray_descend(here, carried, level + 1)
             continue
