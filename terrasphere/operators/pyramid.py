@@ -1,9 +1,9 @@
 """Multiresolution pyramid over lattice vertices (patch, level, gx, gy, value).
 
 Shared tile edges are one vertex. NULL or absent means nodata. Kernels scatter each
-vertex to the vertices it feeds and aggregate, so partial aggregation runs before the
-shuffle and no neighbour join or window is needed. As in the source system, a kernel
-never reaches across a base patch side.
+vertex to the vertices it feeds and aggregate: small ones by rows, so partial aggregation
+runs before the shuffle, wide ones and upsampling within blocks. No neighbour join or window
+is needed. As in the source system, a kernel never reaches across a base patch side.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ LANCZOS5 = (
     7.60213661720011e-34,
 )
 TENT = (0.25, 0.5, 0.25)
+SPAN = 64  # vertices along a side of the blocks that wide kernels and upsampling make at once
+TOGETHER = 32  # blocks that are made in one step
+NO_PATCH = -(2**31)
 
 
 def side(level: Column, n: int) -> Column:
@@ -74,23 +77,17 @@ def downsample(fine: DataFrame, n: int, kernel="tent", with_weight: bool = False
         even = valid.where((F.col("gx") % 2 == 0) & (F.col("gy") % 2 == 0))
         return even.select("patch", up.alias("level"), keys.shr(F.col("gx"), 1).alias("gx"), keys.shr(F.col("gy"), 1).alias("gy"), *values)
     weights = kernel_weights(kernel)
-    top = side(F.col("level"), n)
-    src = valid.withColumns({"level": up, "_xs": _scatter("gx", weights), "_ys": _scatter("gy", weights)})
     if len(weights) <= 3:
+        top = side(F.col("level"), n)
+        src = valid.withColumns({"level": up, "_xs": _scatter("gx", weights), "_ys": _scatter("gy", weights)})
         flat = src.select("patch", "level", F.explode("_xs").alias("x"), "_ys", *values).where(F.col("x.p").between(0, top)).select(
             "patch", "level", "x", F.explode("_ys").alias("y"), *values).where(F.col("y.p").between(0, top))
         w = F.col("x.w") * F.col("y.w")
         sums = flat.groupBy("patch", "level", F.col("x.p").alias("gx"), F.col("y.p").alias("gy")).agg(
             *[F.sum(w * F.col(v)).alias("_s" + v) for v in values], F.sum(w).alias("weight"))
     else:
-        # a wide kernel goes one axis at a time: numerator and weight are both separable
-        rows = src.select("patch", "level", "gy", F.explode("_xs").alias("x"), *values).where(F.col("x.p").between(0, top))
-        first = rows.groupBy("patch", "level", F.col("x.p").alias("gx"), "gy").agg(
-            *[F.sum(F.col("x.w") * F.col(v)).alias("_s" + v) for v in values], F.sum("x.w").alias("_w"))
-        flat = first.select("patch", "level", "gx", F.explode(_scatter("gy", weights)).alias("y"), *["_s" + v for v in values], "_w").where(
-            F.col("y.p").between(0, top))
-        sums = flat.groupBy("patch", "level", "gx", F.col("y.p").alias("gy")).agg(
-            *[F.sum(F.col("y.w") * F.col("_s" + v)).alias("_s" + v) for v in values], F.sum(F.col("y.w") * F.col("_w")).alias("weight"))
+        src = valid.select("patch", up.alias("level"), "gx", "gy", *values)
+        sums = in_blocks(src, n, weights, values).withColumnRenamed("_w", "weight")
     out = ["patch", "level", "gx", "gy", *[(F.col("_s" + v) / F.col("weight")).alias(v) for v in values]]
     return sums.where(F.col("weight") != 0).select(*out, *([F.col("_s" + values[0]).alias("numerator"), "weight"] if with_weight else []))
 
@@ -107,20 +104,110 @@ def upsample(coarse: DataFrame, n: int, cells: DataFrame | None = None) -> DataF
     With cells (patch, level, path) of the coarse level, only their children are made.
     """
     valid = coarse.where(F.col("value").isNotNull())
-    top = side(F.col("level") + 1, n)
-    offs = F.array(*[F.lit(d).cast("bigint") for d in (-1, 0, 1)])
-    flat = (
-        valid.select("patch", "level", F.explode(F.transform(offs, lambda d: F.col("gx") * 2 + d)).alias("cx"), "gy", "value")
-        .select("patch", "level", "cx", F.explode(F.transform(offs, lambda d: F.col("gy") * 2 + d)).alias("cy"), "value")
-        .where(F.col("cx").between(0, top) & F.col("cy").between(0, top)))
-    fine = flat.groupBy("patch", (F.col("level") + 1).cast("int").alias("level"), F.col("cx").alias("gx"), F.col("cy").alias("gy")).agg(
-        F.avg("value").alias("value"))
+    src = valid.select("patch", (F.col("level") + 1).cast("int").alias("level"), "gx", "gy", "value")
+    fine = in_blocks(src, n, None, ("value",)).select("patch", "level", "gx", "gy", (F.col("_svalue") / F.col("_w")).alias("value"))
     if cells is None:
         return fine
     four = cells.select("patch", "level", "path", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("_k"))
     level, path = keys.child(F.col("level"), F.col("path"), F.col("_k"))
     kids = four.select("patch", level.cast("int").alias("level"), path.alias("path"))
-    return restrict(fine, kids, n)
+    return restrict(fine, kids, n, once=False)
+
+
+def in_blocks(src: DataFrame, n: int, kernel: tuple[float, ...] | None, values: tuple[str, ...]) -> DataFrame:
+    """Weighted sums _s<value> and weight _w of the vertices (patch, level, gx, gy) of a level that others feed.
+
+    src carries the level that is made and places on the level below it (with a kernel) or above it (without one: a vertex
+    copies and its neighbours take the mean). A vertex goes to the blocks of made vertices it feeds, mostly one; a block is summed where it lies, one axis
+    at a time, so what a kernel spreads is neither shuffled nor kept in a table of groups.
+    """
+    reach = 1 if kernel is None else len(kernel) // 2
+    key = ["patch", "level", "bx", "by"]
+    top = side(F.col("level"), n)
+    rows = src.where("gx IS NOT NULL AND gy IS NOT NULL AND level IS NOT NULL").select(
+        F.coalesce(F.col("patch").cast("int"), F.lit(NO_PATCH)).alias("patch"), F.col("level").cast("int").alias("level"),
+        F.col("gx").cast("bigint").alias("gx"), F.col("gy").cast("bigint").alias("gy"), *[F.col(v).cast("double").alias(v) for v in values])
+    for c, b in (("gx", "bx"), ("gy", "by")):
+        g = F.col(c)
+        lo, hi = (g * 2 - 1, g * 2 + 1) if kernel is None else (F.ceil((g - reach) / 2), F.floor((g + reach) / 2))
+        lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, top)
+        rows = rows.where(lo <= hi).withColumn(b, F.explode(F.sequence(F.floor(lo / SPAN).cast("bigint"), F.floor(hi / SPAN).cast("bigint"))))
+    # dealt by number, not by size: what a task sorts grows no faster than the input
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *key).sortWithinPartitions(*key)
+    names = [f"_s{v}" for v in values]
+
+    def sums(x, y, blk, bx, by, ends, value, nb, weights):
+        """(blocks, rows, columns) of made vertices: what `value` of the given vertices adds to them."""
+        import numpy as np
+
+        own, first = bx[blk] * SPAN, (by[blk] * SPAN // 2 if kernel is None else by[blk] * (2 * SPAN) - reach)
+        height = SPAN // 2 + 1 if kernel is None else 2 * SPAN + 2 * reach
+        spot, part = [], []
+        for d in range(-reach, reach + 1):
+            to = 2 * x + d if kernel is None else (x - d) >> 1
+            ok = (to >= own) & (to < own + SPAN) & (to <= ends[blk]) & (y >= first) & (y < first + height)
+            if kernel is not None:
+                ok &= (x - d) % 2 == 0
+            spot.append(((blk * height + y - first) * SPAN + to - own)[ok])
+            part.append(value[ok] if kernel is None else value[ok] * weights[d + reach])
+        flat = np.bincount(np.concatenate(spot), np.concatenate(part), nb * height * SPAN).reshape(nb, height, SPAN)
+        made = np.zeros((nb, SPAN, SPAN))
+        if kernel is None:
+            made[:, 0::2], made[:, 1::2] = flat[:, :-1], flat[:, :-1] + flat[:, 1:]
+        else:
+            for k, w in enumerate(weights):
+                made += w * flat[:, k : k + 2 * SPAN : 2]
+        return made
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def emit(ids, arrays):
+            weight, ends = arrays[0], (n - 1) << ids[1]
+            at = np.arange(SPAN)
+            ok = (weight != 0) & (ids[3][:, None] * SPAN + at <= ends[:, None])[:, :, None]
+            blk, y, x = np.nonzero(ok)
+            patch = ids[0][blk]
+            cols = [pa.array(patch.astype(np.int32), mask=patch == NO_PATCH), pa.array(ids[1][blk].astype(np.int32)),
+                    pa.array(ids[2][blk] * SPAN + x), pa.array(ids[3][blk] * SPAN + y)]
+            cols += [pa.array(s[ok], mask=c[ok] == 0) for s, c in zip(arrays[1::2], arrays[2::2])]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(weight[ok])], ["patch", "level", "gx", "gy", *names, "_w"])
+
+        last, held = None, None  # the block that may go on, and its sums
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
+            edge = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1]
+            x, y = (batch.column(c).to_numpy() for c in ("gx", "gy"))
+            there = [batch.column(v).is_valid().to_numpy(zero_copy_only=False) for v in values]
+            value = [batch.column(v).fill_null(0.0).to_numpy() for v in values]
+            for some in range(0, len(edge), TOGETHER):
+                starts = edge[some : some + TOGETHER]
+                to = edge[some + TOGETHER] if some + TOGETHER < len(edge) else batch.num_rows
+                cut, mine, nb = slice(starts[0], to), ids[:, starts], len(starts)
+                blk = np.repeat(np.arange(nb), np.diff(np.r_[starts, to]))
+                add = lambda v, w=kernel: sums(x[cut], y[cut], blk, mine[2], mine[3], (n - 1) << mine[1], v, nb, w)
+                arrays = [add(np.ones(to - starts[0]))]
+                for v, t in zip(value, there):
+                    # a value that is missing in every vertex that feeds another is missing there
+                    arrays += [add(v[cut]), np.ones((nb, SPAN, SPAN)) if t[cut].all() else add(t[cut].astype(float), [1.0] * (2 * reach + 1))]
+                if last is not None:
+                    if (mine[:, 0] == last[:, 0]).all():
+                        for a, h in zip(arrays, held):
+                            a[0] += h[0]
+                    else:
+                        yield emit(last, held)
+                if nb > 1:
+                    yield emit(mine[:, :-1], [a[:-1] for a in arrays])
+                last, held = mine[:, -1:], [a[-1:] for a in arrays]
+        if last is not None:
+            yield emit(last, held)
+
+    fields = ", ".join(f"{c} double" for c in [*names, "_w"])
+    return dealt.mapInArrow(scan, f"patch int, level int, gx bigint, gy bigint, {fields}")
 
 
 def vertex_tiles(lattice: DataFrame, n: int) -> DataFrame:
@@ -139,12 +226,21 @@ def tiles_of(lattice: DataFrame, n: int) -> DataFrame:
     return t.select("patch", "level", keys.path_of_tile(F.col("level"), F.col("tx"), F.col("ty")).alias("path")).distinct()
 
 
-def restrict(lattice: DataFrame, cells: DataFrame, n: int) -> DataFrame:
-    """Vertices that belong to at least one of the given cells (patch, level, path)."""
+def restrict(lattice: DataFrame, cells: DataFrame, n: int, once: bool = True) -> DataFrame:
+    """Vertices that belong to at least one of the given cells (patch, level, path); each once, unless they are known to be.
+
+    A vertex meets the tile to its upper right alone: that tile knows which of the tiles that share its
+    left side, its lower side and its corner are wanted.
+    """
     tx, ty = keys.tile_xy(F.col("level"), F.col("path"))
-    wanted = cells.select("patch", "level", tx.alias("tx"), ty.alias("ty")).distinct()
-    hit = vertex_tiles(lattice, n).join(wanted, ["patch", "level", "tx", "ty"], "left_semi")
-    return hit.drop("tx", "ty").dropDuplicates(["patch", "level", "gx", "gy"])
+    shares = F.array(*[F.struct((tx + i).alias("tx"), (ty + j).alias("ty"), F.lit(1 << (i + 2 * j)).alias("_m")) for j in (0, 1) for i in (0, 1)])
+    wanted = cells.select("patch", "level", F.inline(shares)).groupBy("patch", "level", "tx", "ty").agg(F.bit_or("_m").alias("_m"))
+    size = F.lit(n - 1)
+    near = lattice.withColumns({"tx": F.floor(F.col("gx") / size).cast("bigint"), "ty": F.floor(F.col("gy") / size).cast("bigint")})
+    left, low = F.col("gx") % size == 0, F.col("gy") % size == 0
+    shared = F.lit(1) + F.when(left, 2).otherwise(0) + F.when(low, 4).otherwise(0) + F.when(left & low, 8).otherwise(0)
+    hit = near.join(wanted.hint("merge"), ["patch", "level", "tx", "ty"]).where(F.col("_m").bitwiseAND(shared) != 0).select(*lattice.columns)
+    return hit.dropDuplicates(["patch", "level", "gx", "gy"]) if once else hit
 
 
 def refine_missing(lattice: DataFrame, needed: DataFrame, existing: DataFrame, n: int) -> DataFrame:
@@ -153,7 +249,7 @@ def refine_missing(lattice: DataFrame, needed: DataFrame, existing: DataFrame, n
     up = missing.select("patch", (F.col("level") - 1).cast("int").alias("level"),
                         keys.ancestor_path(F.col("path"), F.col("level") - 1).alias("path")).distinct()
     made = upsample(restrict(lattice, up, n), n)
-    return restrict(made, missing, n)
+    return restrict(made, missing, n, once=False)
 
 
 def dirty_ancestors(changed: DataFrame) -> DataFrame:
