@@ -184,6 +184,23 @@ def near_cap(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ~((m * mid).sum(1) < np.cos(np.minimum(half + reach + 1e-6, np.pi)))
 
 
+@cache
+def _root_caps() -> tuple[np.ndarray, np.ndarray]:
+    """Middle direction of every root and the angle to its farthest corner."""
+    mid = unit(ROOT_CORNERS.sum(1))
+    return mid, np.arccos(np.clip((ROOT_CORNERS * mid[:, None]).sum(2).min(1), -1, 1))
+
+
+def near_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, root) of the pairs that pass near_cap, without a row for the others."""
+    mid, reach = _root_caps()
+    a, b = unit(a), unit(b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = unit(a + b)
+    half = np.arccos(np.clip((a * b).sum(1), -1, 1)) / 2
+    return np.nonzero(~(m @ mid.T < np.cos(np.minimum(half[:, None] + reach + 1e-6, np.pi))))
+
+
 @cache
 def _udfs():
     def patch(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
@@ -400,15 +417,15 @@ def segment_descend(frontier: DataFrame, keys: list[str], first: int, last: int)
                 a = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[:3]], 1)
                 b = np.stack([part.column(v).to_numpy(zero_copy_only=False) for v in vec[3:]], 1)
                 if first == 0:
-                    row, patch = np.repeat(np.arange(m), 30), np.tile(np.arange(30), m)
-                    path = np.zeros(m * 30, np.int64)
+                    row, patch = near_roots(a, b)
+                    path = np.zeros(len(row), np.int64)
                 else:
                     row = np.repeat(np.arange(m), 4)
                     patch = part.column("patch").to_numpy(zero_copy_only=False).astype(np.int64)[row]
                     path = part.column("path").to_numpy(zero_copy_only=False)[row] | (np.tile(np.arange(4), m) << (2 * (first - 1)))
                 c = scopes(patch, np.full(len(row), first), path)
                 for level in range(first, last + 1):
-                    ok = near_cap(c, a[row], b[row])
+                    ok = near_cap(c, a[row], b[row]) if level else np.ones(len(row), bool)
                     ok[ok] = crosses(c[ok], a[row[ok]], b[row[ok]])
                     row, patch, path, c = row[ok], patch[ok], path[ok], c[ok]
                     take = part.take(pa.array(row))

@@ -111,11 +111,12 @@ def segment_cell_join(segs: DataFrame, max_level: int, existing: DataFrame | Non
     parents = have.where(F.col("level") > 0).select(
         "patch", (F.col("level") - 1).cast("int").alias("level"),
         keys.ancestor_path(F.col("path"), F.col("level") - 1).alias("path")).distinct().withColumn("_inner", F.lit(True))
-    frontier = segment_descend(segs.select(*seg_keys, *vec), seg_keys, 0, 0).join(have, KEY, "left_semi")
+    # every level is read by the next one and, maybe often, by the result
+    frontier = cut_lineage(segment_descend(segs.select(*seg_keys, *vec), seg_keys, 0, 0).join(have, KEY, "left_semi"))
     found = frontier
     for level in range(1, max_level + 1):
         frontier = segment_descend(frontier, seg_keys, level, level).join(have.where(F.col("level") == level), KEY, "left_semi")
-        frontier = cut_lineage(frontier)  # read twice: by the next level and by the result
+        frontier = cut_lineage(frontier)
         found = found.unionByName(frontier)
     flagged = found.join(parents, KEY, "left")
     return flagged.select(*seg_keys, *KEY, F.col("_inner").isNull().alias("is_leaf"))

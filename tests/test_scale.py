@@ -88,3 +88,16 @@ def test_refined_vertices_come_once(spark):
         tx, ty = (p & 1) * 2 + (p >> 2 & 1), (p >> 1 & 1) * 2 + (p >> 3 & 1)
         want |= {(tx * 4 + i, ty * 4 + j) for i in range(5) for j in range(5)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_segments_meet_roots_as_all_pairs_do():
+    """near_roots names the pairs that near_cap keeps of all segments and roots, antipodal ends and ends at the centre too."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(300, 3)) * R, rng.normal(size=(300, 3)) * R
+    b[:100] = a[:100] + rng.normal(size=(100, 3)) * 1e5
+    b[100], b[101], a[102] = -a[100], a[101], 0.0
+    row, patch = np.repeat(np.arange(300), 30), np.tile(np.arange(30), 300)
+    with np.errstate(all="ignore"):
+        ok = descent.near_cap(descent.ROOT_CORNERS[patch], a[row], b[row])
+        got = descent.near_roots(a, b)
+    assert np.array_equal(got[0], row[ok]) and np.array_equal(got[1], patch[ok]) and 300 < ok.sum() < 9000
