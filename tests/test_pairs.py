@@ -185,3 +185,23 @@ def test_nearest_anywhere_in_dense_and_empty_regions(spark, monkeypatch):
             want[r.k] = min(want.get(r.k, math.inf), min(math.dist((r.qx, r.qy, r.qz), p) for p in at))
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-6) for k in want)
     assert sent == [1]  # of the queries only the far one descends the tree
+
+
+def test_blocks_of_pixels_come_once_and_points_ask_around(spark, monkeypatch):
+    """A block lay on every cell under it, and cells in parts sorted both sides by cell first."""
+    from terrasphere.operators import sampling
+
+    points, images, px = sampled(spark, random.Random(12))
+    monkeypatch.setattr(sampling, "PART_IMAGES", 2)
+    monkeypatch.setattr(sampling, "PART_POINTS", 40)
+    px = px.withColumn("other", F.when(F.col("px") % 3 > 0, F.col("value") * 2))
+    keys = ["point_id", "image_id", "ord"]
+    tiles = sampling.image_tiles(images, 8)
+    assert sampling.tiles_on_cells(tiles, 8).count() == tiles.count() > 100
+    want = rounded(R.bilinear_parts(R.sample_points(points, images, ["point_id"]), px, keys, ["value", "other"]))
+    got = R.bilinear_at(points, images, px, ["point_id"], ["value", "other"], size=8)
+    assert rounded(got) == want and len(want) > 150
+    assert "MapInArrow" in "".join(got._jdf.queryExecution().optimizedPlan().toString().split("\n")[:2])
+    seen = R.unhidden_parts(points, images, px, "point_id", size=8)
+    every = R.bilinear_parts(R.sample_points(points, images, ["point_id"]), px, keys, ["value"])
+    assert rounded(R.mosaic_blend(seen, ["point_id"])) == rounded(R.mosaic_blend(every, ["point_id"]))
