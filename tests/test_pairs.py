@@ -205,3 +205,20 @@ def test_blocks_of_pixels_come_once_and_points_ask_around(spark, monkeypatch):
     seen = R.unhidden_parts(points, images, px, "point_id", size=8)
     every = R.bilinear_parts(R.sample_points(points, images, ["point_id"]), px, keys, ["value"])
     assert rounded(R.mosaic_blend(seen, ["point_id"])) == rounded(R.mosaic_blend(every, ["point_id"]))
+
+
+def test_cells_that_a_polygon_holds_whole_are_not_tested(spark):
+    """Every pair of a point and a polygon on a cell was tested with the polygon's edges. Rings with a missing place hold no cell whole."""
+    rnd = random.Random(13)
+    shapes = {k: star(12, 0.0, 0.0, 40.0 + k, rnd) for k in range(20)}
+    rows = [(k, i, x, y) for k, r in shapes.items() for i, (x, y) in enumerate(r)] + [(50, i, x, y) for i, (x, y) in enumerate([(-30.0, -30.0), (30.0, -30.0), (30.0, 30.0), (None, None), (-30.0, 30.0)])]
+    polys = spark.createDataFrame(rows, "poly bigint, ord int, x double, y double")
+    near, whole, _, _ = coverage.rings_in_cells(polys, "poly")
+    assert whole.count() > 2 * near.where("poly < 50").count() / 3 and not whole.where("poly = 50").count()
+    at = [(k, rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for k in range(1500)]
+    points = spark.createDataFrame(at, "point bigint, px double, py double")
+    pairs = points.crossJoin(coverage.ring_edges(polys, "poly").withColumnRenamed("ord", "_o"))
+    want = pairs.groupBy("point", "poly").agg(F.sum(coverage.crossing(F.col("px"), F.col("py"))).alias("n"), F.first("px").alias("px"), F.first("py").alias("py"))
+    want = want.where("n % 2 = 1 AND (poly < 50 OR px BETWEEN -30 AND 30 AND py BETWEEN -30 AND 30)").select("point", "poly")
+    got = coverage.point_in_polygon(points, polys, "point", "poly")
+    assert rounded(got) == rounded(want) and got.count() > 5000
